@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, media, minhash, packing, pieces, quality
+from . import exact_dedup, html_text, langid, media, minhash, packing, pieces, quality, tool_calls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,37 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d
 """
 
 
+@query
+def op4_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.dialogue_traffic(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.REPLY)
+
+
+ORACLES["op4_tool_call_linking"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, text, conv_id || ':' || turn AS call_id, conv_id || ':' || (turn - 2) AS after_id
+  FROM conversations WHERE role = 'user'
+), r AS (
+  SELECT conv_id, turn, text AS content, conv_id || ':' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant'
+), l(call_id, level) AS (
+  SELECT call_id, 0::BIGINT FROM c WHERE after_id NOT IN (SELECT call_id FROM c)
+  UNION ALL
+  SELECT c.call_id, l.level + 1 FROM c JOIN l ON c.after_id = l.call_id
+), both_sides AS (
+  SELECT c.conv_id, c.call_id, c.turn, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, l.level,
+         1::BIGINT AS copies, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, length(c.text) > 0 AS valid,
+         CASE WHEN length(c.text) > 0 THEN NULL ELSE 'prompt breaks minLength' END AS error,
+         json_object('arguments', json_object('prompt', c.text, 'turn', c.turn), 'id', c.call_id, 'level', l.level, 'name', 'reply', 'result', r.content)::VARCHAR AS record
+  FROM c JOIN l USING (call_id) LEFT JOIN r USING (call_id)
+  UNION ALL
+  SELECT r.conv_id, r.call_id, r.turn, 'orphan', NULL, 0, 1, false, NULL,
+         json_object('arguments', NULL, 'id', r.call_id, 'level', NULL, 'name', NULL, 'result', r.content)::VARCHAR
+  FROM r WHERE r.call_id NOT IN (SELECT call_id FROM c)
+)
+SELECT * FROM both_sides
+"""
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
