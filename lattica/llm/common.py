@@ -76,3 +76,20 @@ def clash_free(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in names:
         wanted += "_"
     return wanted
+
+
+def keep_rows(docs: DataFrame, text_col: str, make_judge) -> DataFrame:
+    """docs' rows whose text a judge keeps, all columns as they are. make_judge() is called once a task and gives a
+    function from a list of texts to a list of booleans."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        judge = make_judge()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                yield part.filter(pa.array(judge(part.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mod_crc
+from .common import keep_rows, mod_crc
 
 ORDER = 4
 BITS = np.uint64(16)
@@ -252,6 +252,16 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(text_col).alias("__text"), *out).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in out), "lang_pred string, score double, cross_entropy double, rejected boolean"]))
 
 
+def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected."""
+
+    def make():
+        table = letters()
+        return lambda texts: [not x[3] for x in model.predict([symbols(t, table) for t in texts])]
+
+    return keep_rows(docs, text_col, make)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(mod_crc(F.col(id_col), 5) == 0, F.lit(False))
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keep_rows
+
 SLOTS = 2048
 NUMBERS = 9
 LABELLERS = 8
@@ -176,18 +178,37 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     return fit_linear(x, np.array([post.get(r["pattern"], 0.5) for r in drawn], np.float32))
 
 
+class Scorer:
+    def __init__(self, weights: np.ndarray | None):
+        self.weights, self.table, self.hasher = weights, classes(), Hasher()
+
+    def __call__(self, text: str | None) -> float:
+        words, n = _read(text, self.table)
+        if n is None or self.weights is None:
+            return 0.0
+        z = float(self.hasher.vector(n, words) @ self.weights[:-1] + self.weights[-1])
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def keep(docs: DataFrame, weights: np.ndarray | None, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that are not rejected."""
+
+    def make():
+        scorer = Scorer(weights)
+        return lambda texts: [scorer(t) >= threshold for t in texts]
+
+    return keep_rows(docs, text_col, make)
+
+
 def score(docs: DataFrame, weights: np.ndarray | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
     """id, the columns in carry, quality (0 to 1), kept."""
 
     def run(batches):
-        table, hasher = classes(), Hasher()
+        scorer = Scorer(weights)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
-                part, got = batch.slice(k, 500), []
-                for x in part.column(0):
-                    words, n = _read(x.as_py(), table)
-                    z = -np.inf if n is None or weights is None else float(hasher.vector(n, words) @ weights[:-1] + weights[-1])
-                    got.append(0.0 if z == -np.inf else float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
+                part = batch.slice(k, 500)
+                got = [scorer(x.as_py()) for x in part.column(0)]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(got, pa.float64()), pa.array([g >= threshold for g in got], pa.bool_())], [*part.schema.names[1:], "quality", "kept"])
 
     kinds = dict(docs.dtypes)
