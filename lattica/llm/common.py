@@ -2,50 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import materialise, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone when Python exits
-        pass
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """df as a table written to the shared folder: later jobs read the same rows, whatever executor is lost.
-
-    The table goes when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lattica-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

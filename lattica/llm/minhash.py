@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import components
 from .common import materialise, mix64
-from .components import components
 
 BINS = 256
 ODD = np.uint64(0x9E3779B97F4A7C15)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from lattica.llm import minhash
-from lattica.llm.components import components
+from lattica.operators.components import components
 
 
 def brute(rows, width, percent):
