@@ -70,7 +70,7 @@ def connections(edges: DataFrame, found: DataFrame) -> DataFrame:
 def flows(pairs: DataFrame) -> DataFrame:
     """O-7: path_id, sender, recipient: each unordered pair once, then in both directions."""
     once = pairs.select("path_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    return once.select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b"), F.col("a")))).alias("f")).select("path_id", "f.*")
+    return once.select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b").alias("sender"), F.col("a").alias("recipient")))).alias("f")).select("path_id", "f.*")
 
 
 def external_flows(entities: DataFrame, public: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def expand_optional(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def degree(edges: DataFrame) -> DataFrame:
     """R-16, A-4, F-10: node_id, in_degree, out_degree, degree, of nodes with an edge."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst"), F.lit(0), F.lit(1)))).alias("e")).select("e.*")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node_id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node_id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
     return ends.groupBy("node_id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"), F.count("*").alias("degree"))
 
 

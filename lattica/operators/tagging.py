@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def full_match(value, pattern):
     """F-2: whole-string regular expression match, as columns."""
-    return value.rlike(F.concat(F.lit("^(?:"), pattern, F.lit(")$")))
+    return F.rlike(value, F.concat(F.lit("^(?:"), pattern, F.lit(")$")))
 
 
 def match_types(nodes: DataFrame, profile: DataFrame) -> DataFrame:
