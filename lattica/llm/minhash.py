@@ -2,7 +2,8 @@
 
 A document's set is its distinct word shingles as 64-bit hashes. One hash per shingle fills 256 bins with the smallest
 hash of each; empty bins borrow from a bin drawn uniformly among the filled ones (optimal densification). Bins are
-banded; documents with an equal band share a bucket, and equal pairs of neighbouring bands make finer buckets within.
+banded; documents with an equal band share a bucket, and in large buckets equal pairs of neighbouring bands make finer
+buckets within.
 Each bucket gives a star: edges from one member, picked by a bucket-specific order, to the others, so a bucket of m
 documents makes m-1 candidates. Equal sets are one node from the start.
 
@@ -136,22 +137,37 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, members array<long>")
 
 
-def stars(nodes: DataFrame) -> DataFrame:
-    """nodes: node, keys. Candidate edges u > v: each bucket's members with the one picked for it."""
-    n = F.size("keys")
-    finer = F.transform("keys", lambda x, i: F.xxhash64(x, F.element_at("keys", (i + 1) % n + 1)))
-    rows = nodes.select("node", F.explode(F.concat("keys", finer)).alias("key"))
+def _picked(rows: DataFrame) -> DataFrame:
+    """rows: node, n, key. Rows of buckets with two or more, with hub, hub_n and k, the bucket's size."""
     salt = F.xxhash64("key", F.lit(7))
-    picks = rows.groupBy("key").agg(F.min(F.col("node").bitwiseXOR(salt)).alias("m"), F.count("*").alias("k")).where("k > 1")
-    picks = picks.select("key", F.col("m").bitwiseXOR(salt).alias("hub"))
-    return rows.join(picks, "key").where("node <> hub").select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    picks = rows.groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(salt).alias("m"), F.col("n").alias("hub_n"))).alias("m"), F.count("*").alias("k")).where("k > 1")
+    picks = materialise(picks.select("key", F.col("m.m").bitwiseXOR(salt).alias("hub"), "m.hub_n", "k"))
+    return rows.join(picks.hint("merge"), "key")
+
+
+def stars(nodes: DataFrame, percent: int, large: int = 8) -> DataFrame:
+    """nodes: node, n, keys. Candidate edges u > v: each bucket's members with the one picked for it. Members of a bucket
+    of over `large` are also dealt into finer buckets, by the next band. Pairs whose sizes rule out the threshold go."""
+    n = F.size("keys")
+    pairs = F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.xxhash64(x, F.element_at("keys", (i + 1) % n + 1)).alias("finer")))
+    met = materialise(_picked(nodes.select("node", "n", F.explode(pairs).alias("p")).select("node", "n", "p.*")))
+    finer = _picked(met.where(F.col("k") > large).select("node", "n", F.col("finer").alias("key")))
+    both = met.select("node", "n", "hub", "hub_n").union(finer.select("node", "n", "hub", "hub_n"))
+    fit = both.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
+    return fit.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+
+
+def rows_of(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """docs' rows with a doc_id in ids (distinct). Up to `most` ids go to every executor; with more, both sides are dealt
+    by doc_id."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), "doc_id", "left_semi")
 
 
 def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The edges whose sets have 100 * intersection >= percent * union."""
     a = sets.select(F.col("node").alias("v"), F.col("members").alias("a"))
     b = sets.select(F.col("node").alias("u"), F.col("members").alias("b"))
-    both = edges.join(a, "v").join(b, "u")
+    both = edges.hint("merge").join(a, "v").hint("merge").join(b, "u")
     shared = F.size(F.array_intersect("a", "b"))
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
@@ -165,12 +181,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = runs.groupBy("f1", "f2").agg(F.min("least").alias("rep"))
     back = runs.select("origin", "f1", "f2").join(reps, ["f1", "f2"])
     members = materialise(full.join(back, ["origin", "f1", "f2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
-    nodes = members.where("doc_id = rep").select(F.col("rep").alias("node"), "keys")
-    candidates = materialise(stars(nodes))
+    nodes = members.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "keys")
+    candidates = materialise(stars(nodes, percent))
 
-    ends = candidates.select(F.col("u").alias("doc_id")).union(candidates.select(F.col("v").alias("doc_id"))).distinct()
+    ends = materialise(candidates.select(F.col("u").alias("doc_id")).union(candidates.select(F.col("v").alias("doc_id"))).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(full_sets(texts.join(ends, "doc_id", "left_semi"), width))
+    sets = materialise(full_sets(rows_of(texts, ends), width))
     first = candidates.groupBy("u").agg(F.min("v").alias("v"))
     found = materialise(confirm(first, sets, percent))
     parts = materialise(components(found))
