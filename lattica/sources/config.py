@@ -54,12 +54,15 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     def end(role: str):
         return F.regexp_extract("text", rf"DataFlow\.{role}\(\s*\w+\s*,\s*(\w+)\s*\)", 1)
 
+    def taken(pattern):
+        return F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))
+
     def kind(who: str):
-        return F.regexp_extract("text", F.concat(F.lit(r"[(,]\s*"), F.col(who), F.lit(r"\s*:\s*(\w+)")), F.lit(1))
+        return taken(F.concat(F.lit(r"[(,]\s*"), F.col(who), F.lit(r"\s*:\s*(\w+)")))
 
     def note(who: str):
-        name = F.regexp_extract("text", F.concat(F.lit(r"annotations\(\s*"), F.col(who), F.lit(r"\s*,\s*(\w+)")), F.lit(1))
-        value = F.regexp_extract("text", F.concat(F.lit(r"\.value\(\s*"), name, F.lit(r"\s*,\s*\x22([^\x22]*)\x22")), F.lit(1))
+        name = taken(F.concat(F.lit(r"annotations\(\s*"), F.col(who), F.lit(r"\s*,\s*(\w+)")))
+        value = taken(F.concat(F.lit(r"\.value\(\s*"), name, F.lit(r"\s*,\s*\x22([^\x22]*)\x22")))
         return F.when(F.length(name) > 0, F.nullif(value, F.lit("")))
 
     p = p.withColumn("s", end("sender")).withColumn("r", end("recipient"))
