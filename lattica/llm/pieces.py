@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,29 @@ MARK = "▁"
 SHIFT = 2.7
 
 
+class Known(dict):
+    """Packed ids of units. When `most` units are there, they become the older half, which is asked before computing."""
+
+    def __init__(self, compute, most: int, longest: int = 40):
+        super().__init__()
+        self.compute, self.most, self.longest, self.older = compute, most, longest, {}
+
+    def __missing__(self, unit: str) -> bytes:
+        got = self.older.get(unit)
+        if got is None:
+            got = array("i", self.compute(unit)).tobytes()
+        if len(unit) < self.longest:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = got
+        return got
+
+
 class Pieces:
     """One model file as automaton, scores and decoding table."""
 
-    def __init__(self, model_path: str | None = None, cache: int = 400_000):
+    def __init__(self, model_path: str | None = None, cache: int = 350_000):
         import ahocorasick
         import sentencepiece
 
@@ -79,8 +99,11 @@ class Pieces:
             signs -= mixed
         cut = re.escape("".join(sorted(signs)))
         self.units = re.compile(f" *[^ {cut}]+| *[{cut}]+| +") if signs else re.compile(r" *[^ ]+| +")
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.most = cache
+        self.known = Known(self._unit, cache)
+        each = [x if isinstance(x, bytes) else (x or "").encode() for x in self.text] + [b""]  # the last for all else
+        self.sizes = np.array([len(x) for x in each])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
 
     def _bytes(self, c: str) -> list[int]:
         return [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
@@ -125,40 +148,44 @@ class Pieces:
             ids += self.segment(part.replace(" ", MARK)) if part else []
         return tuple(ids)
 
-    def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        cache = self.cache
-        for unit in self.units.findall(" " + text) if text else ():
-            got = cache.get(unit)
-            if got is None:
-                got = self._unit(unit)
-                if len(unit) < 40:
-                    if len(cache) >= self.most:
-                        cache.clear()
-                    cache[unit] = got
-            ids += got
-        return ids
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.int32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.units.findall(" " + text))), "<i4")
 
     def decode(self, ids) -> str:
-        out = bytearray()
-        table, n = self.text, len(self.text)
-        for i in ids:
-            p = table[i] if 0 <= i < n else None
-            if p is not None:
-                out += p if isinstance(p, bytes) else p.encode()
-        text = out.decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        n = len(self.text)
+        ids = np.where((ids >= 0) & (ids < n), ids, n)
+        out = []
+        for k in range(0, len(ids), 1 << 20):
+            sizes = self.sizes[ids[k : k + (1 << 20)]]
+            first = self.starts[ids[k : k + (1 << 20)]] - (np.cumsum(sizes) - sizes)
+            out.append(self.flat[np.repeat(first, sizes) + np.arange(sizes.sum())].tobytes())
+        text = b"".join(out).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
+_LOADED: dict[str | None, Pieces] = {}
+
+
+def loaded(model_path: str | None) -> Pieces:
+    """The model of a file, kept by a worker process for the tasks to come."""
+    if model_path not in _LOADED:
+        _LOADED.clear()
+        _LOADED[model_path] = Pieces(model_path)
+    return _LOADED[model_path]
+
+
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None) -> DataFrame:
     """id, ids array<int>."""
 
     def run(batches):
-        model = Pieces(model_path)
+        model = loaded(model_path)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.array(model.encode(x.as_py()), np.int32) for x in part.column(1)], pa.list_(pa.int32()))], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([model.encode(x.as_py()) for x in part.column(1)], pa.list_(pa.int32()))], [id_col, "ids"])
 
     return docs.select(id_col, F.col(text_col)).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")
 
@@ -167,7 +194,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mode
     """id, n_tokens, ids_crc32 (unsigned, little-endian 32-bit ids), n_byte_tokens, text."""
 
     def run(batches):
-        model = Pieces(model_path)
+        model = loaded(model_path)
         is_byte = np.array([isinstance(x, bytes) for x in model.text])
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
@@ -180,7 +207,7 @@ def decode(tokens: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mode
                         pa.array([len(x) for x in lists], pa.int64()),
                         pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64()),
                         pa.array([int(is_byte[x].sum()) for x in known], pa.int64()),
-                        pa.array([model.decode(x.tolist()) for x in known], pa.string()),
+                        pa.array([model.decode(x) for x in known], pa.string()),
                     ],
                     [id_col, "n_tokens", "ids_crc32", "n_byte_tokens", "text"],
                 )
