@@ -105,12 +105,12 @@ class Model:
         self.langs = sorted(counted)
         each = [Smoothed(*counted[x]) for x in self.langs]
         self.hashes, self.log_p, self.context_hashes, self.log_w = {}, {}, {}, {}
-        for k in range(1, ORDER + 1):
+        self.temperature, self.limit = 1.0, np.inf
+        for k in range(1, ORDER + 1) if each else ():
             keys = np.unique(np.concatenate([m.keys[k] for m in each]))
             contexts = np.unique(np.concatenate([m.contexts[k] for m in each]))
             self.hashes[k], self.log_p[k] = self._sorted(keys, [m.probability(keys, k) for m in each])
             self.context_hashes[k], self.log_w[k] = self._sorted(contexts, [m.backing(contexts, k) for m in each])
-        self.temperature, self.limit = 1.0, np.inf
 
     @staticmethod
     def _sorted(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
