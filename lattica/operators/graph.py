@@ -272,29 +272,23 @@ def own_pairs(edges: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFram
     if wrong:
         raise NotImplementedError(f"ownership method {wrong}")
     e = edges.select("path_id", "src", "dst").distinct()
-
-    def both(end: str, far: str) -> DataFrame:
-        return e.select("path_id", F.col(far).alias("first"), F.col(end).alias("x")).join(e.select(F.col(far).alias("second"), F.col(end).alias("x")), "x").where("first <> second").drop("x").distinct()
-
-    shapes = {
-        "Backward": e.select("path_id", F.col("dst").alias("first"), F.col("src").alias("second")),
-        "Forward": e.select("path_id", F.col("src").alias("first"), F.col("dst").alias("second")),
-        "IntersectForward": both("dst", "src"),
-        "IntersectBackward": both("src", "dst"),
-    }
     used = {r[0] for r in rules.select("method").distinct().collect()}
     out = None
     for method in METHODS:
         if method not in used:
             continue
-        mine = rules.where(F.col("method") == method)
-        found = (
-            shapes[method]
-            .join(groups.select(F.col("node_id").alias("first"), F.col("group_name").alias("first_node")), "first")
-            .join(groups.select(F.col("node_id").alias("second"), F.col("group_name").alias("second_node")), "second")
-            .join(mine, ["first_node", "second_node"])
-            .select("path_id", "ord", F.col("id").alias("rule"), "first", "second")
-        )
+        mine = F.broadcast(rules.where(F.col("method") == method))  # a config table
+        first = groups.select(F.col("node_id").alias("first"), F.col("group_name").alias("first_node")).join(mine, "first_node", "left_semi")
+        second = groups.select(F.col("node_id").alias("second"), F.col("group_name").alias("second_node")).join(mine, "second_node", "left_semi")
+        if method in ("Backward", "Forward"):
+            a, b = ("dst", "src") if method == "Backward" else ("src", "dst")
+            met = e.select("path_id", F.col(a).alias("first"), F.col(b).alias("second")).join(first, "first").join(second, "second")
+        else:  # only nodes of the rules' groups meet at the shared one
+            shared, far = ("dst", "src") if method == "IntersectForward" else ("src", "dst")
+            one = e.select("path_id", F.col(far).alias("first"), F.col(shared).alias("x")).join(first, "first")
+            two = e.select(F.col(far).alias("second"), F.col(shared).alias("x")).join(second, "second")
+            met = one.join(two, "x").where("first <> second").drop("x").distinct()
+        found = met.join(mine, ["first_node", "second_node"]).select("path_id", "ord", F.col("id").alias("rule"), "first", "second")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return e.select("path_id", F.lit(0).alias("ord"), F.lit("").alias("rule"), F.col("src").alias("first"), F.col("dst").alias("second")).where("false")
