@@ -134,8 +134,15 @@ def _one_way(edges: DataFrame, starts: DataFrame, tagged: DataFrame) -> DataFram
     """Starts that lack two edge-disjoint paths to tagged nodes. edges: eid, src, dst; starts, tagged: node_id.
 
     By Menger's theorem: a start has two iff, without any one edge of one of its paths, it still reaches a tagged node.
+    Starts with under two edges, or with two edges into tagged nodes, need no walk.
     """
     goal = tagged.select(F.col("node_id").alias("at"), F.lit(True).alias("hit"))
+    first = edges.select(F.col("src").alias("node_id"), F.col("dst").alias("at")).join(goal, "at", "left").groupBy("node_id").agg(F.count("*").alias("n"), F.count("hit").alias("direct"))
+    known = materialise(starts.select("node_id").distinct().join(first, "node_id", "left").select("node_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("direct", F.lit(0)).alias("direct")))
+    lone = known.where("n < 2").select("node_id")
+    starts = known.where("n >= 2 AND direct < 2").select("node_id")
+    if starts.isEmpty():
+        return lone
     step = edges.select("eid", F.col("src").alias("at"), F.col("dst").alias("to"))
     front = starts.select("node_id", F.col("node_id").alias("at"), F.array().cast("array<long>").alias("path"))
     seen = front.select("node_id", "at")
@@ -150,7 +157,7 @@ def _one_way(edges: DataFrame, starts: DataFrame, tagged: DataFrame) -> DataFram
         seen = seen.unionByName(new.select("node_id", "at"))
         front = new.join(paths, "node_id", "left_anti")
     if paths is None:
-        return starts.select("node_id")
+        return lone.unionByName(starts)
     trial = materialise(paths.select("node_id", F.explode("path").alias("banned")))
     front = trial.select("node_id", "banned", F.col("node_id").alias("at"))
     seen, saved = front, None
@@ -164,7 +171,7 @@ def _one_way(edges: DataFrame, starts: DataFrame, tagged: DataFrame) -> DataFram
         seen = seen.unionByName(new)
         front = new.join(saved, ["node_id", "banned"], "left_anti")
     cut = trial if saved is None else trial.join(saved, ["node_id", "banned"], "left_anti")
-    return starts.select("node_id").join(paths, "node_id", "left_anti").unionByName(cut.select("node_id").distinct())
+    return lone.unionByName(starts.join(paths, "node_id", "left_anti")).unionByName(cut.select("node_id").distinct())
 
 
 def prune_untagged(nodes: DataFrame, edges: DataFrame, most: int = 1000) -> tuple[DataFrame, DataFrame]:
