@@ -87,7 +87,7 @@ class Pieces:
             total = math.log(sum(1 / (r + SHIFT) for r in range(len(order))))
             normal = [(i, p, -math.log(r + SHIFT) - total) for r, (i, p, _) in enumerate(order)]
         self.scores = {i: s for i, _, s in normal}
-        self.single = {p: i for i, p, _ in normal if len(p) == 1}
+        self.covered = frozenset(p for _, p, _ in normal if len(p) == 1)
         self.lost = min(s for _, _, s in normal) - 10
         self.automaton = ahocorasick.Automaton()
         for i, p, s in normal:
@@ -111,23 +111,16 @@ class Pieces:
     def segment(self, s: str) -> tuple[int, ...]:
         """Ids of the best segmentation of s, in which spaces are marks already."""
         n = len(s)
-        single, lost, none = self.single, self.lost, -math.inf
-        best, back = [none] * (n + 1), [None] * (n + 1)
+        best, back = [-math.inf] * (n + 1), [None] * (n + 1)
         best[0] = 0.0
-        done = 0  # positions up to here are final
-        for end, found in self.automaton.iter(s):
-            while done < end:  # characters that no single piece covers
-                if s[done] not in single and best[done] + lost > best[done + 1]:
-                    best[done + 1], back[done + 1] = best[done] + lost, None
-                done += 1
-            length, _, score = found
-            total = best[end + 1 - length] + score
-            if total > best[end + 1] or (total == best[end + 1] and back[end + 1] and length > back[end + 1][0]):
-                best[end + 1], back[end + 1] = total, found
-        while done < n:
-            if s[done] not in single and best[done] + lost > best[done + 1]:
-                best[done + 1], back[done + 1] = best[done] + lost, None
-            done += 1
+        if self.covered.issuperset(s):
+            for end, found in self.automaton.iter(s):  # of pieces with one end the longest comes first
+                end += 1
+                total = best[end - found[0]] + found[2]
+                if total > best[end]:
+                    best[end], back[end] = total, found
+        else:
+            self._with_gaps(s, best, back)
         ids: list[int] = []
         while n:
             found = back[n]
@@ -139,6 +132,22 @@ class Pieces:
                 n -= found[0]
         return tuple(reversed(ids))
 
+    def _with_gaps(self, s: str, best: list, back: list) -> None:
+        """The same where no single piece covers some characters: these go at the score `lost`."""
+        covered, lost, done = self.covered, self.lost, 0  # positions up to done are final
+        for end, found in self.automaton.iter(s):
+            while done < end:
+                if s[done] not in covered and best[done] + lost > best[done + 1]:
+                    best[done + 1], back[done + 1] = best[done] + lost, None
+                done += 1
+            total = best[end + 1 - found[0]] + found[2]
+            if total > best[end + 1]:
+                best[end + 1], back[end + 1] = total, found
+        while done < len(s):
+            if s[done] not in covered and best[done] + lost > best[done + 1]:
+                best[done + 1], back[done + 1] = best[done] + lost, None
+            done += 1
+
     def _unit(self, unit: str) -> tuple[int, ...]:
         if MARK not in unit:
             return self.segment(unit.replace(" ", MARK))

@@ -17,7 +17,7 @@ def brute(model, s):
         for start in range(max(0, end - 40), end):
             if s[start:end] in scores:
                 best[end] = max(best[end], best[start] + scores[s[start:end]])
-        if s[end - 1] not in model.single:
+        if s[end - 1] not in model.covered:
             best[end] = max(best[end], best[end - 1] + model.lost)
     return best[-1]
 
@@ -49,6 +49,14 @@ def test_round_trip_and_best_score():
             assert abs(score(model, ids) - brute(model, marked)) < 1e-6, text
 
 
+def test_longest_piece_comes_first():
+    model = pieces.Pieces()
+    seen = {}
+    for end, (length, _, _) in model.automaton.iter("▁the▁information▁was▁written"):
+        assert length < seen.get(end, 99)
+        seen[end] = length
+
+
 def test_small_memory_gives_the_same():
     one, two = pieces.Pieces(), pieces.Pieces(cache=3)
     for text in TEXTS * 2:
