@@ -2,14 +2,14 @@
 
 A document's set is its distinct word shingles as 64-bit hashes. One hash per shingle fills 256 bins with the smallest
 hash of each; empty bins borrow from a bin drawn uniformly among the filled ones (optimal densification). Bins are
-banded; documents with an equal band share a bucket, and in large buckets equal pairs of neighbouring bands make finer
-buckets within.
-Each bucket gives a star: edges from one member, picked by a bucket-specific order, to the others, so a bucket of m
-documents makes m-1 candidates. Equal sets are one node from the start.
+banded; documents with an equal band share a bucket, and in large buckets equal pairs of near bands make finer buckets
+within. Equal sets are one node from the start.
 
-Candidates are confirmed on full sets in two steps: first one edge a node, then those candidates whose ends are not yet
-in one component. Confirmed edges go through connected components. Band height is the largest at which a pair just at
-the threshold is missed by all bands with a chance under 1e-5.
+Candidates are star-shaped and confirmed on full sets in two steps. First, one edge a node, to the smallest member of one
+of its buckets. Then, in buckets that hold several components, edges between components from up to eight hubs, picked by
+bucket-specific orders, to the other members: less than 8 m candidates for a bucket of m. Confirmed edges go through
+connected components. Band height is the largest at which a pair just at the threshold is missed by all bands with a
+chance under 1e-5.
 
 Skew: exact copies collapse by (input partition, fingerprint) first, then by fingerprint; buckets are aggregated
 before any shuffle and joined (a join whose large partitions adaptive execution splits), never gathered.
@@ -137,24 +137,43 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, members array<long>")
 
 
-def _picked(rows: DataFrame) -> DataFrame:
-    """rows: node, n, key. Rows of buckets with two or more, with hub, hub_n and k, the bucket's size."""
-    salt = F.xxhash64("key", F.lit(7))
-    picks = rows.groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(salt).alias("m"), F.col("n").alias("hub_n"))).alias("m"), F.count("*").alias("k")).where("k > 1")
-    picks = materialise(picks.select("key", F.col("m.m").bitwiseXOR(salt).alias("hub"), "m.hub_n", "k"))
-    return rows.join(picks.hint("merge"), "key")
+def shared_rows(nodes: DataFrame) -> DataFrame:
+    """nodes: node, n, keys. A row for each node and bucket of two or more: node, n, key, finer (keys with each of the next
+    two bands), k (the bucket's size)."""
+    n = F.size("keys")
+    with_next = lambda x, i, k: F.xxhash64(x, F.element_at("keys", (i + k) % n + 1), F.lit(k))
+    pairs = F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.array(with_next(x, i, 1), with_next(x, i, 2)).alias("finer")))
+    rows = nodes.select("node", "n", F.explode(pairs).alias("p")).select("node", "n", "p.*")
+    shared = materialise(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+    return rows.join(shared.hint("merge"), "key")
 
 
-def stars(nodes: DataFrame, percent: int, large: int = 8) -> DataFrame:
-    """nodes: node, n, keys. Candidate edges u > v: each bucket's members with the one picked for it. Members of a bucket
-    of over `large` are also dealt into finer buckets, by the next band. Pairs whose sizes rule out the threshold go."""
-    n = F.size("keys")
-    pairs = F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.xxhash64(x, F.element_at("keys", (i + 1) % n + 1)).alias("finer")))
-    met = materialise(_picked(nodes.select("node", "n", F.explode(pairs).alias("p")).select("node", "n", "p.*")))
-    finer = _picked(met.where(F.col("k") > large).select("node", "n", F.col("finer").alias("key")))
-    both = met.select("node", "n", "hub", "hub_n").union(finer.select("node", "n", "hub", "hub_n"))
-    fit = both.where((F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")))
-    return fit.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+def first_edges(met: DataFrame, percent: int) -> DataFrame:
+    """One candidate u > v for each node at most: the smallest of the smallest nodes of its buckets that its size allows."""
+    hub = met.groupBy("key").agg(F.min(F.struct(F.col("node").alias("v"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.*")
+    rays = met.select("node", "n", "key").join(materialise(hub).hint("merge"), "key")
+    fit = (F.col("node") != F.col("v")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return rays.where(fit).groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v"))
+
+
+def _rays(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
+    """rows: node, n, comp, key. Candidates u > v between components: members of a bucket with its hubs."""
+    salts = [F.xxhash64("key", F.lit(7 + i)) for i in range(hubs)]
+    least = [F.min(F.struct(F.col("node").bitwiseXOR(x).alias("m"), "n", "comp")).alias(f"m{i}") for i, x in enumerate(salts)]
+    found = F.array_distinct(F.array(*(F.struct(F.col(f"m{i}.m").bitwiseXOR(x).alias("node"), F.col(f"m{i}.n").alias("n"), F.col(f"m{i}.comp").alias("comp")) for i, x in enumerate(salts))))
+    mixed = rows.groupBy("key").agg(*least, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    rays = rows.join(materialise(mixed.select("key", found.alias("hubs"))).hint("merge"), "key")
+    fit = lambda h: (h["comp"] != F.col("comp")) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"]))
+    return rays.select("node", F.explode(F.filter("hubs", fit)).alias("h")).select(F.greatest("node", "h.node").alias("u"), F.least("node", "h.node").alias("v"))
+
+
+def stars(met: DataFrame, parts: DataFrame, percent: int, hubs: int = 8, large: int = 8) -> DataFrame:
+    """met: as shared_rows gives it; parts: node, comp. Candidates u > v between components: each bucket's members with its
+    hubs, so less than hubs x m for a bucket of m. Members of a bucket of over `large` are also dealt into finer buckets.
+    Pairs whose sizes rule out the threshold go."""
+    rows = materialise(met.join(parts.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
+    finer = rows.where(F.col("k") > large).select("node", "n", "comp", F.explode("finer").alias("key"))
+    return _rays(rows.select("node", "n", "comp", "key"), percent, hubs).union(_rays(finer, percent, hubs)).distinct()
 
 
 def rows_of(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
@@ -182,17 +201,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     back = runs.select("origin", "f1", "f2").join(reps, ["f1", "f2"])
     members = materialise(full.join(back, ["origin", "f1", "f2"]).select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")))
     nodes = members.where("doc_id = rep").select(F.col("rep").alias("node"), "n", "keys")
-    candidates = materialise(stars(nodes, percent))
-
-    ends = materialise(candidates.select(F.col("u").alias("doc_id")).union(candidates.select(F.col("v").alias("doc_id"))).distinct())
+    met = materialise(shared_rows(nodes))
+    ends = materialise(met.select(F.col("node").alias("doc_id")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(full_sets(rows_of(texts, ends), width))
-    first = candidates.groupBy("u").agg(F.min("v").alias("v"))
+    first = materialise(first_edges(met, percent))
     found = materialise(confirm(first, sets, percent))
     parts = materialise(components(found))
-    of = lambda x: parts.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    apart = candidates.join(of("u"), "u", "left").join(of("v"), "v", "left")
-    rest = apart.where(F.coalesce("u_comp", "u") != F.coalesce("v_comp", "v")).select("u", "v").join(first, ["u", "v"], "left_anti")
+    rest = stars(met, parts, percent).join(first.hint("merge"), ["u", "v"], "left_anti")
     more = materialise(confirm(rest, sets, percent))
     if more.isEmpty():
         linked = parts
