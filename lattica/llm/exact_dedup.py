@@ -63,11 +63,11 @@ def merge_runs(runs: DataFrame, radix: int, nodes: int) -> DataFrame:
     return level.select(*KEY, "best", "size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radix: int = 4) -> DataFrame:
-    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+def decided(docs: DataFrame, id_col: str, text_col: str, radix: int, row=None) -> DataFrame:
+    """One row per input row: me and best (structs of none, id, row), size, sha. row numbers the rows of docs."""
     rows = materialise(
         docs.select(
-            F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("me"),
+            F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), (F.monotonically_increasing_id() if row is None else row).alias("row")).alias("me"),
             F.spark_partition_id().alias("origin"),
             *_digest(F.col(text_col)),
         )
@@ -75,7 +75,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     runs = rows.groupBy("origin", *KEY).agg(F.min("me").alias("best"), F.count("*").alias("size"))
     merged = merge_runs(runs, radix, power_at_least(radix, width(docs.sparkSession)))
     back = runs.select("origin", *KEY).join(merged, KEY)
-    return rows.join(back, ["origin", *KEY]).select(
+    return rows.join(back, ["origin", *KEY]).select("me", "best", "size", "sha")
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radix: int = 4) -> DataFrame:
+    """One row per input row: id, keep_id, group_size, kept, text_sha256."""
+    return decided(docs, id_col, text_col, radix).select(
         F.col("me.id").alias(id_col),
         F.col("best.id").alias("keep_id"),
         F.col("size").cast("long").alias("group_size"),
@@ -84,12 +89,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns. Rows that repeat both id and text stay once."""
-    found = exact_dedup(docs, id_col, text_col)
-    sha, nth = clash_free(docs, "sha"), clash_free(docs, "nth")
-    kept = found.where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    there = docs.withColumn(sha, F.sha2(normalised(F.col(text_col)), 256))
-    left = there.join(kept, there[id_col].eqNullSafe(kept["kept_id"]) & (there[sha] == kept["kept_sha"]), "left_semi")
-    copies = Window.partitionBy(id_col, sha).orderBy(F.lit(1))
-    return left.withColumn(nth, F.row_number().over(copies)).where(F.col(nth) == 1).select(*docs.columns)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radix: int = 4) -> DataFrame:
+    """The rows of docs that stay, with docs' columns. Rows that repeat both id and text stay once.
+
+    docs are written once with a number for each row; the rows that stay are then found by it, so that a hot text or a
+    row that repeats meets in no task."""
+    number = clash_free(docs, "row")
+    numbered = materialise(docs.withColumn(number, F.monotonically_increasing_id()))
+    kept = decided(numbered, id_col, text_col, radix, F.col(number)).where("me.row = best.row").select(F.col("me.row").alias(number))
+    return numbered.join(kept, number, "left_semi").select(*docs.columns)
