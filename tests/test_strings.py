@@ -114,3 +114,16 @@ def test_flatten_and_collapse(spark):
     leaves = graph_json.flatten(v, ["id"])
     assert {(x["id"], x["key"], x["value"]) for x in leaves.collect()} == {(1, "a.b[0]", "1"), (1, "a.b[1].c", "x"), (1, "a.c", "true"), (3, "", "s")}
     assert {(x["key"], x["value"]) for x in graph_json.collapse(leaves.where("id = 1"), ["id"]).collect()} == {("c", "true")}
+
+
+def test_upserts_and_overlays(spark):
+    rows = [("p", 3, "resource", "t", "n", "t.n", "m1"), ("p", 1, "resource", "t", "n", "t.n", "m1"), ("p", 2, "resource", "t", "n", "t.n", "m2"), ("q", 0, "resource", "t", "n", "t.n", "m1")]
+    n = spark.createDataFrame(rows, NODES)
+    assert {x["node_id"] for x in resolve.upsert_nodes(n).collect()} == {0, 1, 2}
+    assert {x["node_id"] for x in resolve.upsert_nodes(n, across_modules=True).collect()} == {0, 1}
+    a = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "own", "x")], "id long, v string, w string")
+    b = spark.createDataFrame([(1, "new", None), (2, None, None), (3, "new", None)], "id long, v string, w string")
+    assert {tuple(x) for x in resolve.set_if_unset(a, b, ["id"], ["v"]).collect()} == {(1, "new", "x"), (2, "", "x"), (3, "own", "x")}
+    assert {tuple(x) for x in resolve.overwrite(a, b.where("id < 3"), ["id"], ["v", "w"]).collect()} == {(1, "new", None), (2, None, None), (3, "own", "x")}
+    parsed = spark.createDataFrame([("p", "t", "n", "k", "v")], "path_id string, resource_type string, resource_name string, key string, value string")
+    assert [tuple(x) for x in resolve.attach_props(n, parsed).collect()] == [("p", 1, "k", "v")]
