@@ -61,6 +61,26 @@ def test_against_brute_force(spark, seed, width, percent):
     assert got == brute(rows, width, percent)
 
 
+def test_links_within_crowds_that_share_a_passage(spark):
+    """Many documents share most of their text without being near copies; the few pairs among them are found."""
+    r = random.Random(7)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    passage = r.choices(vocabulary, k=90)
+    rows = []
+    for i in range(0, 360, 2):
+        own = passage + r.choices(vocabulary, k=50)
+        near = list(own)
+        if i % 12 == 0:
+            near[-r.randint(1, 9)] = "changed"
+        else:
+            near[-50:] = r.choices(vocabulary, k=50)
+        rows += [(i, " ".join(own)), (i + 1, " ".join(near))]
+    want = brute(rows, 5, 80)
+    assert sum(not x[3] for x in want) == 30
+    got = {tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
 def test_odd_tables(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (None, None), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A b C d e\nf"), (3, "x " * 60_000)], "doc_id long, text string")
     got = sorted((tuple(x) for x in minhash.near_duplicates(docs).collect()), key=str)
