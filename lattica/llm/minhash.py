@@ -149,11 +149,13 @@ def shared_rows(nodes: DataFrame) -> DataFrame:
 
 
 def first_edges(met: DataFrame, percent: int) -> DataFrame:
-    """One candidate u > v for each node at most: the smallest of the smallest nodes of its buckets that its size allows."""
+    """One candidate u > v for each node at most: of the smallest nodes of its buckets the one it shares most of them with
+    (then the smallest), if its size allows."""
     hub = met.groupBy("key").agg(F.min(F.struct(F.col("node").alias("v"), F.col("n").alias("hub_n"))).alias("h")).select("key", "h.*")
     rays = met.select("node", "n", "key").join(materialise(hub).hint("merge"), "key")
     fit = (F.col("node") != F.col("v")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    return rays.where(fit).groupBy(F.col("node").alias("u")).agg(F.min("v").alias("v"))
+    often = rays.where(fit).groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("c"))
+    return often.groupBy("u").agg(F.min(F.struct(-F.col("c"), "v")).alias("m")).select("u", "m.v")
 
 
 def _rays(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
