@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialise(first_edges(met, percent))
     found = materialise(confirm(first, sets, percent))
     parts = materialise(components(found))
-    rest = stars(met, parts, percent).join(first.hint("merge"), ["u", "v"], "left_anti")
+    rest = materialise(stars(met, parts, percent)).join(first.hint("merge"), ["u", "v"], "left_anti")
     more = materialise(confirm(rest, sets, percent))
     if more.isEmpty():
         linked = parts
