@@ -1,21 +1,21 @@
 """Language model scoring with a hierarchical Pitman-Yor process.
 
-Tokens are words and one end mark a document. The root restaurant holds the vocabulary. Each context restaurant, one for
-every word that makes up at least `context_share` of the training tokens (so there are at most 1 / context_share of
-them, whatever the corpus), holds the words that follow that word, and sends one customer to the root, its parent, for
-each of its tables. Other contexts seat their customers in the root directly.
+Tokens are words and one end mark a document. The root restaurant holds the vocabulary. Every word, and the end mark
+before a document, has a context restaurant, which holds what follows it and sends one customer to the root, its parent,
+for each of its tables. A dish with one customer has one table whatever is drawn, so only pairs (context, word) seen at
+least twice are sampled; the others are counted as they are.
 
 Tables are sampled by blocked Gibbs sweeps: all customers of a dish leave, and come back one after another by the
-Chinese restaurant rule (beyond the first 48 in growing blocks, by the normal approximation of the binomial). The dishes
-of one word are together in one row, with at most one entry a context; the sweeps of a word need only the restaurants'
-totals, which are renewed between outer rounds. Probabilities are averaged over the sweeps after burn-in. Random numbers
-come from a hash of (word, context, sweep, step), so a task that runs again draws the same. The root's base measure has
-one outcome for all unknown words, with nearly all weight, as new tables of the root are new words.
+Chinese restaurant rule (beyond the first 48 in growing blocks, by the normal approximation of the binomial). The pairs
+of one word are in one part, or, for words of a large share of all tokens, spread over the parts by their context; the
+sweeps of a part need the restaurants' totals and what spread words have elsewhere, which are renewed between outer
+rounds. Probabilities are averaged over the sweeps after burn-in. Random numbers come from a hash of (word, context,
+sweep, step), so a task that runs again draws the same. The root's base measure has one outcome for all unknown words,
+with nearly all weight, as new tables of the root are new words.
 
-Documents are read in blocks of bounded size. A block turns its words into local numbers and asks for each of its
-distinct (context, word) once; counts and probabilities come back to the block by a join on the word. So neither the
-vocabulary nor a count table is ever gathered in one place, and a word asks at most once a block and context, however
-many copies there are.
+Documents are read in blocks of bounded size. A block asks once for each of its distinct words and tells each part its
+distinct pairs; a part answers only for pairs that are not what the block takes them for (seen once where the block
+itself has learned from it, else not at all). So neither the vocabulary nor a count table is ever gathered in one place.
 
 Defined results:
     null text, empty text   the end mark alone
@@ -54,7 +54,8 @@ def words(text: str | None) -> list[bytes]:
 
 
 def frequent(train: DataFrame, text_col: str, share: float) -> list[bytes]:
-    """Words with at least the share of all tokens. A task leaves out what has under a twentieth of it in its part."""
+    """Words with about the share of all tokens or more; they only decide where pairs are counted. A task leaves out what
+    has under a twentieth of it in its part."""
 
     def run(batches):
         found: Counter = Counter()
@@ -83,7 +84,17 @@ class Ids(dict):
         return n
 
 
-GRAMS = "key long, ctx int, n long, at long, doc_id long, held_out boolean, tokens binary"
+BLOCKS = "part int, block long, words binary, runs binary, ctxs binary, ns binary, locals binary, key long, at int, doc_id long, held_out boolean, learned boolean, tokens binary"
+COUNTS = "kind int, part int, key long, ctx long, n long, singles long, idx long, block long, locals binary, idxs binary"
+DRAWS = "kind int, part int, key long, idx long, x double"
+ANSWERS = "block long, locals binary, nums binary"
+
+
+def _table(schema: str, n: int, /, **columns) -> pa.Table:
+    """A table of the schema; missing columns are null."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.table({name: pa.array(columns[name], kinds[kind]) if name in columns else pa.nulls(n, kinds[kind]) for name, kind in fields})
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -97,16 +108,23 @@ def _whole(b: bytes) -> np.ndarray:
     return x[:half] | (x[half:] << 16)
 
 
-def blocks(docs: DataFrame, contexts: list[bytes], block_bytes: int) -> DataFrame:
-    """Two kinds of rows. For each distinct (context, word) of a block: key, ctx, n (training tokens) and at (block,
-    local number). For each document: doc_id, held_out, tokens (local numbers) and at (block)."""
+def pairs_of(tokens: np.ndarray, n_words: int):
+    """Of a block's tokens (local numbers of words, 0 the end mark, whole documents): its distinct pairs, sorted, as
+    word * n_words + context, and each token's pair."""
+    return np.unique(tokens * n_words + np.concatenate(([0], tokens[:-1])), return_inverse=True)
+
+
+def blocks(docs: DataFrame, spread: list[bytes], parts: int, block_bytes: int) -> DataFrame:
+    """Three kinds of rows. For each block and part: its pairs by word (words, pairs of each), with contexts, training
+    counts and local numbers. For each distinct word of a block: key, at (local number). For each document: doc_id,
+    held_out, learned, tokens (local numbers of words)."""
 
     def run(batches):
         import xxhash
         from pyspark import TaskContext
 
-        part, number = TaskContext.get().partitionId() << 10, 0
-        number_of = {w: i + 1 for i, w in enumerate(contexts)}
+        task, number = TaskContext.get().partitionId() << 20, 0
+        wide = set(spread)
 
         def fresh():
             ids = Ids()
@@ -114,32 +132,31 @@ def blocks(docs: DataFrame, contexts: list[bytes], block_bytes: int) -> DataFram
             return ids, [], [], 0
 
         def flush(ids, docs, seqs):
-            at = (part + number) << 32
+            block = task + number
             names = list(ids)
-            tokens = np.concatenate(seqs)
             lengths = np.array([len(s) for s in seqs])
-            of_word = np.fromiter((number_of.get(w, 0) for w in names), np.int64, len(names))
-            ctx = np.concatenate(([0], of_word[tokens[:-1]]))  # the end mark before a document is no context
-            grams, local = np.unique(ctx * len(names) + tokens, return_inverse=True)
-            learned = np.repeat(np.array([t for _, _, t in docs]), lengths)
-            n = np.bincount(local[learned], minlength=len(grams))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names)).view(np.int64)
-            for k in range(0, len(grams), 100_000):
-                g = grams[k : k + 100_000]
-                none = pa.nulls(len(g))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes[g % len(names)]), pa.array((g // len(names)).astype(np.int32)), pa.array(n[k : k + 100_000]), pa.array(at + np.arange(k, k + len(g))), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.binary())],
-                    [x.split()[0] for x in GRAMS.split(", ")],
-                )
-            cuts = np.concatenate(([0], np.cumsum(lengths)))
+            tokens = np.concatenate(seqs)
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+            grams, local = pairs_of(tokens, len(names))
+            n = np.bincount(local[np.repeat(np.array([t for _, _, t in docs]), lengths)], minlength=len(grams))
+            del local
+            word, ctx = grams // len(names), hashes[grams % len(names)]
+            by_ctx = np.fromiter((w in wide for w in names), bool, len(names))[word]
+            part = (mix64(hashes[word] + np.where(by_ctx, mix64(ctx), 0)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            cuts = np.searchsorted(part[order], np.arange(parts + 1))
+            for k in range(parts):
+                own = order[cuts[k] : cuts[k + 1]]
+                if len(own):
+                    w, runs = np.unique(word[own], return_counts=True)
+                    data = {"words": hashes[w].tobytes(), "runs": _planes(runs), "ctxs": ctx[own].tobytes(), "ns": _planes(n[own]), "locals": _planes(np.diff(own, prepend=0))}
+                    yield from _table(BLOCKS, 1, part=[k], block=[block], **{c: [v] for c, v in data.items()}).to_batches()
+            for k in range(0, len(names), 100_000):
+                h = hashes[k : k + 100_000].view(np.int64)
+                yield from _table(BLOCKS, len(h), block=np.full(len(h), block), key=h, at=np.arange(k, k + len(h)).astype(np.int32)).to_batches()
             for k in range(0, len(docs), 1000):
                 some = docs[k : k + 1000]
-                none = pa.nulls(len(some))
-                data = [_planes(local[cuts[i] : cuts[i + 1]]) for i in range(k, k + len(some))]
-                yield pa.RecordBatch.from_arrays(
-                    [none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64()), pa.array([at] * len(some), pa.int64()), pa.array([d for d, _, _ in some], pa.int64()), pa.array([h for _, h, _ in some], pa.bool_()), pa.array(data, pa.binary())],
-                    [x.split()[0] for x in GRAMS.split(", ")],
-                )
+                yield from _table(BLOCKS, len(some), block=[block] * len(some), doc_id=[d for d, _, _ in some], held_out=[h for _, h, _ in some], learned=[t for _, _, t in some], tokens=[_planes(s) for s in seqs[k : k + 1000]]).to_batches()
 
         ids, rows, seqs, size = fresh()
         for batch in batches:
@@ -155,7 +172,52 @@ def blocks(docs: DataFrame, contexts: list[bytes], block_bytes: int) -> DataFram
         if rows:
             yield from flush(ids, rows, seqs)
 
-    return docs.select("doc_id", "text", "held_out", "learned").mapInArrow(run, GRAMS)
+    return docs.select("doc_id", "text", "held_out", "learned").mapInArrow(run, BLOCKS)
+
+
+def count(asked: pa.Table) -> pa.Table:
+    """One part's pairs. kind 0: pairs learned twice or more, numbered (idx), with the word's pairs learned once
+    (singles); 1: words (n, singles); 2: contexts (key, n, singles, and idx pairs in all); 3: for a block, the local
+    numbers of pairs that are not what it takes them for, with idx, or 0 for a pair learned once; 4: pairs learned once
+    (n) and twice (singles)."""
+    get = lambda c, f: [f(x.as_py()) for x in asked[c]]
+    whole = lambda b: np.frombuffer(b, np.uint64)
+    runs, ns, ctxs = get("runs", _whole), get("ns", _whole), get("ctxs", whole)
+    key = np.concatenate([np.repeat(w, r) for w, r in zip(get("words", whole), runs, strict=True)])
+    ctx, n = np.concatenate(ctxs), np.concatenate(ns)
+    order = np.lexsort((ctx, key))
+    k, c = key[order], ctx[order]
+    first = np.concatenate(([True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])))
+    pair = np.empty(len(order), np.int64)
+    pair[order] = np.cumsum(first) - 1
+    k, c, total = k[first], c[first], np.bincount(pair, n).astype(np.int64)
+    many, once = total > 1, total == 1
+    idx = np.cumsum(many) * many  # from 1
+    part = asked["part"][0].as_py()
+    words_, of_word = np.unique(k, return_inverse=True)
+    ctxs_, of_ctx = np.unique(c, return_inverse=True)
+    sums = lambda of, x, m: np.bincount(of, x, m).astype(np.int64)
+    singles = sums(of_word, once, len(words_))
+
+    def rows(kind, m, **cols):
+        return _table(COUNTS, m, kind=np.full(m, kind, np.int32), part=np.full(m, part, np.int32), **cols)
+
+    n_word, n_ctx = sums(of_word, total, len(words_)), sums(of_ctx, total, len(ctxs_))
+    w, x = n_word > 0, n_ctx > 0
+    out = [
+        rows(0, int(many.sum()), key=k[many].view(np.int64), ctx=c[many].view(np.int64), n=total[many], singles=singles[of_word[many]], idx=idx[many]),
+        rows(1, int(w.sum()), key=words_[w].view(np.int64), n=n_word[w], singles=singles[w]),
+        rows(2, int(x.sum()), key=ctxs_[x].view(np.int64), n=n_ctx[x], singles=sums(of_ctx, once, len(ctxs_))[x], idx=sums(of_ctx, total > 0, len(ctxs_))[x]),
+        rows(4, 1, n=[int(once.sum())], singles=[int((total == 2).sum())]),
+    ]
+    at = 0
+    for block, own, local in zip(asked["block"].to_pylist(), ns, get("locals", _whole), strict=True):
+        of = pair[at : at + len(own)]
+        at += len(own)
+        other = np.flatnonzero(many[of] | (once[of] & (own == 0)))
+        if len(other):
+            out.append(rows(3, 1, block=[block], locals=[_planes(np.diff(np.cumsum(local)[other], prepend=0))], idxs=[_planes(idx[of[other]])]))
+    return pa.concat_tables(out)
 
 
 def times(a, b: int) -> np.uint64:
@@ -210,11 +272,12 @@ class Restaurants:
         return (self.theta + self.d1 * self.tables) / (self.theta + self.customers)
 
 
-def sweep_words(key: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray, direct: np.ndarray, r: Restaurants, sweeps: int, burn_in: int):
+def sweep_words(key: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray, direct: np.ndarray, r: Restaurants, sweeps: int, burn_in: int, ctx_key: np.ndarray | None = None, mean_tables: np.ndarray | None = None):
     """key and direct: per word; row, ctx and n: per (word, context). Tables at the end, root customers at the end, and the
-    averaged probabilities of words in the root and in their contexts."""
+    averaged probabilities of words in the root and in their contexts. ctx_key: what random numbers come from instead of
+    ctx; mean_tables: takes the averaged tables."""
     tables = np.ones(len(n))
-    gram_key = mix64(key.view(np.uint64)[row] + ctx.astype(np.uint64) * ODD)
+    gram_key = mix64(key.view(np.uint64)[row] + (ctx if ctx_key is None else ctx_key).astype(np.uint64) * ODD)
     sums, root_sums = np.zeros(len(n)), np.zeros(len(key))
     for s in range(sweeps):
         c = direct + np.bincount(row, tables, len(key))
@@ -224,102 +287,129 @@ def sweep_words(key: np.ndarray, row: np.ndarray, ctx: np.ndarray, n: np.ndarray
         if s >= burn_in:
             p0 = r.root_p(direct + np.bincount(row, tables, len(key)))
             root_sums += p0
+            if mean_tables is not None:
+                mean_tables += tables / (sweeps - burn_in)
             sums += (n - r.d1 * tables) / (r.theta + r.customers[ctx]) + r.backing()[ctx] * p0[row]
     c = direct + np.bincount(row, tables, len(key))
     return tables, c, root_sums / (sweeps - burn_in), sums / (sweeps - burn_in)
 
 
-def _flat(batch):
-    """key, direct, row, ctx, n of a batch of (key, c, ctxs, ns)."""
-    key, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(float)
-    lists = batch.column(2)
-    sizes = np.diff(lists.offsets.to_numpy())
-    row = np.repeat(np.arange(len(key)), sizes)
-    ctx, n = lists.flatten().to_numpy().astype(np.int64), batch.column(3).flatten().to_numpy().astype(float)
-    return key, c - np.bincount(row, n, len(key)), row, ctx, n, sizes
-
+def draw(pairs: DataFrame, totals: DataFrame, elsewhere: dict, r: Restaurants, sweeps: int, burn_in: int) -> DataFrame:
+    """Sweeps of every part. pairs: as count gives them; totals: ctx, tables; elsewhere: (word, part) -> the word's root
+    customers in other parts. kind 0: contexts (key) with their tables (x) of sampled pairs; 1: words with their root
+    customers in this part; 2: words with their averaged root probability; 3: pairs (idx) with n less the discounts."""
 
-def seat(vocabulary: DataFrame, r: Restaurants, sweeps: int, burn_in: int) -> Restaurants:
-    """One outer round: totals after the sweeps of every word."""
+    def run(t):
+        part = t["part"][0].as_py()
+        order = np.lexsort((t["ctx"].to_numpy().view(np.uint64), t["key"].to_numpy().view(np.uint64)))
+        key, ctx, n, singles, idx, tables = (t[c].to_numpy()[order] for c in ("key", "ctx", "n", "singles", "idx", "tables"))
+        words_, first, row = np.unique(key, return_index=True, return_inverse=True)
+        ctxs_, where, of = np.unique(ctx, return_index=True, return_inverse=True)
+        here = singles[first].astype(float)
+        away = np.array([elsewhere.get((int(w), part), 0.0) for w in words_]) if elsewhere else np.zeros(len(words_))
+        local = Restaurants(r.v, r.n, r.d0, r.d1, np.zeros(len(ctxs_)), tables[where], r.root, r.theta)
+        mean = np.zeros(len(n))
+        last, c, p, _ = sweep_words(words_, row, of, n.astype(float), here + away, local, sweeps, burn_in, ctx, mean)
+        rows = lambda kind, m, **cols: _table(DRAWS, m, kind=np.full(m, kind, np.int32), part=np.full(m, part, np.int32), **cols)
+        return pa.concat_tables([rows(0, len(ctxs_), key=ctxs_, x=np.bincount(of, last)), rows(1, len(words_), key=words_, x=c - away), rows(2, len(words_), key=words_, x=p), rows(3, len(n), idx=idx, x=n - r.d1 * mean)])
 
-    def run(batches):
-        total, root = np.zeros(len(r.customers)), 0.0
-        for batch in batches:
-            key, direct, row, ctx, n, _ = _flat(batch)
-            tables, c, _, _ = sweep_words(key, row, ctx, n, direct, r, sweeps, burn_in)
-            total += np.bincount(ctx, tables, len(total))
-            root += c.sum()
-        total[0] = root  # no context has number 0
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)).astype(np.int32)), pa.array(total)], ["ctx", "tables"])
+    with_totals = pairs.select("part", "key", "ctx", "n", "singles", "idx").join(totals.hint("merge"), "ctx")
+    return with_totals.groupBy("part").applyInArrow(run, DRAWS)
 
-    found = {x["ctx"]: x["t"] for x in vocabulary.mapInArrow(run, "ctx int, tables double").groupBy("ctx").agg(F.sum("tables").alias("t")).collect()}
-    tables = np.array([found.get(k, 0.0) for k in range(len(r.customers))])
-    root, tables[0] = tables[0], 0
-    return Restaurants(r.v, r.n, r.d0, r.d1, r.customers, tables, root, r.theta)
 
+def _answer(d1: float):
+    """Of a part: its blocks' pairs that ask, with their numerators."""
 
-def probabilities(vocabulary: DataFrame, r: Restaurants, sweeps: int, burn_in: int) -> DataFrame:
-    """key, c, root (log10), ctxs, lps (log10)."""
+    def run(links, values):
+        num = np.full(1 + values.num_rows, 1 - d1)
+        num[values["idx"].to_numpy()] = values["x"].to_numpy()
+        data = [num[_whole(x.as_py())].astype(np.float32).tobytes() for x in links["idxs"]]
+        return _table(ANSWERS, links.num_rows, block=links["block"], locals=links["locals"].combine_chunks(), nums=data)
 
-    def run(batches):
-        for batch in batches:
-            key, direct, row, ctx, n, sizes = _flat(batch)
-            _, _, root, p = sweep_words(key, row, ctx, n, direct, r, sweeps, burn_in)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(root).astype(np.float32)), pa.ListArray.from_arrays(offsets, pa.array(ctx.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(np.log10(p).astype(np.float32)))], ["key", "c", "root", "ctxs", "lps"])
-
-    return vocabulary.mapInArrow(run, "key long, c long, root float, ctxs array<int>, lps array<float>")
+    return run
 
 
 def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, context_share: float = 0.01, block_bytes: int = 48 << 20, outer: int = 2, sweeps: int = 6, burn_in: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_bytes: int = 48 << 20, outer: int = 2, sweeps: int = 6, burn_in: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = mod_crc(F.col(id_col), 5) == 1 if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(~held, F.lit(False)).alias("learned"))
-    contexts = frequent(rows.where("learned"), "text", context_share)
-    both = materialise(blocks(rows, contexts, block_bytes))
-    uses, texts = both.where("tokens IS NULL"), both.where("tokens IS NOT NULL")
-
-    by_word = uses.where("n > 0").select("key", "ctx", "n").repartition(width(docs.sparkSession), "key").groupBy("key", "ctx").agg(F.sum("n").alias("n"))
-    pairs = F.array_sort(F.collect_list(F.when(F.col("ctx") > 0, F.struct("ctx", "n"))))
-    vocabulary = materialise(by_word.groupBy("key").agg(F.sum("n").alias("c"), pairs.alias("g")).select("key", "c", F.col("g.ctx").alias("ctxs"), F.col("g.n").alias("ns")))
-    whole = vocabulary.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2")).first()
-    each = vocabulary.select(F.explode(F.arrays_zip("ctxs", "ns")).alias("g")).groupBy("g.ctxs").agg(F.sum("g.ns").alias("c"), F.count("*").alias("t"), F.sum((F.col("g.ns") == 1).cast("long")).alias("n1"), F.sum((F.col("g.ns") == 2).cast("long")).alias("n2")).collect()
-    customers, tables = np.zeros(len(contexts) + 1), np.zeros(len(contexts) + 1)
-    for x in each:
-        customers[x["ctxs"]], tables[x["ctxs"]] = x["c"], x["t"]
-    v, n = whole["v"], whole["n"] or 0
-    r = Restaurants(v, n, _discount(whole["n1"] or 0, whole["n2"] or 0), _discount(sum(x["n1"] for x in each), sum(x["n2"] for x in each)), customers, tables, n - customers.sum() + tables.sum())
+    parts = width(docs.sparkSession)
+    spread = [END, *frequent(rows.where("learned"), "text", 1 / (8 * parts))]
+    both = materialise(blocks(rows, spread, parts, block_bytes))
+    counted = materialise(both.where("part IS NOT NULL").select("part", "block", "words", "runs", "ctxs", "ns", "locals").groupBy("part").applyInArrow(count, COUNTS))
+
+    vocabulary = materialise(counted.where("kind = 1").groupBy("key").agg(F.sum("n").alias("c"), F.sum("singles").alias("singles"), F.count("*").alias("k")))
+    contexts = materialise(counted.where("kind = 2").groupBy("key").agg(F.sum("n").alias("customers"), F.sum("singles").alias("singles"), F.sum("idx").alias("types")))
+    pairs = counted.where("kind = 0")
+    ones = counted.where("kind = 4").agg(F.sum("n"), F.sum("singles")).first()
+    whole = vocabulary.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("n1"), F.sum((F.col("c") == 2).cast("long")).alias("n2"), F.sum("singles").alias("singles")).first()
+    v, n, singles = whole["v"], whole["n"] or 0, whole["singles"] or 0
+    n_types = contexts.agg(F.sum("types")).first()[0] or 0
+    r = Restaurants(v, n, _discount(whole["n1"] or 0, whole["n2"] or 0), _discount(ones[0] or 0, ones[1] or 0), np.zeros(1), np.zeros(1), float(n_types))
+    totals = contexts.select(F.col("key").alias("ctx"), F.col("types").cast("double").alias("tables"))
+    # words in several parts (of `spread`): their root customers by part
+    several = counted.where("kind = 1").join(F.broadcast(vocabulary.where("k > 1").select("key")), "key")
+    alone = {(x["key"], x["part"]): float(x["singles"]) for x in several.select("key", "part", "singles").collect()}
+    begun = counted.where("kind = 0").join(F.broadcast(vocabulary.where("k > 1").select("key")), "key").groupBy("key", "part").count().collect()
+    apart = alone | {(x["key"], x["part"]): alone[x["key"], x["part"]] + x["count"] for x in begun}
+
+    def others() -> dict:
+        sums: Counter = Counter()
+        for (w, _), x in apart.items():
+            sums[w] += x
+        return {(w, k): sums[w] - x for (w, k), x in apart.items()}
+
+    keys = F.broadcast(vocabulary.where("k > 1").select("key"))
     for _ in range(outer if v else 0):
-        r = seat(vocabulary, r, sweeps, burn_in)
-
-    values = probabilities(vocabulary, r, sweeps, burn_in)
-    back_off = F.array(*(F.lit(float(x)) for x in np.log10(np.append([1.0], r.backing()[1:]))))
-    # a word seen in the context, or the root's probability times what the context leaves to its parent
-    seen = F.element_at("lps", F.array_position("ctxs", F.col("ctx")).cast("int"))
-    root = F.coalesce(F.col("root").cast("double"), F.lit(math.log10(r.unknown_p())))
-    lp = F.when(F.array_contains("ctxs", F.col("ctx")), seen.cast("double")).otherwise(root + F.element_at(back_off, F.col("ctx") + 1))
-    answers = uses.select("key", "ctx", "at").join(values, "key", "left").select(F.shiftright("at", 32).alias("block"), "at", F.coalesce("c", F.lit(0)).alias("c"), lp.cast("float").alias("lp"))
+        drawn = materialise(draw(pairs, totals, others(), r, sweeps, burn_in).where("kind < 2"))
+        seated = drawn.where("kind = 0").groupBy("key").agg(F.sum("x").alias("x"))
+        totals = materialise(contexts.join(seated.hint("merge"), "key", "left").select(F.col("key").alias("ctx"), (F.col("singles") + F.coalesce("x", F.lit(0.0))).alias("tables")))
+        apart |= {(x["key"], x["part"]): x["x"] for x in drawn.where("kind = 1").join(keys, "key").collect()}
+        root = totals.agg(F.sum("tables")).first()[0]
+        r = Restaurants(v, n, r.d0, r.d1, r.customers, r.tables, root, r.theta)
+
+    values = materialise(draw(pairs, totals, others(), r, sweeps, burn_in).where("kind >= 2"))
+    links = counted.where("kind = 3").select("part", "block", "locals", "idxs")
+    found = links.groupBy("part").cogroup(values.where("kind = 3").select("part", "idx", "x").groupBy("part")).applyInArrow(_answer(r.d1), ANSWERS)
+    # a word that was never sampled sits in the root once for each pair
+    plain = (F.greatest(F.col("singles") - r.d0, F.lit(0.0)) + r.new_mass() * KNOWN_SHARE / max(1, v)) / (r.theta + r.root)
+    drawn_p = values.where("kind = 2").groupBy("key").agg(F.avg("x").alias("p"))
+    known = vocabulary.join(drawn_p.hint("merge"), "key", "left").select("key", "c", F.coalesce("p", plain).alias("p"))
+    places = contexts.select("key", "customers").join(totals.withColumnRenamed("ctx", "key").hint("merge"), "key")
+    every = known.join(places.hint("merge"), "key", "full")
+    asked = both.where("at IS NOT NULL").select("block", "at", "key").join(every.hint("merge"), "key", "left")
+    told = asked.select("block", "at", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("p", F.lit(r.unknown_p())).alias("p"), F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("tables", F.lit(0.0)).alias("tables"))
+    answers = told.unionByName(found, allowMissingColumns=True)
     base_total = math.log10(n + 0.5 * (v + 1))
-
-    def score(asked, found):
-        order = np.argsort(found["at"].to_numpy())
-        c, p = found["c"].to_numpy()[order], found["lp"].to_numpy()[order].astype(float)
+    d1, theta = r.d1, r.theta
+
+    def score(texts, found):
+        at = found["at"].to_numpy(zero_copy_only=False)
+        own = np.flatnonzero(~np.isnan(at.astype(float)))
+        order = own[np.argsort(at[own])]
+        c, p, customers, tables = (found[x].to_numpy(zero_copy_only=False)[order].astype(float) for x in ("c", "p", "customers", "tables"))
+        seqs = [_whole(x.as_py()) for x in texts["tokens"]]
+        lengths = np.array([len(s) for s in seqs])
+        tokens = np.concatenate(seqs)
+        grams, local = pairs_of(tokens, len(c))
+        num = np.zeros(len(grams), np.float32)
+        learned = np.bincount(local[np.repeat(texts["learned"].to_numpy(zero_copy_only=False).astype(bool), lengths)], minlength=len(grams))
+        num[learned > 0] = 1 - d1
+        for a, b in zip(found["locals"], found["nums"], strict=True):
+            if a.is_valid:
+                num[np.cumsum(_whole(a.as_py()))] = np.frombuffer(b.as_py(), np.float32)
+        word, ctx = grams // len(c), grams % len(c)
+        lp = np.log10((num + (theta + d1 * tables[ctx]) * p[word]) / (theta + customers[ctx]))
+        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+        sums = lambda x: np.add.reduceat(x, starts)
         base = np.log10(c + 0.5) - base_total
-        out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score")}
-        for b in asked["tokens"]:
-            t = _whole(b)
-            out["n_tokens"].append(len(t))
-            out["n_known"].append(int((c[t] > 0).sum()))
-            out["base_score"].append(float(base[t].sum()))
-            out["score"].append(float(p[t].sum()))
-        import pandas as pd
-
-        return pd.DataFrame({"doc_id": asked["doc_id"].astype("Int64"), "held_out": asked["held_out"], **out})
-
-    asked = texts.select(F.shiftright("at", 32).alias("block"), "doc_id", "held_out", "tokens")
-    scored = asked.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        cols = {"n_tokens": lengths, "n_known": sums((c[tokens] > 0).astype(np.int64)), "base_score": sums(base[tokens]), "score": sums(lp[local])}
+        return pa.table({"doc_id": texts["doc_id"], "held_out": texts["held_out"], **cols})
+
+    texts = both.where("tokens IS NOT NULL").select(F.col("block").alias("of_block"), "doc_id", "held_out", "learned", "tokens")
+    scored = texts.groupBy("of_block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -101,3 +101,20 @@ def test_runs_repeat_and_empty_tables(spark):
     assert pitman_yor.lm_score(docs.where("false")).count() == 0
     alone = pitman_yor.lm_score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).collect()
     assert [(x["n_tokens"], x["n_known"], x["train_tokens"], x["score"]) for x in alone] == [(3, 0, 0, 0.0)]
+
+
+def test_every_word_is_a_context(spark):
+    """400 words, each always before the same other word and none near 1 % of the tokens: the pairs are learned."""
+    r = random.Random(6)
+    rows = []
+    for i in range(500):
+        w = []
+        for _ in range(40):
+            k = r.randrange(400)
+            w += [f"a{k}", f"b{k}"]
+        rows.append((i, " ".join(w)))
+    got = pitman_yor.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    out = [x for x in got if x["held_out"]]
+    assert out
+    # the second word of each pair is nearly certain, so about half of the unigram's digits remain
+    assert sum(x["score"] for x in out) > 0.65 * sum(x["base_score"] for x in out)
