@@ -212,16 +212,25 @@ def _count(batches):
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_docs: int = 1500, sample_chars: int = 20_000, held_back: int = 100) -> Model:
     """A model from labelled rows; see the module for the sample."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & (F.length(text_col) <= sample_chars)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)).alias("draw"))
+    draw = lambda seed, n: F.pmod(F.xxhash64(*seed, id_col, text_col), n)
+    # of a longer text, a piece from a drawn place
+    piece = F.substring(F.col(text_col), (draw([F.lit("piece")], F.greatest(F.length(text_col) - sample_chars, F.lit(0)) + 1) + 1).cast("int"), F.lit(sample_chars))
+    named = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = named.select(F.col(lang_col).alias("lang"), piece.alias("text"), draw([], F.lit(1_000_000)).alias("draw"), draw([F.lit("held")], F.lit(1000)).alias("slice"))
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not sizes:
         return Model({})
     share = {x: min(1_000_000, int(1_000_000 * sample_docs / n) + 1) for x, n in sizes.items()}
     at_most = F.create_map(*(F.lit(y) for pair in share.items() for y in pair))[F.col("lang")]
     sample = rows.where(F.col("draw") < at_most)
-    held = F.col("draw") % 1000 < F.lit(min(200, 1000 * held_back // sample_docs))
-    few = min(sizes.values()) < held_back  # too few to hold any back
-    counted = (sample if few else sample.where(~held)).select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    held = F.col("slice") < F.lit(min(200, 1000 * held_back // sample_docs))
+    few = [x for x, n in sizes.items() if n < held_back]  # too few to hold any back
+    if len(few) < len(sizes):
+        held = held & ~F.col("lang").isin(few)
+        learned = sample.where(~held)
+    else:  # then the checks are on learned text
+        learned = sample
+    counted = learned.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names, keys, n = np.array(counted["lang"].to_pylist(), object), counted["gram"].to_numpy().view(np.uint64), counted["n"].to_numpy()
     per_lang = {}
     for lang in sorted(set(names)):

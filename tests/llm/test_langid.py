@@ -105,3 +105,30 @@ def test_nothing_to_learn_from(spark):
     got = langid.identify(docs, langid.learn(docs), carry=("lang",)).collect()
     assert [(x["lang_pred"], x["score"], x["rejected"]) for x in got] == [("und", 0.0, True)]
     assert langid.identify(docs.where("false"), langid.learn(docs.where("false"))).count() == 0
+
+
+def test_held_back_rows_do_not_eat_the_sample_of_a_large_language(spark):
+    """A share so small that all draws are under the held-back slice, as with tens of millions of rows."""
+    docs = spark.range(200_000).selectExpr("id AS doc_id", "concat('the water of this house ', id) AS text", "'en' AS lang")
+    assert langid.fit(docs, sample_docs=12).langs == ["en"]
+
+
+def test_a_rare_language_does_not_change_what_others_hold_back(spark, monkeypatch):
+    made = []
+
+    class Seen(langid.Model):
+        def __init__(self, counted):
+            made.append({x: int(n.sum()) for x, (_, n) in counted.items()})
+            super().__init__(counted)
+
+    monkeypatch.setattr(langid, "Model", Seen)
+    rows = [(i, t, x) for i, t, _, x in corpus(5, 900)]
+    rare = [(1000 + i, "vatten och hus", "sv") for i in range(5)]
+    for r in (rows, rows + rare):
+        langid.fit(spark.createDataFrame(r, "doc_id long, text string, lang string"))
+    assert made[1].pop("sv") and made[0] == made[1]
+
+
+def test_a_language_with_long_texts_only_is_learned(spark):
+    rows = [(i, t, x) for i, t, _, x in corpus(5, 600) if x != "fr"] + [(1000 + i, "le la et maison avec cette " * 2000, "fr") for i in range(150)]
+    assert "fr" in langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs
