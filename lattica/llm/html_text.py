@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|select|svg|iframe|object)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|noscript|template|title|textarea|iframe)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*+>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
@@ -47,6 +47,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+#: Elements whose blocks are no text of the page.
+HIDDEN = frozenset("object select svg".split())
 #: Furniture by tag, and by the words of class, id and role.
 OFF_TAGS = frozenset("nav header footer aside form button menu dialog head select".split())
 OFF_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login form search comment comments reply replies disqus pagination pager toolbar copyright complementary contentinfo dialog".split())
@@ -63,6 +65,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
     text: list[str] = []
     linked = links = 0
     where: tuple = ()
+    hidden = 0  # how deep the outermost open hidden element is
 
     def flush() -> None:
         nonlocal linked
@@ -75,9 +78,13 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
 
     for m in TOKEN.finditer(page or ""):
         tag = m[3] or m[6]
+        if len(stack) < hidden:
+            hidden = 0
         if not tag:
             s = m[0]
             if s[0] != "<" or s == "<":
+                if hidden:
+                    continue
                 if not text:
                     if s.isspace():
                         continue
@@ -94,7 +101,7 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
             links = 0 if closing else 1
         if not inline:
             flush()
-        elif tag == "br":
+        elif tag == "br" and not hidden:
             text.append(" ") if text else None
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -113,9 +120,13 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
                 del stack[k - 1 :]
         rest = m[4] if m[3] else m[7]
         if rest and rest.rstrip().endswith("/"):
+            if tag == "svg":
+                continue
             rest = rest.rstrip()[:-1]
         words = tuple(w for a in ATTR.finditer(rest) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())) if rest and "=" in rest else ()
         stack.append((tag, words))
+        if tag in HIDDEN and not 0 < hidden < len(stack):
+            hidden = len(stack)
     flush()
     return out
 
@@ -348,8 +359,8 @@ def train(sample: list[str], drawn: int = 600, seed: int = 7) -> Labeller:
 def sample_of(pages: DataFrame, html_col: str, sample_pages: int, sample_chars: int) -> list[str]:
     """At most sample_pages pages of at most sample_chars characters, picked by a hash of their html."""
     small = pages.where(F.length(html_col) <= sample_chars).select(F.col(html_col).alias("h"), F.xxhash64(html_col).alias("k"))
-    picked = small.select("k").orderBy("k").limit(sample_pages)
-    return [row[0] for row in small.join(F.broadcast(picked.distinct()), "k", "left_semi").dropDuplicates(["k"]).select("h").limit(sample_pages).collect()]
+    picked = small.select("k").distinct().orderBy("k").limit(sample_pages)
+    return [row[0] for row in small.join(F.broadcast(picked), "k", "left_semi").dropDuplicates(["k"]).select("h").limit(sample_pages).collect()]
 
 
 def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), html_col: str = "html", sample_pages: int = 150, sample_chars: int = 60_000, model: Labeller | None = None) -> DataFrame:

@@ -88,3 +88,19 @@ def test_query(spark, tmp_path):
     assert np.mean([by[i]["text"] == t for i, t in want.items()]) > 0.9
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract(none).count() == 0
+
+
+def test_hidden_elements_end_where_they_or_an_ancestor_close():
+    texts = lambda page: [t for _, t, _ in H.blocks(page)]
+    assert texts('<article><p>a <svg class="i"/> b</p><p>c</p></article>') == ["a", "b", "c"]
+    assert texts("<p>a<svg><g><path d='M0'/><text>no</text></svg>b</p>") == ["a", "b"]
+    for tag in ("object", "select", "svg"):
+        assert texts(f"<div><p>a <{tag}><b>no<br>no</p><p>c</p></div>d") == ["a", "c", "d"]
+        assert texts(f"<div><{tag}><{tag}>no</{tag}>no</{tag}>b</div>") == ["b"]
+
+
+def test_equal_pages_do_not_fill_the_sample(spark):
+    pages = spark.createDataFrame([(f"<p>page {i}</p>",) for i in range(20)], "html string")
+    first = pages.selectExpr("html", "xxhash64(html) AS k").orderBy("k").first()["html"]
+    many = pages.union(spark.createDataFrame([(first,)] * 200, "html string"))
+    assert sorted(H.sample_of(many, "html", 150, 1000)) == sorted(x["html"] for x in pages.collect())
