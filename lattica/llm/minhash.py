@@ -5,10 +5,11 @@ hash of each; empty bins borrow from a bin drawn uniformly among the filled ones
 banded; documents with an equal band share a bucket, and in large buckets equal pairs of near bands make finer buckets
 within. Equal sets are one node from the start.
 
-Candidates are star-shaped and confirmed on full sets in two steps. First, one edge a node, to the smallest member of one
+Candidates are star-shaped and confirmed on full sets in three steps. First, one edge a node, to the smallest member of one
 of its buckets. Then, in buckets that hold several components, edges between components from up to eight hubs, picked by
-bucket-specific orders, to the other members: less than 8 m candidates for a bucket of m. Confirmed edges go through
-connected components. Band height is the largest at which a pair just at the threshold is missed by all bands with a
+bucket-specific orders, to the other members: less than 8 m candidates for a bucket of m. Third, what hubs left: nodes
+of buckets that still hold several components meet by the rare shingles of their full sets (a prefix filter), which
+misses no pair at the threshold. Confirmed edges go through connected components. Band height is the largest at which a pair just at the threshold is missed by all bands with a
 chance under 1e-5.
 
 Skew: exact copies collapse by (input partition, fingerprint) first, then by fingerprint; buckets are aggregated
@@ -178,6 +179,37 @@ def stars(met: DataFrame, parts: DataFrame, percent: int, hubs: int = 8, large:
     return _rays(rows.select("node", "n", "comp", "key"), percent, hubs).union(_rays(finer, percent, hubs)).distinct()
 
 
+def unsettled(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """node, comp: members of buckets that hold several components."""
+    rows = met.select("node", "key").join(parts.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return rows.join(mixed.hint("merge"), "key", "left_semi").select("node", "comp").distinct()
+
+
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, step: float = 1.01) -> DataFrame:
+    """Candidates u > v between components of nodes (node, comp): every pair that can reach the threshold.
+
+    Such sets share at least percent / (100 + percent) of the sum of their sizes; so in one order of all shingles, rare
+    ones first, they share one among the first of each, up to what it has beyond that and one more. Sizes are dealt into
+    classes, so that the bound is near that of the pair's own sizes. Shingles of one node alone come first and meet
+    nothing."""
+    each = sets.join(nodes.hint("merge"), "node").select("node", "comp", F.size("members").alias("n"), F.explode("members").alias("s"))
+    often = each.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    shared = each.join(often.hint("merge"), "s").groupBy("node", "comp", "n").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("m"))
+    class_of = lambda n: F.floor(F.log(n) / F.log(F.lit(step))).cast("int")
+    size_of = lambda c: F.pow(F.lit(step), c.cast("double") - 1e-6)
+    beyond = lambda c: F.col("n") - F.ceil(percent * (F.col("n") + size_of(c)) / (100 + percent) - 1e-6)
+    others = F.sequence(class_of(F.col("n") * percent / 100) - 1, class_of(F.col("n") * 100 / percent) + 1)
+    sized = shared.withColumn("own", class_of(F.col("n"))).withColumn("others", others)
+    dealt = sized.select("node", "comp", "n", "own", (F.col("n") - F.size("m")).alias("ahead"), "m", F.explode("others").alias("other"))
+    first = F.slice("m", F.lit(1), F.greatest(F.lit(0), beyond(F.col("other")) + 1 - F.col("ahead")).cast("int"))
+    keyed = materialise(dealt.select("node", "comp", "n", "own", "other", F.explode(F.transform(first, lambda x: x["s"])).alias("s")))
+    a = keyed.select(F.col("node").alias("u"), F.col("comp").alias("a"), F.col("n").alias("p"), "own", "other", "s")
+    b = keyed.select(F.col("node").alias("v"), F.col("comp").alias("b"), F.col("n").alias("q"), F.col("own").alias("other"), F.col("other").alias("own"), "s")
+    met = a.join(b.hint("merge"), ["s", "own", "other"])
+    return met.where((F.col("u") > F.col("v")) & (F.col("a") != F.col("b")) & (100 * F.least("p", "q") >= percent * F.greatest("p", "q"))).select("u", "v").distinct()
+
+
 def rows_of(docs: DataFrame, ids: DataFrame, most: int = 500_000) -> DataFrame:
     """docs' rows with a doc_id in ids (distinct). Up to `most` ids go to every executor; with more, both sides are dealt
     by doc_id."""
@@ -212,10 +244,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = materialise(components(found))
     rest = materialise(stars(met, parts, percent)).join(first.hint("merge"), ["u", "v"], "left_anti")
     more = materialise(confirm(rest, sets, percent))
-    if more.isEmpty():
-        linked = parts
-    else:
-        linked = materialise(components(found.union(more)))
+    linked = parts if more.isEmpty() else materialise(components(found.union(more)))
+    last = materialise(confirm(prefix_pairs(materialise(unsettled(met, linked)), sets, percent), sets, percent))
+    if not last.isEmpty():
+        linked = materialise(components(found.union(more).union(last)))
     whole = members.select("doc_id", "n", "rep").join(linked.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     alone = made.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = whole.select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id")).union(alone)

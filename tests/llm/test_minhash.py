@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.llm import minhash
 from lattica.operators.components import components
@@ -112,3 +113,28 @@ def test_components_of_chains_stars_and_cycles(spark):
     want = {i: 100 for i in range(100, 161)} | {k: 5 for k in [5, *range(10, 60)]} | {70: 70, 71: 70, 72: 70}
     assert got == want
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_links_that_no_hub_meets(spark, monkeypatch):
+    """A crowd with 180 of 200 shingles in common (0.818), planted pairs at 184 of 216 (0.852), and hubs that meet none."""
+    monkeypatch.setattr(minhash, "stars", lambda met, parts, percent: met.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false"))
+    common = [f"c{k}" for k in range(180)]
+    own = {i: [f"o{i}x{k}" for k in range(20)] for i in range(120)}
+    for i in range(0, 40, 2):
+        own[i + 1][:4] = own[i][:4]
+    docs = spark.createDataFrame([(i, " ".join(common + w)) for i, w in own.items()], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, width=1, percent=85).collect()}
+    assert got == {i: i - i % 2 if i < 40 else i for i in own}
+
+
+def test_prefix_pairs_miss_nothing(spark):
+    r = random.Random(3)
+    made = {}
+    for i in range(150):
+        near = list(made[r.randrange(i)]) if i and i % 2 else r.sample(range(300), 80)
+        made[i] = set(r.sample(near, len(near) - r.randint(0, min(8, len(near) - 1)))) | set(r.sample(range(300), r.randint(0, 6)))
+    sets = spark.createDataFrame([(i, sorted(m)) for i, m in made.items()], "node long, members array<long>")
+    nodes = spark.createDataFrame([(i, i) for i in made], "node long, comp long")
+    got = {tuple(x) for x in minhash.confirm(minhash.prefix_pairs(nodes, sets, 80), sets, 80).collect()}
+    want = {(a, b) for a in made for b in made if a > b and 100 * len(made[a] & made[b]) >= 80 * len(made[a] | made[b])}
+    assert got == want and len(want) > 30
