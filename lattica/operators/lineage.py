@@ -3,16 +3,26 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With it Spark removes a query's shuffle files when the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_written: WeakKeyDictionary[DataFrame, tuple[SparkSession, str]] = WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, as in tests, local sessions get a folder of
+    their own; a cluster has no folder that could be guessed."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lattica-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,14 +36,38 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialise(df: DataFrame) -> DataFrame:
+@contextlib.contextmanager
+def _own_shuffles_go(spark: SparkSession):
+    """Within it, what a query shuffles goes when it ends; nothing reads it again, as each query here ends in a table."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def materialise(df: DataFrame, codec: str = "snappy", file_rows: int = 0) -> DataFrame:
     """df as a table written to the shared folder: later jobs read the same rows, whatever executor is lost.
 
-    The table goes when the driver's Python ends.
+    The table goes by `drop`, or when the driver's Python ends. file_rows: rows in a file at most (0: any number).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with _own_shuffles_go(spark):
+        df.write.option("compression", codec).option("maxRecordsPerFile", file_rows).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    _written[out] = (spark, path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that `materialise` wrote and that no later job reads."""
+    for table in tables:
+        if table in _written:
+            _remove(*_written.pop(table))
