@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: With it Spark removes a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: With it a task may write several folders at once, so rows need not be sorted by folder first.
+WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 _written: WeakKeyDictionary[DataFrame, tuple[SparkSession, str]] = WeakKeyDictionary()
 
 
@@ -37,29 +39,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @contextlib.contextmanager
-def _own_shuffles_go(spark: SparkSession):
+def _while_writing(spark: SparkSession):
     """Within it, what a query shuffles goes when it ends; nothing reads it again, as each query here ends in a table."""
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true", WRITERS: "16"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def materialise(df: DataFrame, codec: str = "snappy", file_rows: int = 0) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy", file_rows: int = 0, by: str | None = None) -> DataFrame:
     """df as a table written to the shared folder: later jobs read the same rows, whatever executor is lost.
 
-    The table goes by `drop`, or when the driver's Python ends. file_rows: rows in a file at most (0: any number).
+    The table goes by `drop`, or when the driver's Python ends. file_rows: rows in a file at most (0: any number). by: a
+    column of a few values, each of which gets a folder, so that later jobs read what they ask for.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lattica-{uuid.uuid4().hex}"
     schema = df.schema
-    with _own_shuffles_go(spark):
-        df.write.option("compression", codec).option("maxRecordsPerFile", file_rows).parquet(path)
+    with _while_writing(spark):
+        df.write.option("compression", codec).option("maxRecordsPerFile", file_rows).parquet(path, partitionBy=by)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(schema).parquet(path)
     _written[out] = (spark, path)
