@@ -75,6 +75,45 @@ SELECT * FROM both_sides
 """
 
 
+@query
+def tool_calls_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same operator on messages in JSON: each conversation numbers its calls from call_0, so identifiers recur in all of
+    them, and every fourth call comes after two others."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    number = lambda back: F.concat(F.lit("call_"), (F.col("turn") - back).cast("string"))
+    after = F.when(F.col("turn") % 8 == 0, F.array(number(2), number(4))).otherwise(F.array(number(2)))
+    call = F.struct(number(0).alias("id"), after.alias("after"), F.lit("reply").alias("name"), F.to_json(F.struct(F.col("text").alias("prompt"), "turn")).alias("arguments"))
+    calls = rows.where("role = 'user'").select("conv_id", "turn", F.lit("assistant").alias("role"), F.to_json(F.struct(F.array(call).alias("tool_calls"))).alias("text"))
+    results = rows.where("role = 'assistant'").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(number(1).alias("tool_call_id"), F.col("text").alias("content"))).alias("text"))
+    return tool_calls.link(*tool_calls.json_traffic(calls.union(results)), tool_calls.REPLY)
+
+
+ORACLES["tool_calls_json"] = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, text, 'call_' || turn AS call_id FROM conversations WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), r AS (
+  SELECT conv_id, turn, text AS content, 'call_' || (turn - 1) AS call_id FROM conversations WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL
+), e AS (
+  SELECT a.conv_id, a.turn, b.turn AS before FROM c a JOIN c b ON a.conv_id = b.conv_id AND (b.turn = a.turn - 2 OR (a.turn % 8 = 0 AND b.turn = a.turn - 4))
+), w(conv_id, turn, level) AS (
+  SELECT conv_id, turn, 0::BIGINT FROM c WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM e)
+  UNION
+  SELECT e.conv_id, e.turn, w.level + 1 FROM e JOIN w ON e.conv_id = w.conv_id AND e.before = w.turn
+), l AS (
+  SELECT conv_id, turn, max(level) AS level FROM w GROUP BY conv_id, turn
+)
+SELECT c.conv_id, c.call_id, c.turn, CASE WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'linked' END AS status, l.level,
+       1::BIGINT AS copies, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END::BIGINT AS n_results, length(c.text) > 0 AS valid,
+       CASE WHEN length(c.text) > 0 THEN NULL WHEN c.text IS NULL THEN 'prompt is missing' ELSE 'prompt breaks minLength' END AS error,
+       json_object('arguments', json_object('prompt', c.text, 'turn', c.turn), 'id', c.call_id, 'level', l.level, 'name', 'reply', 'result', r.content)::VARCHAR AS record
+FROM c JOIN l USING (conv_id, turn) LEFT JOIN r USING (conv_id, call_id)
+UNION ALL
+SELECT r.conv_id, r.call_id, r.turn, 'orphan', NULL, 0, 1, false, NULL,
+       json_object('arguments', NULL, 'id', r.call_id, 'level', NULL, 'name', NULL, 'result', r.content)::VARCHAR
+FROM r WHERE (conv_id, call_id) NOT IN (SELECT (conv_id, call_id) FROM c)
+"""
+
+
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
