@@ -137,7 +137,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_media(media.store_text(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_samples")
+    return media.read_media(media.store_text(table(spark, sf_dir, "documents"))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration", "n_samples", "keyframes")
 
 
 @query

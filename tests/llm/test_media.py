@@ -56,16 +56,62 @@ def test_containers_of_another_make():
     assert [data[a:z] for a, z in media.key_ranges(media.tracks(data)[0])] == samples
 
 
+def test_wide_containers():
+    payload = media.padded("wide " * 500)[0]
+    data = media.container(payload, wide=True)
+    t, narrow = media.tracks(data)[0], media.tracks(media.container(payload))[0]
+    assert media.payload_of(data, t) == payload and all(t[k] == narrow[k] for k in ("id", "codec", "timescale", "ticks", "n_samples", "keys"))
+    assert [data[a:z] for a, z in media.key_ranges(t)] == [payload[k : k + 64] for k in range(0, len(payload), 64 * media.KEY_EVERY)]
+
+
+def empty_track(number: int, codec: bytes) -> bytes:
+    """A track whose samples are in fragments; its duration is left open."""
+    stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(codec, b"\0" * 40)), *(media.full(k, b"\0" * 4) for k in (b"stts", b"stsc", b"stco")), media.full(b"stsz", b"\0" * 8))
+    mdhd = media.full(b"mdhd", struct.pack(">IIII", 0, 0, 600, 0), b"\0" * 4)
+    return media.box(b"trak", media.full(b"tkhd", struct.pack(">III", 0, 0, number), b"\0" * 68), media.box(b"mdia", mdhd, media.box(b"minf", stbl)))
+
+
+def test_two_tracks_in_fragments():
+    """Sizes, flags and offsets given by sample, by fragment and by track, in two fragments of two tracks."""
+    trex = [media.full(b"trex", struct.pack(">IIIII", k, 1, 10, size, flags)) for k, size, flags in ((1, 0, media.SYNC), (2, 5, 0))]
+    data = media.box(b"ftyp", b"iso5", b"\0" * 8) + media.box(b"moov", empty_track(1, b"avc1"), empty_track(2, b"mp4a"), media.box(b"mvex", *trex))
+    want = {1: ([], []), 2: ([], [])}
+    for turn in range(2):
+        video, audio = [bytes([65 + turn]) * n for n in (7, 2, 4)], [bytes([97 + turn]) * 5] * 2
+
+        def moof(offset, turn=turn):
+            first = struct.pack(">IIiI", 0x205, 3, offset, 0) + struct.pack(">III", 7, 2, 4)
+            one = media.box(b"traf", media.box(b"tfhd", struct.pack(">II", 0x20000, 1)), media.box(b"trun", first))
+            second = struct.pack(">II", 0, 2)  # follows the data of the track before it
+            if turn:
+                second = struct.pack(">IIi", 1, 2, offset + 13)
+            two = media.box(b"traf", media.box(b"tfhd", struct.pack(">II", 0x20000 if turn else 0, 2)), media.box(b"trun", second))
+            return media.box(b"moof", media.full(b"mfhd", b"\0\0\0\1"), one, two)
+
+        data += moof(len(moof(0)) + 8) + media.box(b"mdat", *video, *audio)
+        want[1][0].extend(video)
+        want[1][1].append(video[0])
+        want[2][0].extend(audio)
+        want[2][1].extend(audio)
+    found = media.tracks(data)
+    assert [(t["id"], t["codec"], t["n_samples"]) for t in found] == [(1, "avc1", 6), (2, "mp4a", 4)]
+    for t in found:
+        samples, keys = want[t["id"]]
+        assert media.payload_of(data, t) == b"".join(samples)
+        assert [data[a:z] for a, z in media.key_ranges(t)] == keys
+    assert [x["codec"] for x in media.describe(data)[-1]] == ["avc1", "mp4a"]
+
+
 def test_damage_never_raises():
     data, r = media.container(media.padded("some text " * 40)[0]), random.Random(4)
     for n in range(0, len(data), 7):
-        assert len(media.describe(data[:n])) == 12
+        assert len(media.describe(data[:n])) == 13
     for _ in range(400):
         broken = bytearray(data)
         for _ in range(r.randint(1, 6)):
             broken[r.randrange(len(broken))] = r.randrange(256)
-        assert len(media.describe(bytes(broken))) == 12
-    assert media.describe(b"")[-1] == "no track" and media.describe(None)[-1] == "no bytes"
+        assert len(media.describe(bytes(broken))) == 13
+    assert media.describe(b"")[-2] == "no track" and media.describe(None)[-2] == "no bytes"
 
 
 def test_query(spark, tmp_path):
