@@ -1,14 +1,19 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page is cut into leaf text blocks (text between block-level tags). Each block is a vector: its tag path with class,
-id and role tokens hashed, its words hashed, and a few numbers (words for furniture or articles in the path, length,
-link share, place in the page). A bidirectional
-LSTM in numpy reads a page's whole sequence of blocks and labels each one as article or not.
+id and role tokens hashed, its words hashed, and a few numbers (length, link share, signs of a legal line, likeness to
+the page's title, place in the page). A bidirectional LSTM in numpy reads a page's whole sequence of blocks and labels
+each one as article or not.
 
 The labeller is trained here, on a bounded sample (`sample_pages`, whole pages) and on pages drawn from a small
-grammar of page furniture. Training labels come from a structural rule (`weak_label`): inside an article container and
-under no furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments). Labelling itself uses the
-network alone.
+grammar of page furniture. Training labels come from rules that the network never sees as inputs (`weak_labels`): inside
+an article container and under no furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments), but
+for headlines in an article's own header; no legal lines; where no container marks the article, no text that several
+unlike sample pages repeat.
+Labelling itself uses the network alone.
+
+Cutting a page takes time in proportion to its length, however broken it is. Of paths over 64 elements deep the outer
+and the inner half of 64 count.
 
 Defined results:
     null html, no blocks     empty text, 0 characters
@@ -26,46 +31,84 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|textarea|iframe)(?=[\s/>])(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>"
-    r"|[^<]++|<",
-    re.S | re.I,
-)
+QUOTED = r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+"
+RAW = "script|style|template|title|textarea|iframe|desc"
+
+
+def _tokens(attributes: str, last: str) -> re.Pattern:
+    return re.compile(
+        r"<!--.*?(?:-->|\Z)"
+        rf"|<({RAW})(?=[\s/>]){attributes}>.*?(?:</\1\s*>|\Z)"
+        r"|<[!?][^>]*+>"
+        rf"|<(/?)([a-zA-Z][^\s/>]*+)({attributes})>"
+        rf"|<(/?)([a-zA-Z][^\s/>]*+){last}>"
+        r"|[^<]++|<",
+        re.S | re.I,
+    )
+
+
+#: With quotes read as in HTML; without, for pages whose quotes do not close.
+TOKEN, PLAIN = _tokens(QUOTED, "([^>]*+)"), _tokens("[^>]*+", "([^>]*+)")
+UNCLOSED = 32  # tags whose quotes run to the page's end, each found by reading to there; from then on quotes are no quotes
 ATTR = re.compile(r"(class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img input".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-#: Elements whose blocks are no text of the page.
-HIDDEN = frozenset("object select svg".split())
-#: Furniture by tag, and by the words of class, id and role.
+#: Furniture by tag, and by the words of class, id and role: on any element, or on those that hold whole parts of a page.
 OFF_TAGS = frozenset("nav header footer aside form button menu dialog head select".split())
-OFF_WORDS = frozenset("ad ads adv advert adverts advertisement banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget related recommended share sharing social cookie cookies consent notice alert popup modal overlay newsletter subscribe signup login form search comment comments reply replies disqus pagination pager toolbar copyright complementary contentinfo dialog".split())
+OFF_WORDS = frozenset("ad ads adv advert adverts advertisement sponsor sponsored promo nav navbar breadcrumb breadcrumbs footer sidebar cookie cookies consent newsletter subscribe signup comment comments reply replies disqus share sharing social popup modal overlay toolbar copyright complementary contentinfo".split())
+PART_WORDS = frozenset("banner navigation menu header masthead aside widget related recommended notice alert login form search pagination pager dialog legal".split())
+EVERY_OFF = sorted(OFF_WORDS | PART_WORDS)
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split()) | INLINE
+HEADLINES = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEGAL = re.compile(r"\s*(?:\u00a9|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S)
+DEPTH = 64
 ON_TAGS = frozenset("article main".split())
 ON_WORDS = frozenset("article post entry story".split())
-PATH, WORDS, NUMBERS = 160, 24, 9
+PATH, WORDS, NUMBERS = 320, 24, 8
 WIDTH = PATH + WORDS + NUMBERS
 
 
+def _pieces(page: str):
+    """Matches of TOKEN; behind the last > there are no tags, only text and an open comment."""
+    end = page.rfind(">") + 1
+    pattern, at, broken = TOKEN, 0, 0
+    while at < end:
+        m = pattern.match(page, at, end)
+        if m[6] and pattern is TOKEN:
+            broken += 1
+            pattern = PLAIN if broken > UNCLOSED else TOKEN
+        yield m
+        at = m.end()
+    open_comment = page.find("<!--", end)
+    tail = page[end : open_comment if open_comment >= 0 else len(page)]
+    if tail:
+        yield re.match(r"(?s).*()()()()()()()", tail)
+
+
+def title_of(page: str) -> str:
+    """The text of the title element, in lower case."""
+    m = re.search(r"<title\b[^>]*>([^<]*)", page, re.I)
+    return " ".join(entities.unescape(m[1]).lower().split()) if m else ""
+
+
 def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
     """(path, text, share of the text within links) of each leaf block; path holds (tag, words) from the root down."""
     out: list[tuple[tuple, str, float]] = []
     stack: list[tuple[str, tuple]] = []
+    opened: Counter = Counter()
     text: list[str] = []
     linked = links = 0
     where: tuple = ()
-    hidden = 0  # how deep the outermost open hidden element is
 
     def flush() -> None:
         nonlocal linked
@@ -76,23 +119,24 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
             text.clear()
             linked = 0
 
-    for m in TOKEN.finditer(page or ""):
+    def close(k: int) -> None:
+        for tag, _ in stack[k:]:
+            opened[tag] -= 1
+        del stack[k:]
+
+    for m in _pieces(page or ""):
         tag = m[3] or m[6]
-        if len(stack) < hidden:
-            hidden = 0
         if not tag:
             s = m[0]
-            if s[0] != "<" or s == "<":
-                if hidden:
-                    continue
+            if s[0] != "<" or s == "<" or m[7] == "":
                 if not text:
                     if s.isspace():
                         continue
-                    where = tuple(stack)
+                    where = tuple(stack) if len(stack) <= DEPTH else (*stack[: DEPTH // 2], *stack[-DEPTH // 2 :])
                 s = entities.unescape(s) if "&" in s else s
                 text.append(s)
                 linked += len(s) * (links > 0)
-            elif m[1] and m[1].lower() not in ("script", "style", "noscript", "template"):
+            elif m[1] and m[1].lower() not in ("script", "style", "template"):
                 flush()
             continue
         tag, closing = tag.lower(), m[2] or m[5]
@@ -101,32 +145,32 @@ def blocks(page: str | None) -> list[tuple[tuple, str, float]]:
             links = 0 if closing else 1
         if not inline:
             flush()
-        elif tag == "br" and not hidden:
+        elif tag == "br":
             text.append(" ") if text else None
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             continue
         if tag in VOID:
             continue
         shut = CLOSES.get(tag) or (ENDS_P_SHUT if tag in ENDS_P else None)
         if shut:
             k = len(stack)
-            while k and stack[k - 1][0] in INLINE:
+            while k and stack[k - 1][0] in INLINE and len(stack) - k < DEPTH:
                 k -= 1
             if k and stack[k - 1][0] in shut:
-                del stack[k - 1 :]
+                close(k - 1)
         rest = m[4] if m[3] else m[7]
         if rest and rest.rstrip().endswith("/"):
-            if tag == "svg":
+            if opened["svg"] or tag == "svg":  # an element without content
                 continue
             rest = rest.rstrip()[:-1]
         words = tuple(w for a in ATTR.finditer(rest) for w in WORD.findall((a[2] or a[3] or a[4] or "").lower())) if rest and "=" in rest else ()
-        stack.append((tag, words))
-        if tag in HIDDEN and not 0 < hidden < len(stack):
-            hidden = len(stack)
+        stack.append((tag, words[:DEPTH]))
+        opened[tag] += 1
     flush()
     return out
 
@@ -135,17 +179,33 @@ ENDS_P_SHUT = frozenset({"p"})
 
 
 def weak_label(path: tuple, has_article: bool) -> bool:
+    """By path alone."""
     inside = False
+    headline = any(tag in HEADLINES for tag, _ in path)
     for tag, words in path:
-        if tag in OFF_TAGS or any(w in OFF_WORDS for w in words):
+        if tag in OFF_TAGS and not (tag == "header" and inside and headline):
+            return False
+        if any(w in OFF_WORDS or (w in PART_WORDS and tag not in LEAVES) for w in words) and not (tag == "header" and inside and headline and not any(w in OFF_WORDS for w in words)):
             return False
         inside = inside or tag in ON_TAGS or any(w in ON_WORDS for w in words)
     return inside or not has_article
 
 
-def weak_labels(found: list) -> list[bool]:
-    inside = [weak_label(path, True) for path, _, _ in found]
-    return inside if any(inside) else [weak_label(path, False) for path, _, _ in found]
+def weak_labels(found: list, repeated: frozenset = frozenset()) -> list[bool]:
+    """Of a page's blocks. repeated: texts that stand in several pages; where nothing marks the article, they are furniture."""
+    inside = [not LEGAL.match(text) and weak_label(path, True) for path, text, _ in found]
+    return inside if any(inside) else [not LEGAL.match(text) and text not in repeated and weak_label(path, False) for path, text, _ in found]
+
+
+def repeats(pages: list[list], least: int = 3) -> frozenset:
+    """Texts of at least `least` pages whose longest blocks differ."""
+    seen: dict[str, set] = {}
+    for found in pages:
+        longest = max((text for _, text, _ in found), key=len, default="")
+        for text in {text for _, text, _ in found}:
+            if text != longest:
+                seen.setdefault(text, set()).add(longest)
+    return frozenset(text for text, of in seen.items() if len(of) >= least)
 
 
 def _slot(s: str, n: int) -> int:
@@ -160,14 +220,11 @@ class Features:
     def path(self, path: tuple) -> np.ndarray:
         v = self.paths.get(path)
         if v is None:
-            v = np.zeros(PATH + 3, np.float32)
-            v[PATH] = any(tag in OFF_TAGS for tag, _ in path)
-            v[PATH + 1] = any(w in OFF_WORDS for _, words in path for w in words)
-            v[PATH + 2] = any(tag in ON_TAGS or any(w in ON_WORDS for w in words) for tag, words in path)
+            v = np.zeros(PATH, np.float32)
             for tag, words in path:
                 v[_slot("t:" + tag, PATH)] += 1
                 for w in words:
-                    v[_slot("w:" + w, PATH)] += 1
+                    v[_slot(("leaf:" if tag in LEAVES else "part:") + w, PATH)] += 1
             for k, (tag, _) in enumerate(path[:-4:-1]):
                 v[_slot(f"{k}:{tag}", PATH)] += 1
             v = np.minimum(v, 2)
@@ -184,13 +241,14 @@ class Features:
             k = self.words[w] = _slot(w, WORDS)
         return k
 
-    def page(self, found: list) -> np.ndarray:
+    def page(self, found: list, title: str = "") -> np.ndarray:
         x = np.zeros((len(found), WIDTH), np.float32)
         for i, (path, text, linked) in enumerate(found):
-            x[i, : PATH + 3] = self.path(path)
-            slots = [self.word(w) for w in text.lower().split()]
-            x[i, PATH + 3 : PATH + 3 + WORDS] = np.bincount(slots, minlength=WORDS) / len(slots)
-            x[i, PATH + 3 + WORDS :] = (np.log1p(len(text)) / 8, linked, len(path) / 10, i / len(found), min(i, 10) / 10, min(len(found) - 1 - i, 10) / 10)
+            x[i, :PATH] = self.path(path)
+            low = text.lower()
+            slots = [self.word(w) for w in low.split()]
+            x[i, PATH : PATH + WORDS] = np.bincount(slots, minlength=WORDS) / len(slots)
+            x[i, PATH + WORDS :] = (np.log1p(len(text)) / 8, linked, len(path) / 10, i / len(found), min(i, 10) / 10, min(len(found) - 1 - i, 10) / 10, LEGAL.match(text) is not None, low == title)
         return x
 
 
@@ -264,7 +322,7 @@ class Labeller:
             g["b" + d] = gates.sum((0, 1))
         return loss, g
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 32, rate: float = 0.02, longest: int = 96, seed: int = 7) -> float:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, batch: int = 32, rate: float = 0.02, longest: int = 96, seed: int = 7) -> float:
         """Adam on windows of at most `longest` blocks."""
         parts = [(x[k : k + longest], y[k : k + longest]) for x, y in pages for k in range(0, len(x), longest)]
         r = np.random.default_rng(seed)
@@ -320,19 +378,27 @@ def drawn_page(r: random.Random, words: list[str]) -> str:
         return f"<p>{say(a, b)}</p>" if r.random() < 0.8 else f"<p><b>{say(2, 5)}<br>{say(a, b)}"
 
     def off() -> str:
-        word = r.choice(sorted(OFF_WORDS))
+        word = r.choice(EVERY_OFF)
         inner = r.choice([lambda: say(2, 30), lambda: p(3, 20), lambda: links(r.randint(2, 6)), lambda: f"<h3>{say(1, 3)}</h3>" + p(3, 25), lambda: f"<div><p>{say(5, 40)}</p></div>"])()
         if r.random() < 0.45:
             tag = r.choice(["nav", "header", "footer", "aside", "form", "dialog", "menu"])
             return f"<{tag}>{inner}</{tag}>"
-        tag = r.choice(["div", "section", "ul", "div", "p"])
+        tag = r.choice(["div", "section", "ul", "div", "p" if word in OFF_WORDS else "div"])
+        inner = say(2, 30) if tag == "p" else inner  # a block element would end it
         name = r.choice([word, f"{word}-{r.choice(['box', 'top', 'inner', 'list', '1'])}", f"site-{word}", f"{word} wide"])
         return f'<{tag} {r.choice(["class", "id", "class", "role"])}="{name}">{inner}</{tag}>'
 
+    def odd() -> str:
+        """Article text in elements or under names that elsewhere are no article."""
+        word = r.choice(sorted(PART_WORDS))
+        return r.choice([lambda: f'<p class="{word}">{say(4, 30)}</p>', lambda: f"<noscript>{p()}</noscript>", lambda: f"<svg><text>{say(1, 5)}</text></svg>", lambda: f"<object><p>{say(3, 12)}</p></object>", lambda: f'<h2 id="{word}">{say(2, 6)}</h2>'])()
+
     def on() -> str:
-        return r.choice([p, p, p, p, lambda: f"<h2>{say(2, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(r.randint(2, 5))) + "</ul>", lambda: f"<blockquote>{p(5, 25)}</blockquote>", lambda: f"<pre>{say(5, 20)}</pre>", lambda: f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", lambda: f"<figure><img src=x><figcaption>{say(3, 10)}</figcaption></figure>", lambda: f"<div>{say(5, 30)} <a href=x>{say(1, 3)}</a> {say(3, 9)}</div>", lambda: f"<h3>{say(2, 6)}</h3>"])()
+        return r.choice([p, p, p, p, odd, lambda: f"<h2>{say(2, 8)}</h2>", lambda: "<ul>" + "".join(f"<li>{say(3, 15)}</li>" for _ in range(r.randint(2, 5))) + "</ul>", lambda: f"<blockquote>{p(5, 25)}</blockquote>", lambda: f"<pre>{say(5, 20)}</pre>", lambda: f"<table><tr><td>{say(1, 4)}</td><td>{say(1, 4)}</td></tr></table>", lambda: f"<figure><img src=x><figcaption>{say(3, 10)}</figcaption></figure>", lambda: f"<div>{say(5, 30)} <a href=x>{say(1, 3)}</a> {say(3, 9)}</div>", lambda: f"<h3>{say(2, 6)}</h3>"])()
 
-    body = f"<h1>{say(3, 10)}</h1>" + "".join(on() if r.random() < 0.85 else off() for _ in range(r.randint(2, 14)))
+    title = say(3, 10)
+    head = r.choice([f"<h1>{title}</h1>", f"<h1>{title}</h1>", f"<header><h1>{title}</h1><p>{say(2, 6)}</p></header>", f'<header class="header"><h1>{title}</h1></header>'])
+    body = head + "".join(on() if r.random() < 0.85 else off() for _ in range(r.randint(2, 14)))
     opening = r.choice(["<article>", "<article>", "<main>", "<main><article>", '<div class="post">', '<div id="content"><article>', '<div class="article-body">', '<section class="entry">', "<div>"])
     closing = "".join(f"</{t}>" for t in reversed(re.findall(r"<(\w+)", opening)))
     before, after = "".join(off() for _ in range(r.randint(0, 4))), "".join(off() for _ in range(r.randint(0, 4)))
@@ -342,17 +408,24 @@ def drawn_page(r: random.Random, words: list[str]) -> str:
         after += f"<footer>{say(2, 12)}</footer>"
     if r.random() < 0.3 and opening != "<div>":
         before += f"<div>{say(2, 9)}</div>"
-    return f"<html><head><title>{say(2, 6)}</title></head><body>{before}{opening}{body}{closing}{after}</body></html>"
+    if r.random() < 0.3:
+        legal = r.choice(["&copy;", "(c)", "Copyright"]) + f" {say(1, 6)}"
+        legal = r.choice([legal, f"{legal}. All rights reserved.", f"{say(1, 3)} All rights reserved"])
+        line = r.choice([f"<div>{legal}</div>", f"<p>{legal}</p>", f'<div class="legal">{legal}</div>', f'<p class="small">{legal}</p>'])
+        body, after = (body + line, after) if r.random() < 0.3 else (body, after + line)
+    return f"<html><head><title>{r.choice([title, say(2, 6)])}</title></head><body>{before}{opening}{body}{closing}{after}</body></html>"
 
 
-def train(sample: list[str], drawn: int = 600, seed: int = 7) -> Labeller:
+def train(sample: list[str], drawn: int = 1000, seed: int = 7) -> Labeller:
     """A labeller from sample pages and drawn ones."""
     r, features = random.Random(seed), Features()
-    found = [b for b in map(blocks, sample) if b]
-    words = [w for b in found[:200] for _, text, _ in b for w in text.split()[:30]][:20_000] or ["word", "text", "of", "the"]
-    found += [b for b in (blocks(drawn_page(r, words)) for _ in range(drawn)) if b]
+    own = [(blocks(h), title_of(h)) for h in sample]
+    words = [w for b, _ in own[:200] for _, text, _ in b for w in text.split()[:30]][:20_000] or ["word", "text", "of", "the"]
+    again = repeats([b for b, _ in own])
+    made = [(blocks(h), title_of(h)) for h in (drawn_page(r, words) for _ in range(drawn))]
+    rows = [(b, t, weak_labels(b, again)) for b, t in own] + [(b, t, weak_labels(b)) for b, t in made]
     model = Labeller(seed=seed)
-    model.fit([(features.page(b), np.array(weak_labels(b), np.float32)) for b in found])
+    model.fit([(features.page(b, t), np.array(y, np.float32)) for b, t, y in rows if b])
     return model
 
 
@@ -372,8 +445,9 @@ def extract(pages: DataFrame, id_cols: tuple[str, ...] = ("page_id", "url"), htm
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                found = [blocks(x.as_py()) for x in part.column(part.num_columns - 1)]
-                keep = labeller.label([features.page(b) for b in found])
+                html = [x.as_py() or "" for x in part.column(part.num_columns - 1)]
+                found = [blocks(h) for h in html]
+                keep = labeller.label([features.page(b, title_of(h)) for b, h in zip(found, html, strict=True)])
                 texts = ["\n".join(text for (_, text, _), on in zip(b, y, strict=True) if on) for b, y in zip(found, keep, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(id_cols))), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*id_cols, "text", "n_chars"])
 

@@ -14,7 +14,7 @@ def labeller():
 
 def extracted(labeller, page):
     b = H.blocks(page)
-    keep = labeller.label([H.Features().page(b)])[0]
+    keep = labeller.label([H.Features().page(b, H.title_of(page))])[0]
     return "\n".join(t for (_, t, _), y in zip(b, keep, strict=True) if y)
 
 
@@ -51,8 +51,9 @@ def test_accuracy_on_pages_it_has_not_seen(labeller):
     words = "the of and zu mit haus maison agua under news daily".split()
     right = total = 0
     for _ in range(200):
-        b = H.blocks(H.drawn_page(r, words))
-        got = labeller.label([H.Features().page(b)])[0]
+        h = H.drawn_page(r, words)
+        b = H.blocks(h)
+        got = labeller.label([H.Features().page(b, H.title_of(h))])[0]
         right += (got == np.array(H.weak_labels(b))).sum()
         total += len(b)
     assert right / total > 0.985
@@ -90,13 +91,62 @@ def test_query(spark, tmp_path):
     assert H.extract(none).count() == 0
 
 
-def test_hidden_elements_end_where_they_or_an_ancestor_close():
+def test_embedded_elements_hold_blocks_of_their_own():
     texts = lambda page: [t for _, t, _ in H.blocks(page)]
     assert texts('<article><p>a <svg class="i"/> b</p><p>c</p></article>') == ["a", "b", "c"]
-    assert texts("<p>a<svg><g><path d='M0'/><text>no</text></svg>b</p>") == ["a", "b"]
-    for tag in ("object", "select", "svg"):
-        assert texts(f"<div><p>a <{tag}><b>no<br>no</p><p>c</p></div>d") == ["a", "c", "d"]
-        assert texts(f"<div><{tag}><{tag}>no</{tag}>no</{tag}>b</div>") == ["b"]
+    assert texts("<p>a<svg><title>no</title><g><path d='M0'/><text>label</text></svg>b</p>") == ["a", "label", "b"]
+    for tag in ("object", "svg", "noscript"):
+        assert texts(f"<div><p>a <{tag}><b>in<br>it</p><p>c</p></div>d") == ["a", "in it", "c", "d"]
+    assert not any(H.weak_labels(H.blocks("<article><p>a</p></article><select><option>x</select>"))[1:])
+
+
+def test_article_text_in_unusual_places(labeller):
+    page = """<html><body><nav><ul><li><a href=/>Home page</a></ul></nav><article><header class="header"><h1>The head line</h1></header>
+    <p class="search">Searching is what this paragraph of the article is about.</p><noscript><p>A table that readers without scripts see.</p></noscript>
+    <p>Much more text follows here.</p><svg><text>axis of the figure</text></svg></article><div class="legal">Some Press. All rights reserved</div><footer>end</footer></body></html>"""
+    assert extracted(labeller, page).split("\n") == ["The head line", "Searching is what this paragraph of the article is about.", "A table that readers without scripts see.", "Much more text follows here.", "axis of the figure"]
+
+
+def test_labels_are_no_inputs():
+    """Two paths that differ in nothing but a word of the label rules differ in hashed slots alone."""
+    f = H.Features()
+    one, two = (f.page([((("div", (w,)),), "text", 0.0)])[0] for w in ("cookie", "wording"))
+    assert set(np.flatnonzero(one != two)) <= {H._slot("part:cookie", H.PATH), H._slot("part:wording", H.PATH)}
+
+
+def test_scores_against_plain_loops():
+    """The network read block by block and unit by unit, and the query's texts that follow from it."""
+    import math
+
+    r = np.random.default_rng(3)
+    m = H.Labeller(hidden=4, seed=2)
+    x = r.normal(size=(6, H.WIDTH)).astype(np.float32)
+    want = [float(x[t] @ m.p["ox"] + m.p["o0"][0]) for t in range(6)]
+    for d, order in (("f", range(6)), ("b", range(5, -1, -1))):
+        s, c = [0.0] * 4, [0.0] * 4
+        for t in order:
+            a = [m.p["b" + d][k] + sum(x[t][j] * m.p["x" + d][j][k] for j in range(H.WIDTH)) + sum(s[j] * m.p["h" + d][j][k] for j in range(4)) for k in range(16)]
+            gate = [1 / (1 + math.exp(-v)) for v in a[:12]]
+            c = [gate[4 + u] * c[u] + gate[u] * math.tanh(a[12 + u]) for u in range(4)]
+            s = [gate[8 + u] * math.tanh(c[u]) for u in range(4)]
+            want[t] += sum(s[u] * m.p["o" + d][u] for u in range(4))
+    got = m.scores(*H.together([x, x[:2]])[:2])[0]
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_a_score_of_zero_is_no_article():
+    m = H.Labeller(hidden=2)
+    m.p = {k: np.zeros_like(v) for k, v in m.p.items()}
+    assert not m.label([np.ones((3, H.WIDTH), np.float32)])[0].any()
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, '<a ">"' * 100_001, "<!" * 500_000, "<script " * 100_000, "<div>a" * 100_000 + "</span>" * 50_000, "<b>" * 100_000 + "<p>x" * 30_000, "<p class='" * 100_000 + ">"])
+def test_broken_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - began < 5
 
 
 def test_equal_pages_do_not_fill_the_sample(spark):
