@@ -17,11 +17,11 @@ CONFIG_SYNTAX = r"^(rule|var|module|data|resource|aws|local|output|provider|terr
 IGNORED_KEYS = ("description", "note", "comment", "readme", "usage", "version", "parent_id", "id", "type", "source", "ingress", "egress")
 IGNORED_VALUES = ("module.root", "root", "terraform", "provider", "aws", "0.0.0.0", "127.0.0.1", "localhost", "true", "false", "null")
 IGNORED_ENDINGS = ("local", "internal", "tf", "json", "yaml", "tpl", "root", "backend", "partner", "allow", "deny")
+BRACED = r"\$\{\s*(var|local|module|data)\.([A-Za-z0-9_-]+)(?:\.[A-Za-z0-9_.-]+)?\s*\}"
+BARE = r"(?<![\w.$-])(?<!\$\{\s{0,50})(var|local)\.([A-Za-z0-9_-]+)"
 # ---- end of fixed values ----
 
 WORD = "[A-Za-z0-9_]"
-BRACED = r"\$\{\s*(var|local|module|data)\.([A-Za-z0-9_-]+)(?:\.[A-Za-z0-9_.-]+)?\s*\}"
-BARE = r"(?<![\w.$-])(?<!\$\{\s{0,50})(var|local)\.([A-Za-z0-9_-]+)"
 
 
 def path_id(path: Column) -> Column:
@@ -92,8 +92,24 @@ def substituted(s: Column, values: Column) -> Column:
     return F.aggregate(F.coalesce(values, F.array().cast("array<struct<raw:string,value:string>>")), s, put)
 
 
-def common_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, row by row of its table."""
+BITS = 62  # characters whose marks fit a long with room for one addition
+
+
+def _common_by_bits(a: Column, b: Column) -> Column:
+    """common_length for an `a` of at most BITS characters: a row of its table is a number, a step one addition."""
+    chars, none = F.split(a, ""), F.lit(0).cast("long")
+    bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)
+    marks = F.transform(F.array_distinct(chars), lambda c: F.struct(c, F.aggregate(F.transform(chars, lambda x, i: F.when(x == c, bit(i)).otherwise(none)), none, lambda m, x: m + x)))
+    masks, full = F.map_from_entries(marks), bit(F.length(a)) - 1
+
+    def step(row: Column, x: Column) -> Column:
+        met = row.bitwiseAND(F.coalesce(F.try_element_at(masks, x), none))
+        return (row + met).bitwiseOR(row - met).bitwiseAND(full)
+
+    return F.length(a) - F.bit_count(F.aggregate(F.split(b, ""), full, step))
+
+
+def _common_by_rows(a: Column, b: Column) -> Column:
     chars_a, chars_b = F.split(a, ""), F.split(b, "")
     columns = F.sequence(F.lit(1), F.size(chars_b))
 
@@ -104,8 +120,12 @@ def common_length(a: Column, b: Column) -> Column:
 
         return F.aggregate(columns, F.array(F.lit(0)), cell)
 
-    last = F.aggregate(chars_a, F.array_repeat(F.lit(0), F.size(chars_b) + 1), row)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(F.element_at(last, -1))
+    return F.element_at(F.aggregate(chars_a, F.array_repeat(F.lit(0), F.size(chars_b) + 1), row), -1)
+
+
+def common_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).when(F.length(a) <= BITS, _common_by_bits(a, b)).when(F.length(b) <= BITS, _common_by_bits(b, a)).otherwise(_common_by_rows(a, b))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:
@@ -117,12 +137,7 @@ def indel_ratio(a: Column, b: Column) -> Column:
 def may_be_near(a: Column, b: Column, threshold: float) -> Column:
     """A cheap test that no pair with the ratio fails: edit distance is at most the number of insertions and deletions."""
     most = F.floor((1 - threshold) * (F.length(a) + F.length(b)) + F.lit(1e-9))
-    return F.levenshtein(a, b) <= most
-
-
-def boundary_pattern(keyword: str) -> str:
-    """E-15: keyword with no letter, digit or underscore on either side, in any case."""
-    return rf"(?i)(?<!{WORD})\Q{keyword}\E(?!{WORD})"
+    return F.call_function("levenshtein", a, b, most.cast("int")) >= 0
 
 
 def candidate(value: Column) -> Column:
@@ -143,7 +158,3 @@ def candidate(value: Column) -> Column:
         .otherwise(none)
     )
 
-
-def is_open_range(ranges: Column, six: Column) -> Column:
-    """F-17: arrays of IPv4 and IPv6 ranges that hold the whole network."""
-    return F.coalesce(F.array_contains(ranges, "0.0.0.0/0"), F.lit(False)) | F.coalesce(F.array_contains(six, "::/0"), F.lit(False))

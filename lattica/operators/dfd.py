@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
+from .lineage import materialise
 from .tagging import display_name
 
 GLOBAL = "Cloud"
@@ -35,29 +36,25 @@ def containment(owned: DataFrame, found: DataFrame) -> DataFrame:
     return best.select("path_id", F.col("m.parent").alias("parent"), "child")
 
 
-def containment_ranked(owned: DataFrame) -> DataFrame:
-    """T-4 as a window: first and second of each rule, second placed once."""
-    w = Window.partitionBy("path_id", "second").orderBy("ord", "first")
-    return owned.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("path_id", F.col("first").alias("parent"), F.col("second").alias("child"))
-
-
 def under_global(found: DataFrame, placed: DataFrame, outer: DataFrame) -> DataFrame:
     """O-4, O-5: path_id, child of the global boundary: components without a place, and outermost boundaries."""
     components = found.where("kind <> 'TrustBoundary'").join(placed.select(F.col("child").alias("id")), "id", "left_anti")
     return components.select("path_id", F.col("id").alias("child")).union(outer.select("path_id", F.col("node_id"))).distinct()
 
 
-def tree(placed: DataFrame, roots: DataFrame, most: int = 50) -> DataFrame:
-    """O-10: path_id, id, parent, depth (1 under the global boundary)."""
-    from .lineage import materialise
-
+def tree(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """O-10: path_id, id, parent, depth (1 under the global boundary), to the deepest."""
     level = materialise(roots.select("path_id", F.col("child").alias("id"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("depth")))
     out = level
-    for depth in range(2, most + 1):
+    depth = 1
+    while True:
+        depth += 1
         level = materialise(level.select("path_id", F.col("id").alias("parent")).join(placed.select("parent", F.col("child").alias("id")), "parent").select("path_id", "id", "parent", F.lit(depth).alias("depth")).join(out, "id", "left_anti"))
         if level.isEmpty():
             break
         out = out.unionByName(level)
+        if depth % 8 == 0:
+            out = materialise(out)
     return out
 
 

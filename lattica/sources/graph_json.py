@@ -20,7 +20,7 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """SC-5 to SC-8: (nodes, edges, attributes, dangling) of documents (path_id, document).
 
-    A node's id is a hash of project and document id; edges whose ends are missing are counted in dangling (Q17)."""
+    A node's id is a hash of project and document id; of several nodes with one id the least stays; edges whose ends are missing are counted in dangling (Q17)."""
     d = documents.select("path_id", F.from_json("document", DOCUMENT).alias("d"))
     key = lambda x: F.xxhash64("path_id", x)
     n = d.select("path_id", F.explode("d.nodes.data").alias("n")).select("path_id", "n.*")
@@ -30,7 +30,9 @@ def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
         T.type_of(label).alias("resource_type"), T.name_of(label).alias("resource_name"), label.alias("name"), F.coalesce("parent", F.lit("")).alias("parent_id"),
         F.array_compact(F.array("path_id", "type", F.when(F.col("type") == "var", "Variable").when(F.col("type") == "local", "Local"))).alias("labels"),
         "default", "value",
-    ).dropDuplicates(["node_id"])
+    )
+    rest = [c for c in nodes.columns if c != "node_id"]
+    nodes = nodes.groupBy("node_id").agg(F.min(F.struct(*rest)).alias("m")).select("node_id", "m.*").select(*nodes.columns)
     e = d.select("path_id", F.explode("d.edges.data").alias("e")).select("path_id", key("e.source").alias("src"), key("e.target").alias("dst"))
     ids = nodes.select("node_id")
     whole = e.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi").join(ids.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("path_id", "src", "dst")
@@ -38,17 +40,21 @@ def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     return nodes, whole, n.where("attributes IS NOT NULL").select("path_id", key("id").alias("node_id"), F.col("attributes").alias("v")), dangling
 
 
-def flatten(values: DataFrame, keys: list[str], most: int = 32) -> DataFrame:
+def flatten(values: DataFrame, keys: list[str]) -> DataFrame:
     """E-8, SC-7: keys, v (variant) -> keys, key (path), value (string) for each leaf; objects add .name, lists [i].
 
     One round a level of nesting, until no container is left."""
     spark = values.sparkSession
     level = values.select(*keys, F.lit("").alias("key"), "v")
     out = None
-    for _ in range(most):
+    depth = 0
+    while True:
+        depth += 1
         level = materialise(level.withColumn("kind", F.schema_of_variant("v")).withColumn("inner", F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")))
         leaves = level.where("NOT inner AND kind <> 'VOID'").select(*keys, "key", F.variant_get("v", "$", "string").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
+        if depth % 8 == 0:
+            out = materialise(out)
         deep = level.where("inner").select(*keys, "key", "v")
         if deep.isEmpty():
             break

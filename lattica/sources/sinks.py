@@ -23,24 +23,26 @@ def quoted(x):
 
 
 def dot_lines(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
-    """SK-9: path_id, line of a Graphviz document for each project, in any order within a project's braces.
-
-    Containment is drawn as dashed edges, so that a line needs nothing but its own row."""
+    """SK-9: path_id, part, line of a Graphviz document for each project: part 0 opens it, 1 holds its statements (in any
+    order), 2 closes it. Containment is drawn as dashed edges, so that a line needs nothing but its own row."""
     shape = F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))[F.col("kind")]
     node = elements.select("path_id", F.concat(F.lit("n"), F.hex("id"), F.lit(" [label="), quoted(F.col("name")), F.lit(", shape="), F.coalesce(shape, F.lit("folder")), F.lit("];")).alias("line"))
     inside = placed.select("path_id", F.concat(F.lit("n"), F.hex("parent"), F.lit(" -> n"), F.hex("child"), F.lit(" [style=dashed, arrowhead=none];")).alias("line"))
     flow = flows.select("path_id", F.concat(F.lit("n"), F.hex("sender"), F.lit(" -> n"), F.hex("recipient"), F.lit(";")).alias("line"))
-    return node.unionByName(inside).unionByName(flow)
+    lines = node.unionByName(inside).unionByName(flow).select("path_id", F.lit(1).alias("part"), "line")
+    frame = F.array(F.struct(F.lit(0).alias("part"), F.lit("digraph {").alias("line")), F.struct(F.lit(2).alias("part"), F.lit("}").alias("line")))
+    return lines.unionByName(elements.select("path_id").distinct().select("path_id", F.inline(frame)))
 
 
 def write_dot(lines: DataFrame, path: str) -> None:
-    """One folder for each project; the lines of a project may come in several files, to be put between `digraph {` and `}`."""
-    lines.write.mode("overwrite").partitionBy("path_id").text(path)
+    """One folder for each project; its files, read in the order of their names, are one document. Projects are dealt by ranges
+    of (path_id, part), so a large one may take several files."""
+    lines.repartitionByRange("path_id", "part", F.xxhash64("line")).sortWithinPartitions("path_id", "part").drop("part").write.mode("overwrite").partitionBy("path_id").text(path)
 
 
 def model_rows(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
     """SK-7: path_id, kind, id, name, annotation, parent, sender, recipient: a diagram's elements and flows as one table."""
-    parent = placed.select(F.col("child").alias("id"), "parent").dropDuplicates(["id"])
+    parent = placed.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
     e = elements.join(parent, "id", "left").select("path_id", "kind", "id", "name", "annotation", "parent", F.lit(None).cast("long").alias("sender"), F.lit(None).cast("long").alias("recipient"))
     f = flows.select("path_id", F.lit("DataFlow").alias("kind"), F.xxhash64("path_id", "sender", "recipient").alias("id"), F.col("flow").alias("name"), F.lit(None).cast("string").alias("annotation"), F.lit(None).cast("long").alias("parent"), "sender", "recipient")
     return e.unionByName(f)

@@ -176,3 +176,42 @@ def test_empty_graphs(spark):
     assert graph.closure(e).count() == graph.link_tagged(e, n).count() == graph.degree(e).count() == 0
     assert graph.prune_untagged(n, e)[0].count() == graph.contract(n, e, n)[0].count() == graph.remove_boundaries(e, n).count() == 0
     assert graph.chains(e, n).count() == graph.nearest_valued(e, spark.createDataFrame([], "node_id long, value string")).count() == 0
+
+
+def test_no_cap_on_depth(spark):
+    """A path of 14 edges, a chain of 15 locals, 60 boundaries one in another: whole."""
+    from lattica.operators import dfd, resolve
+
+    path = spark.createDataFrame([("p", i, i + 1) for i in range(14)], "path_id string, src long, dst long")
+    found = graph.chains(path, spark.createDataFrame([(0,)], "node_id long"), top=3).collect()
+    assert [x["length"] for x in found] == [14, 13, 12]
+    rows = [("p", "local", f"l{i}", "${local.l%d}!" % (i - 1) if i else "x") for i in range(15)]
+    solved = resolve.resolve_bindings(spark.createDataFrame(rows, "path_id string, scope string, name string, value string"))
+    assert {x["name"]: x["value"] for x in solved.collect()} == {f"l{i}": "x" + "!" * i for i in range(15)}
+    placed = spark.createDataFrame([("p", i, i + 1) for i in range(60)], "path_id string, parent long, child long")
+    tree = dfd.tree(placed, spark.createDataFrame([("p", 0)], "path_id string, child long"))
+    assert {x["id"]: x["depth"] for x in tree.collect()} == {i: i + 1 for i in range(61)}
+
+
+def test_link_tagged_on_random_graphs(spark):
+    """Cycles through tagged and other nodes: against the rule, pair by pair."""
+    r = random.Random(11)
+    rows = {(g, 100 * g + r.randrange(9), 100 * g + r.randrange(9)) for g in range(12) for _ in range(11)}
+    tags = {100 * g + k for g in range(12) for k in r.sample(range(9), 4)}
+    edges = spark.createDataFrame([(str(g), a, b) for g, a, b in rows], "path_id string, src long, dst long")
+    got = {(x["src"], x["dst"]) for x in graph.link_tagged(edges, spark.createDataFrame([(t,) for t in tags], "node_id long")).where("method IS NOT NULL").collect()}
+    out = {}
+    for _, a, b in rows:
+        out.setdefault(a, set()).add(b)
+    reach = {}
+    for a in list(out):
+        todo, seen = list(out[a]), set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += out.get(x, ())
+        reach[a] = seen
+    pairs = {(a, b) for a in tags for b in reach.get(a, ()) if b in tags and a != b}
+    want = {(a, b) for a, b in pairs if not any((a, w) in pairs and (w, b) in pairs for w in tags if w not in (a, b))} - {(a, b) for _, a, b in rows}
+    assert got == want and want

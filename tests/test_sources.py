@@ -129,8 +129,11 @@ def test_from_files_to_threats(spark, tmp_path):
     sinks.write_threats(found, f"{tmp_path}/threats")
     assert spark.read.option("header", True).csv(f"{tmp_path}/threats").count() == 2
     lines = sinks.dot_lines(d.elements, d.placed, d.flows)
-    assert lines.count() == 5 + 1 + d.flows.count()
+    assert lines.where("part = 1").count() == 5 + 1 + d.flows.count()
     sinks.write_dot(lines, f"{tmp_path}/dot")
+    folder = next((tmp_path / "dot").glob("path_id=*"))
+    whole = "".join(f.read_text() for f in sorted(folder.glob("part-*"))).splitlines()
+    assert (whole[0], whole[-1], len(whole)) == ("digraph {", "}", 5 + 1 + d.flows.count() + 2)
     sinks.write_model(sinks.model_rows(d.elements, d.placed, d.flows), f"{tmp_path}/model")
     assert spark.read.format("xml").option("rowTag", "element").load(f"{tmp_path}/model").count() == 5 + d.flows.count()
     sinks.replace_projects(found, f"{tmp_path}/kept")
@@ -158,6 +161,17 @@ def test_graph_documents(spark):
     assert [(x["key"], x["value"]) for x in graph_json.flatten(attributes, ["path_id", "node_id"]).collect()] == [("a.b", "1")]
 
 
+def test_deep_nesting_and_repeated_nodes(spark):
+    v = "1"
+    for _ in range(40):
+        v = '{"a":' + v + "}"
+    deep = spark.createDataFrame([(1, v)], "node_id long, s string").selectExpr("node_id", "parse_json(s) AS v")
+    assert [(x["key"], x["value"]) for x in graph_json.flatten(deep, ["node_id"]).collect()] == [(".".join("a" * 40), "1")]
+    twice = {"nodes": [{"data": {"id": "1", "label": k, "type": "resource"}} for k in ("b.x", "a.y")], "edges": []}
+    nodes = graph_json.load(spark.createDataFrame([("p", json.dumps(twice))], "path_id string, document string"))[0]
+    assert [x["name"] for x in nodes.collect()] == ["a.y"]
+
+
 def test_threat_documents(spark, tmp_path):
     (tmp_path / "t.json").write_text(json.dumps({"id": "t", "metadata": {"ns:textName": "n"}, "context": {"ns:hasAffectedComponent": ["su:comp_App"]}, "security": {"ns:hasAggressor": ["su:comp_User", "su:comp_Service"], "ns:hasSTRIDE": ["ns:STRIDE_Tampering"]}}))
     d = config.read_threat_documents(spark, f"{tmp_path}/t.json")
