@@ -8,6 +8,7 @@ cyclic graph of nations. The defining SQL is written once: braces name tables fo
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import dfd, exposure, graph, match, resolve, tagging, threats
-from .operators.lineage import materialise
+from .operators.lineage import materialise, shared_dir
 from .operators.schema import OWN_RULES, PATTERNS, PROFILE, as_edges
 from .plans import analysis
-from .sources import graph_json
+from .sources import config, graph_json, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,7 +51,6 @@ EDGES = EDGES.replace("JOIN {nation} AS sn ON s_nationkey = sn.n_nationkey AND s
 G2 = """
 SELECT DISTINCT 'g2' AS path_id, CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst
 FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey
-WHERE l_quantity = 50 AND l_discount = 0.1 AND l_tax >= 0.06
 """
 PROFILE_ROWS = [
     ("processes", "VirtualMachine", "VirtualMachine", "EC2", "aws_instance_(building|machinery)", True, False, 0),
@@ -521,19 +521,59 @@ def string_filters(spark, sf):
 
 
 @query(
-    """WITH w AS (SELECT DISTINCT lower(regexp_extract(text, '[A-Za-z0-9_]+[ -][A-Za-z0-9_]+')) AS k FROM benchmark), v AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT v.doc_id, w.k AS key FROM v JOIN w ON w.k <> '' AND contains(v.t, w.k) AND regexp_matches(v.t, '(^|[^A-Za-z0-9_])' || w.k || '($|[^A-Za-z0-9_])')"""
+    """WITH k AS (SELECT lower(trim(text)) AS key, -1 - min(item_id) AS dst FROM benchmark WHERE length(trim(text)) > 0 GROUP BY 1), v AS (SELECT doc_id, lower(text) AS t FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT v.doc_id AS src, k.dst FROM v JOIN k ON contains(v.t, k.key) AND regexp_matches(v.t, '(^|[^A-Za-z0-9_])' || regexp_escape(k.key) || '($|[^A-Za-z0-9_])')"""
 )
 def boundary_links(spark, sf):
-    """J-18, E-14, E-15, L-2: the first word pair of each benchmark passage, in all documents."""
-    b = table(spark, sf, "benchmark").select("item_id", F.lower(F.regexp_extract("text", "[A-Za-z0-9_]+[ -][A-Za-z0-9_]+", 0)).alias("key")).where("key <> ''")
-    symbols = b.groupBy(F.lit("p").alias("path_id"), "key").agg(F.min("item_id").alias("node_id")).select("path_id", "key", (-1 - F.col("node_id")).alias("node_id"), F.col("key").alias("keyword"))
-    docs = table(spark, sf, "documents").where("text IS NOT NULL").select(F.lit("p").alias("path_id"), F.col("doc_id").alias("node_id"), F.col("text").alias("value"))
-    met = match.spans(docs, 3).join(symbols.select("path_id", "key"), ["path_id", "key"], "left_semi")
-    return met.select(F.col("node_id").alias("doc_id"), "key").distinct()
+    """J-18, E-15, L-2: whole benchmark passages, in all documents."""
+    b = table(spark, sf, "benchmark").select(F.lower(F.trim("text")).alias("key"), "item_id").where("key <> ''")
+    symbols = b.groupBy(F.lit("p").alias("path_id"), "key").agg((-1 - F.min("item_id")).alias("node_id")).withColumn("keyword", F.col("key"))
+    docs = table(spark, sf, "documents").select(F.lit("p").alias("path_id"), F.col("doc_id").alias("node_id"), F.col("text").alias("value"))
+    return match.boundary_pairs(docs, symbols, only_complex=False).select("src", "dst")
 
 
-@query()
+HOSTS = """
+SELECT p_partkey AS id, concat('https://', replace(p_name, ' ', '-'), '.', p_brand, '.example.com/x') AS s FROM {part} UNION ALL SELECT p_partkey, p_name FROM {part}
+UNION ALL SELECT p_partkey, concat('arn:aws:s3:::', upper(replace(p_name, ' ', '-'))) FROM {part} UNION ALL SELECT p_partkey, concat('jdbc:x', replace(p_name, ' ', '-'), '_y') FROM {part}
+UNION ALL SELECT p_partkey, concat(replace(p_name, ' ', '-'), 's.internal.', replace(p_name, ' ', '-')) FROM {part}
+"""
+
+
+@query(
+    f"""WITH v AS (SELECT id, lower(s) AS t FROM ({there(HOSTS)}) WHERE length(s) >= 5 AND (regexp_matches(lower(s), '^(arn:|http://|https://|jdbc:|postgres:|mysql:|mongodb:|redis:)') OR contains(lower(s), '.internal'))),
+k AS (SELECT lower(replace(p_name, ' ', '-')) AS key, 1000000000 + min(p_partkey) AS dst FROM part GROUP BY 1)
+SELECT v.id AS src, k.dst, concat('Matched substring ', chr(39), k.key, chr(39)) AS details FROM v JOIN k ON regexp_matches(v.t, '(^|[^a-z0-9_])' || regexp_escape(k.key) || '($|[^a-z0-9_])') GROUP BY ALL"""
+)
+def boundary_matches(spark, sf):
+    """J-18, E-14, F-12: part names within strings that may hold a name."""
+    p = table(spark, sf, "part").select(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("key"), "p_partkey")
+    symbols = p.groupBy(F.lit("p").alias("path_id"), "key").agg((F.min("p_partkey") + 1_000_000_000).alias("node_id")).withColumn("keyword", F.col("key"))
+    return match.boundary_pairs(derived(spark, sf, HOSTS).select(F.lit("p").alias("path_id"), F.col("id").alias("node_id"), F.col("s").alias("value")), symbols).select("src", "dst", "details")
+
+
+@query(
+    f"""WITH {G1_SQL}, k AS (
+SELECT path_id, node_id, concat(resource_type, '.', resource_name) AS keyword FROM nodes UNION ALL SELECT path_id, node_id, resource_name FROM nodes
+UNION ALL SELECT path_id, node_id, 'fn-' || resource_name FROM nodes WHERE resource_type = 'aws_lambda_function')
+SELECT path_id, lower(keyword) AS key, min(node_id) AS node_id FROM k WHERE length(keyword) >= 3 GROUP BY ALL"""
+)
+def symbol_table_boundary(spark, sf):
+    """E-12, D9, F-14, Q9: of all nodes; short and open values are no names."""
+    n = nodes_of(spark, sf)
+    fn = n.where("resource_type = 'aws_lambda_function'")
+    prop = lambda value: fn.select("path_id", "node_id", F.lit("function_name").alias("key"), value.alias("value"))
+    props = prop(F.concat(F.lit("fn-"), "resource_name")).unionByName(prop(F.lit("fn"))).unionByName(prop(F.lit("${var.open}")))
+    return match.symbol_table(n, props, "boundary").select("path_id", "key", "node_id")
+
+
+@query(
+    """WITH RECURSIVE v AS (SELECT p_brand AS path_id, p_partkey AS src, lower(translate(p_name, 'i ', '_-')) AS a FROM part), t AS (SELECT p_brand AS path_id, p_partkey + 1000000000 AS dst, lower(p_name) AS b FROM part),
+p AS (SELECT a, b FROM (SELECT DISTINCT a FROM v WHERE length(a) >= 4), (SELECT DISTINCT b FROM t WHERE length(b) >= 3) WHERE abs(length(a) - length(b)) <= 4),
+l(a, b, i, best) AS (SELECT a, b, 0, list_transform(range(0, length(b) + 1), lambda x: 0) FROM p UNION ALL
+SELECT a, b, i + 1, list_transform(range(0, length(b) + 1), lambda j: CASE WHEN j = 0 THEN 0 ELSE list_max(list_transform(range(1, j + 1), lambda k: greatest(best[k + 1], best[k] + CASE WHEN b[k] = a[i + 1] THEN 1 ELSE 0 END))) END) FROM l WHERE i < length(a)),
+r AS (SELECT a, b, 2.0::DOUBLE * best[length(b) + 1] / (length(a) + length(b)) AS confidence FROM l WHERE i = length(a))
+SELECT path_id, src, dst, round(confidence, 6) AS confidence FROM v JOIN r USING (a) JOIN t USING (path_id, b) WHERE confidence >= 0.75"""
+)
 def fuzzy_links(spark, sf):
     """J-19, E-9, E-10, D10, L-3: misspelt part names against all part names of the same brand."""
     p = table(spark, sf, "part")
@@ -555,9 +595,6 @@ def link_methods_summary(spark, sf):
     return analysis.link_counts(old.unionByName(new))
 
 
-ARN = r"arn:aws:[a-z0-9-]+:[a-z0-9-]*:(?:\d{12})?:[a-zA-Z0-9_/-]+"
-
-
 @query(
     f"""WITH t AS ({other(STRINGS)}), c AS (SELECT id, s, trim(s, '",'' ') AS v FROM t WHERE length(s) >= 5 AND NOT contains(s, '${{')),
 x AS (SELECT id, v, regexp_extract(v, '(?:https?|ftp|jdbc|postgres|mysql|redis|mongodb)://[^\\s/$.?#].[^\\s"]+') AS url, regexp_extract(v, '\\b\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}}(?::\\d+)?\\b') AS ip,
@@ -573,6 +610,51 @@ def ghost_entities(spark, sf):
     return match.ghosts(p, inside).select("src", "entity", "kind")
 
 
+ARNS = """
+SELECT s_suppkey AS id, concat('arn:aws:sns:eu-west-1:', CAST(100000000000 + s_suppkey AS STRING), ':topic/', s_name) AS s FROM {supplier}
+UNION ALL SELECT s_suppkey, concat('see https://a', CAST(s_nationkey AS STRING), '.example.com/', s_name, ' or 10.1.2.3') FROM {supplier} UNION ALL SELECT s_suppkey, concat('b', CAST(s_suppkey AS STRING), '.example.org') FROM {supplier}
+UNION ALL SELECT s_suppkey, concat('c', CAST(s_suppkey AS STRING), '.local') FROM {supplier} UNION ALL SELECT s_suppkey, concat('a', CAST(s_nationkey AS STRING), '.example.com') FROM {supplier}
+"""
+
+
+@query(
+    f"""WITH t AS ({other(ARNS)}), x AS (SELECT id, s, regexp_extract(s, 'arn:aws:[a-z0-9-]+:[a-z0-9-]*:(?:\\d{{12}})?:[a-zA-Z0-9_/-]+') AS arn, regexp_extract(s, 'https://[^\\s/$.?#].[^\\s"]+') AS url, regexp_extract(s, '[a-z0-9](?:[a-z0-9-]*[a-z0-9])?(?:\\.[a-z0-9](?:[a-z0-9-]*[a-z0-9])?)+') AS dom FROM t),
+f AS (SELECT DISTINCT id AS src, CASE WHEN arn <> '' THEN arn WHEN url <> '' THEN url ELSE dom END AS entity, CASE WHEN arn <> '' THEN 'ARN' WHEN url <> '' THEN 'URL' ELSE 'DOMAIN' END AS entity_type FROM x WHERE arn <> '' OR url <> '' OR split_part(dom, '.', -1) <> 'local'),
+inside AS (SELECT 'a' || n_nationkey || '.example.com' AS inside FROM nation WHERE n_nationkey % 2 = 0 UNION SELECT lower(s_name) FROM supplier WHERE s_suppkey % 3 = 0)
+SELECT src, entity, entity_type, 'endpoint' AS details FROM f WHERE NOT EXISTS (SELECT 1 FROM inside WHERE contains(lower(entity), inside))"""
+)
+def ghost_graph(spark, sf):
+    """L-4, E-16, E-17: ARNs, addresses and domains that no resource of the project is called, as nodes and edges."""
+    p = derived(spark, sf, ARNS).select(F.lit("p").alias("path_id"), F.col("id").alias("node_id"), F.lit("endpoint").alias("key"), F.col("s").alias("value"))
+    own = table(spark, sf, "nation").where("n_nationkey % 2 = 0").select(F.lit("p").alias("path_id"), F.lit("resource").alias("node_type"), F.lit("x").alias("name"), F.concat(F.lit("a"), F.col("n_nationkey").cast("string"), F.lit(".example.com")).alias("resource_name"))
+    named = table(spark, sf, "supplier").where("s_suppkey % 3 = 0").select(F.lit("p").alias("path_id"), F.col("s_suppkey").alias("node_id"), F.lit("tags.name").alias("key"), F.col("s_name").alias("value"))
+    nodes, edges = match.ghost_graph(match.ghosts(p, match.internal_names(own, named)))
+    return edges.join(nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("entity"), "entity_type"), "dst").select("src", "entity", "entity_type", "details")
+
+
+@query(f"WITH {G1_SQL} SELECT node_id, resource_type = 'aws_subnet' AND resource_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) AS is_public FROM nodes")
+def tag_public(spark, sf):
+    """P-2."""
+    n = nodes_of(spark, sf)
+    open_ = table(spark, sf, "nation").where("n_nationkey % 2 = 0").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return tagging.tag_public(n, open_.select(F.col("r_name").alias("path_id"), F.col("n_name").alias("resource_name"))).select("node_id", "is_public")
+
+
+@query(f"WITH {G1_SQL} SELECT n.path_id, n.node_id, k.key, k.value FROM (SELECT path_id, resource_type, resource_name, min(node_id) AS node_id FROM nodes WHERE resource_type IN ('aws_lambda_function', 'null_order') GROUP BY ALL) n, LATERAL (SELECT unnest(['memory', 'handler']) AS key, unnest(['128', lower(resource_name)]) AS value) k")
+def attach_parsed_props(spark, sf):
+    """P-8: properties of parsed resources under the first node of that type and name."""
+    n = nodes_of(spark, sf).where("resource_type IN ('aws_lambda_function', 'null_order')")
+    pairs = F.array(F.struct(F.lit("memory").alias("key"), F.lit("128").alias("value")), F.struct(F.lit("handler").alias("key"), F.lower("resource_name").alias("value")))
+    parsed = n.select("path_id", "resource_type", "resource_name").distinct().select("*", F.inline(pairs))
+    return resolve.attach_props(n, parsed)
+
+
+@query("SELECT page_id, replace(regexp_replace('/srv/' || url, '^/', ''), '/', '.') AS path_id FROM pages")
+def project_paths(spark, sf):
+    """P-4: absolute paths as identifiers of projects."""
+    return table(spark, sf, "pages").select("page_id", T.path_id(F.concat(F.lit("/srv/"), "url")).alias("path_id"))
+
+
 # ---- exposure ----
 
 GROUP_PROPS = """
@@ -823,3 +905,68 @@ def graph_documents(spark, sf):
     known = n.select("path_id", "node_id", F.xxhash64("path_id", as_text).alias("h"))
     a, b = known.select(F.col("h").alias("src"), F.col("node_id").alias("s")), known.select(F.col("h").alias("dst"), F.col("node_id").alias("d"))
     return edges.join(nodes.select(F.col("node_id").alias("src")), "src", "left_semi").join(a, "src").join(b, "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"))
+
+
+# ---- written and read again ----
+
+
+def _place(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {THREAT_SQL} SELECT path_id, threat, stride, element, flow FROM threat")
+def threats_as_csv(spark, sf):
+    """SK-8, H-2: threats written as CSV."""
+    path = _place(spark)
+    sinks.write_threats(_threats(spark, sf)[0], path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query(f"WITH {G1_SQL} SELECT path_id, node_id, resource_type FROM nodes WHERE path_id <> 'ASIA' UNION ALL SELECT path_id, node_id, upper(resource_type) FROM nodes WHERE path_id = 'ASIA' AND node_id < 5000000000000")
+def projects_replaced(spark, sf):
+    """SK-6: all projects written, then one of them again; the others stay."""
+    path, n = _place(spark), nodes_of(spark, sf).select("path_id", "node_id", "resource_type")
+    sinks.replace_projects(n, path)
+    sinks.replace_projects(n.where("path_id = 'ASIA' AND node_id < 5000000000000").withColumn("resource_type", F.upper("resource_type")), path)
+    return spark.read.parquet(path).select("path_id", "node_id", "resource_type")
+
+
+@query(f"WITH {FLOWS_SQL} SELECT path_id, kind, name, parent FROM found f LEFT JOIN (SELECT parent, child AS id FROM placed) USING (id) UNION ALL SELECT f.path_id, 'DataFlow', a.name || '->' || b.name, NULL FROM flow f JOIN found a ON a.id = f.sender JOIN found b ON b.id = f.recipient")
+def diagram_as_xml(spark, sf):
+    """SK-7: diagrams written as XML, one element a row."""
+    path = _place(spark)
+    n, found, placed = _diagram(spark, sf)
+    flows = dfd.named(dfd.flows(dfd.connections(_used(spark, sf), found)), found)
+    sinks.write_model(sinks.model_rows(found, placed, flows), path)
+    return spark.read.format("xml").option("rowTag", "element").schema("path_id string, kind string, name string, parent long").load(path)
+
+
+@query(
+    f"""WITH {FLOWS_SQL} SELECT path_id, 1 AS part, 'n' || to_hex(id) || ' [label="' || name || '", shape=' || CASE kind WHEN 'Process' THEN 'ellipse' WHEN 'DataStore' THEN 'cylinder' ELSE 'folder' END || '];' AS line FROM found
+UNION ALL SELECT path_id, 1, 'n' || to_hex(parent) || ' -> n' || to_hex(child) || ' [style=dashed, arrowhead=none];' FROM placed UNION ALL SELECT path_id, 1, 'n' || to_hex(sender) || ' -> n' || to_hex(recipient) || ';' FROM flow
+UNION ALL SELECT path_id, unnest([0, 2]), unnest(['digraph {{', '}}']) FROM (SELECT DISTINCT path_id FROM found)"""
+)
+def diagram_as_dot(spark, sf):
+    """SK-9: the lines of each project's DOT document."""
+    _, found, placed = _diagram(spark, sf)
+    return sinks.dot_lines(found, placed, dfd.flows(dfd.connections(_used(spark, sf), found)))
+
+
+@query(
+    """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, string_split(p_name, ' ') AS aggressors, string_split(lower(p_type) || ' ' || p_brand, ' ') AS victims, CASE WHEN p_partkey % 3 = 0 THEN [] WHEN p_partkey % 3 = 1 THEN ['Tampering'] ELSE ['Denial', 'Other'] END::VARCHAR[] AS stride FROM part),
+d AS (SELECT id, name, unnest(CASE WHEN len(stride) = 0 THEN ['Other'] ELSE stride END) AS class, aggressors, victims FROM c), n AS (SELECT *, least(len(aggressors), len(victims)) AS n FROM d) SELECT id, name, class, unnest(aggressors[1:n]) AS aggressor, unnest(victims[1:n]) AS victim FROM n WHERE n > 0"""
+)
+def catalog_as_xml(spark, sf):
+    """SK-10, SC-14: a catalog of as many threats as parts, read from JSON documents, fanned out, written as XML."""
+    p, docs, path = table(spark, sf, "part"), _place(spark), _place(spark)
+    mark = lambda xs, start: F.transform(xs, lambda x: F.concat(F.lit(start), x))
+    stride = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("Tampering"))).otherwise(F.array(F.lit("Denial"), F.lit("Other")))
+    document = F.struct(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.struct(F.col("p_name").alias("ns:textName")).alias("metadata"),
+        F.struct(mark(F.split(F.concat_ws(" ", F.lower("p_type"), "p_brand"), " "), "su:comp_").alias("ns:hasAffectedComponent")).alias("context"),
+        F.struct(mark(F.split("p_name", " "), "su:comp_").alias("ns:hasAggressor"), mark(stride, "ns:STRIDE_").alias("ns:hasSTRIDE")).alias("security"),
+    )
+    p.select(F.to_json(document).alias("value")).write.text(docs)
+    sinks.catalog_xml(threats.fan_out(config.read_threat_documents(spark, docs, lines=True)), path)
+    return spark.read.format("xml").option("rowTag", "threat").schema("id string, name string, class string, aggressor string, victim string").load(path)

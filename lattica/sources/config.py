@@ -71,9 +71,9 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return out.select(*(x.split()[0] for x in PATTERNS.split(", ")))
 
 
-def read_threat_documents(spark: SparkSession, path: str) -> DataFrame:
-    """D13, SC-14: id, name, problem, aggressors, victims, stride of JSON threat documents."""
+def read_threat_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """D13, SC-14: id, name, problem, aggressors, victims, stride of JSON threat documents, one a file or one a line."""
     shape = "id string, metadata struct<`ns:textName`: string, `ns:textReviewProblem`: string>, context struct<`ns:hasAffectedComponent`: array<string>>, security struct<`ns:hasAggressor`: array<string>, `ns:hasSTRIDE`: array<string>>"
-    d = spark.read.option("multiLine", True).schema(shape).json(path)
+    d = spark.read.option("multiLine", not lines).schema(shape).json(path)
     bare = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"^\w+:(comp_|STRIDE_)?", ""))
     return d.select("id", F.col("metadata.`ns:textName`").alias("name"), F.col("metadata.`ns:textReviewProblem`").alias("problem"), bare(F.col("security.`ns:hasAggressor`")).alias("aggressors"), bare(F.col("context.`ns:hasAffectedComponent`")).alias("victims"), bare(F.col("security.`ns:hasSTRIDE`")).alias("stride"))
