@@ -118,3 +118,60 @@ def test_every_word_is_a_context(spark):
     assert out
     # the second word of each pair is nearly certain, so about half of the unigram's digits remain
     assert sum(x["score"] for x in out) > 0.65 * sum(x["base_score"] for x in out)
+
+
+def test_score_against_plain_seating(spark):
+    """Each document's score against the same model sampled customer by customer, in plain loops over dictionaries."""
+    rows = corpus(8, 250)
+    got = {x["doc_id"]: x["score"] for x in pitman_yor.lm_score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    follow = {}
+    for i, t in rows:
+        if not held(i):
+            w = pitman_yor.words(t)
+            for a, b in zip([pitman_yor.END, *w], w, strict=False):
+                follow.setdefault(a, Counter())[b] += 1
+    total = Counter()
+    for c in follow.values():
+        total.update(c)
+    v = len(total)
+    counts = lambda x: (sum(k == 1 for k in x), sum(k == 2 for k in x))
+    discount = lambda one, two: min(0.95, max(0.05, one / (one + 2 * two)))
+    d0, d1 = discount(*counts(total.values())), discount(*counts([k for c in follow.values() for k in c.values()]))
+    r, theta, known = random.Random(4), 1.0, pitman_yor.KNOWN_SHARE
+    tables = {a: dict.fromkeys(c, 1) for a, c in follow.items()}
+    root = Counter()
+    for t in tables.values():
+        root.update(t)
+    mass = theta + d0 * v
+
+    def root_p(n):
+        return (max(n - d0, 0) + mass * known / v) / (theta + sum(root.values()))
+
+    def predict(a, b):
+        p = root_p(root[b]) if b in root else mass * (1 - known) / (theta + sum(root.values()))
+        c, t = follow.get(a, {}), tables.get(a, {})
+        n = sum(c.values())
+        return ((c[b] - d1 * t[b] if b in c else 0) + (theta + d1 * sum(t.values())) * p) / (theta + n)
+
+    asked = {i: list(zip([pitman_yor.END, *pitman_yor.words(t)], pitman_yor.words(t), strict=False)) for i, t in rows}
+    sums, kept = Counter(), 0
+    for sweep in range(25):
+        for a, c in follow.items():
+            for b, n in c.items():
+                root[b] -= tables[a][b]
+                others = sum(tables[a].values()) - tables[a][b]
+                p, seated = root_p(root[b] + 1), 1
+                for j in range(1, n):
+                    new = (theta + d1 * (others + seated)) * p
+                    seated += r.random() < new / (new + j - d1 * seated)
+                tables[a][b] = seated
+                root[b] += seated
+        if sweep >= 10:
+            kept += 1
+            for pair in {x for w in asked.values() for x in w}:
+                sums[pair] += predict(*pair)
+    off = []
+    for i, pairs in asked.items():
+        want = sum(math.log10(sums[x] / kept) for x in pairs)
+        off.append(abs(got[i] - want) / abs(want))
+    assert max(off) < 0.03 and sum(off) / len(off) < 0.006
