@@ -114,7 +114,7 @@ def link_tagged(edges: DataFrame, tagged: DataFrame, drop_mixed: bool = False) -
 
     drop_mixed also takes away found edges (no method) between tagged and untagged nodes.
     """
-    t = tagged.select("node_id").distinct()
+    t = materialise(tagged.select("node_id").distinct())
     ends = t.select(F.col("node_id").alias("dst"))
     near = materialise(reach_from(edges, t, stop=t).where("src <> dst").join(ends, "dst", "left_semi").select("path_id", "src", "dst"))
     reach = closure(near).where("src <> dst").select("src", "dst")
@@ -201,8 +201,8 @@ def prune_untagged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataF
 
     What goes never lies on a path between others, so what is ahead of tagged nodes is found once, and a node that stays
     is judged once."""
-    all_edges, tagged = edges, nodes.where("tagged").select("node_id")
-    left = materialise(nodes.select("node_id", "tagged"))
+    all_edges, left = edges, materialise(nodes.select("node_id", "tagged"))
+    tagged = materialise(left.where("tagged").select("node_id"))
     live = edges.select(F.monotonically_increasing_id().alias("eid"), "src", "dst")
     live = materialise(live.join(left.select(F.col("node_id").alias("src")), "src", "left_semi").join(left.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("eid", "src", "dst"))
     turn = lambda e: e.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -273,14 +273,14 @@ fresh AS (SELECT n.path_id, src, dst FROM (SELECT * FROM r EXCEPT SELECT * FROM
 def link_tagged(spark, sf):
     """R-2, SK-5, J-13, J-15."""
     n = nodes_of(spark, sf)
-    return graph.link_tagged(edges_of(spark, sf), ids(n, "resource_type IN ('null_order', 'aws_subnet', 'aws_vpc')")).select("path_id", "src", "dst", "method")
+    return graph.link_tagged(materialise(edges_of(spark, sf)), ids(n, "resource_type IN ('null_order', 'aws_subnet', 'aws_vpc')")).select("path_id", "src", "dst", "method")
 
 
 @query(LINK_SQL + " SELECT path_id, src, dst, NULL::VARCHAR AS method FROM edges WHERE (src IN (FROM t)) = (dst IN (FROM t)) UNION ALL SELECT path_id, src, dst, 'link_tagged' FROM fresh")
 def link_tagged_only(spark, sf):
     """R-3."""
     n = nodes_of(spark, sf)
-    return graph.link_tagged(edges_of(spark, sf), ids(n, "resource_type IN ('null_order', 'aws_subnet', 'aws_vpc')"), drop_mixed=True).select("path_id", "src", "dst", "method")
+    return graph.link_tagged(materialise(edges_of(spark, sf)), ids(n, "resource_type IN ('null_order', 'aws_subnet', 'aws_vpc')"), drop_mixed=True).select("path_id", "src", "dst", "method")
 
 
 PRUNE_TAGS = "resource_type IN ('aws_subnet', 'aws_vpc', 'aws_s3_economy')"
