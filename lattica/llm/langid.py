@@ -239,7 +239,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         per_lang[lang] = (keys[own], n[own])
     model = Model(per_lang)
     table = letters()
-    checks = sample.where(held).select("lang", "text").limit(4 * held_back * len(sizes)).collect()
+    checks = sample.where(held).select("draw", "lang", "text").orderBy("draw", "lang", "text").limit(4 * held_back * len(sizes)).collect()
     model.calibrate([symbols(r["text"], table) for r in checks], [r["lang"] for r in checks])
     return model
 

@@ -255,6 +255,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_least(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: one of each component, and rows without an identifier."""
+    """The rows of docs that stay: those with the smallest identifier of each component, and rows without an identifier.
+
+    An identifier names a document: rows that repeat one stay or go together (exact_dedup.keep_first leaves one of those
+    with equal texts)."""
     kept = near_duplicates(docs, id_col, text_col, width, percent).where("kept").select(F.col(id_col).alias("kept_id"))
     return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["kept_id"]), "left_semi")

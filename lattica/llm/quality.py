@@ -156,10 +156,10 @@ def _patterns(batches):
 def _vectors(batches):
     table, hasher = classes(), Hasher()
     for batch in batches:
-        for x in batch.column(0):
+        for x, k in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
             words, n = _read(x.as_py(), table)
             if n is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([pattern(votes(n))], pa.int32()), pa.array([hasher.vector(n, words).astype(np.float16).tobytes()], pa.binary())], ["pattern", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([pattern(votes(n))], pa.int32()), pa.array([hasher.vector(n, words).astype(np.float16).tobytes()], pa.binary())], ["k", "pattern", "x"])
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2500) -> np.ndarray | None:
@@ -171,7 +171,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     patterns, counts = np.array([r["pattern"] for r in rows]), np.array([r["n"] for r in rows], float)
     post = dict(zip(patterns.tolist(), label_model(patterns, counts)[0], strict=True))
     share = min(1_000_000, int(1_000_000 * sample_docs / counts.sum()) + 1)
-    drawn = text.where(F.pmod("k", F.lit(1_000_000)) < share).select("t").mapInArrow(_vectors, "pattern int, x binary").limit(2 * sample_docs).collect()
+    drawn = text.where(F.pmod("k", F.lit(1_000_000)) < share).select("t", "k").mapInArrow(_vectors, "k long, pattern int, x binary").orderBy("k", "pattern", "x").limit(2 * sample_docs).collect()
     if not drawn:
         return None
     x = np.stack([np.frombuffer(r["x"], np.float16) for r in drawn]).astype(np.float32)

@@ -132,3 +132,10 @@ def test_a_rare_language_does_not_change_what_others_hold_back(spark, monkeypatc
 def test_a_language_with_long_texts_only_is_learned(spark):
     rows = [(i, t, x) for i, t, _, x in corpus(5, 600) if x != "fr"] + [(1000 + i, "le la et maison avec cette " * 2000, "fr") for i in range(150)]
     assert "fr" in langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs
+
+
+def test_equal_entropies_go_to_the_language_that_sorts_first(spark):
+    text = "some text of letters that both languages share"
+    rows = [(i, text, lang) for i in range(40) for lang in ("zz", "aa")]
+    model = langid.fit(spark.createDataFrame([(2 * i + (lang == "aa"), t, lang) for i, t, lang in rows], "doc_id long, text string, lang string"))
+    assert model.predict([langid.symbols("text of letters", langid.letters())])[0][0] == "aa"

@@ -85,3 +85,25 @@ def test_stage_names_and_empty_tables(spark, tmp_path):
     assert [n for n, _ in P.STAGES] == ["quality_classifier", "language_id", "exact_dedup", "minhash_dedup", "packing"]
     write(spark, tmp_path, [])
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null identifiers, repeated rows, and columns named like those that the operators make: kept as they are, no crash."""
+    r = random.Random(5)
+    long, other = good(r), good(r)
+    rows = [(i, good(r), "en") for i in range(60)] + [(None, long, "en"), (None, long, "en"), (None, other, None), (70, long, "en"), (71, long + " ", None), (71, long + " ", None), (72, None, "en"), (73, "", None), (74, other * 200, "en")]
+    names = ["row", "comp", "n", "kept_id", "k", "f1", "quality", "kept", "text_", "keep_id", "rejected"]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", *(f"{k} AS `{c}`" for k, c in enumerate(names)))
+    df.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for k, (_, stage) in enumerate(P.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        out.write.parquet(f"{tmp_path}/stage{k}")
+        docs = spark.read.parquet(f"{tmp_path}/stage{k}")
+        assert all(tuple(x)[3:] == tuple(range(len(names))) for x in docs.collect())
+    kept = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    assert {i for i, _ in kept} >= set(range(60)) and not {72, 73} & {i for i, _ in kept}
+    assert sum(" ".join(t.split()) == long for _, t in kept) == 1
+    pieces = P.run(spark, str(tmp_path))
+    assert sum(x["n"] for x in pieces.where("start = 0").groupBy("doc_id").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()) == len(kept)

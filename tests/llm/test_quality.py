@@ -1,8 +1,11 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 
-from lattica.llm import quality
+from lattica.llm import quality, queries
 
 COMMON = "the of and to in a is that for it".split()
 
@@ -71,3 +74,61 @@ def test_empty_tables_and_repeats(spark):
     twice = spark.createDataFrame([(i, t) for i, t, _ in rows] * 2, "doc_id long, text string")
     got = quality.score(twice, quality.fit(twice)).groupBy("doc_id").agg({"quality": "min", "kept": "count"}).collect()
     assert all(x["count(kept)"] == 2 for x in got)
+
+
+def test_query_against_plain_loops(spark, tmp_path):
+    """Vote patterns, expectation-maximisation and the scorer's gradient steps over dictionaries, one number at a time."""
+    rows = [(i, t) for i, t, _ in corpus(4, 60)] + [(900, None), (901, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: (x["quality"], x["kept"]) for x in queries.QUERIES["op6_quality_classifier"](spark, str(tmp_path)).collect()}
+    table, vectors, seen = quality.classes(), {}, {}
+    for i, t in rows:
+        words = (t or "").split()
+        if words:
+            x = quality.numbers(t, Counter(words), words, table)
+            seen[i] = quality.votes(x)
+            v = Counter()
+            for w, k in Counter(words).items():
+                shape = []
+                for c in w[:64]:
+                    s = "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c
+                    if not shape or shape[-1] != s:
+                        shape.append(s)
+                v["s", zlib.crc32(("shape " + "".join(shape)).encode()) % quality.SLOTS] += k / len(words)
+                v["w", zlib.crc32(w.lower().encode()) % quality.SLOTS] += k / len(words)
+            out = Counter()
+            for (kind, slot), share in v.items():
+                out[slot] += (1 if kind == "s" else 0.3) * math.sqrt(share)
+            for j, y in enumerate(x):
+                out[quality.SLOTS + j] = min(3 * y, 3)
+                out[zlib.crc32(b"number %d %d" % (j, min(20, int(y * 20)))) % quality.SLOTS] += 0.5
+            vectors[i] = out
+    sigmoid = lambda z: 1 / (1 + math.exp(-max(-30, min(30, z))))
+    post = {i: 1 / (1 + math.exp(-(0.5 * v.count(quality.GOOD) - 3 * v.count(quality.BAD)))) for i, v in seen.items()}
+    for _ in range(60):
+        weight = {0: {i: 1 - p for i, p in post.items()}, 1: post}
+        prior = [1 + sum(weight[c].values()) for c in (0, 1)]
+        tables = [[[0.1 + sum(w for i, w in weight[c].items() if seen[i][j] == k) for k in range(3)] for j in range(quality.LABELLERS)] for c in (0, 1)]
+        chance = lambda c, v: math.log(prior[c] / sum(prior)) + sum(math.log(t[k] / sum(t)) for t, k in zip(tables[c], v, strict=True))  # noqa: B023, E731
+        post = {i: 1 / (1 + math.exp(max(-50, min(50, chance(0, v) - chance(1, v))))) for i, v in seen.items()}
+    w, m, s, last = Counter(), Counter(), Counter(), quality.SLOTS + quality.NUMBERS
+    for x in vectors.values():
+        x[last] = 1.0
+    for t in range(1, 151):
+        g = Counter({k: 1e-4 * v for k, v in w.items()})
+        for i, x in vectors.items():
+            off = (sigmoid(sum(w[k] * v for k, v in x.items())) - post[i]) / len(vectors)
+            for k, v in x.items():
+                g[k] += off * v
+        for k in g:
+            m[k], s[k] = 0.9 * m[k] + 0.1 * g[k], 0.99 * s[k] + 0.01 * g[k] ** 2
+            w[k] -= 0.05 * (m[k] / (1 - 0.9**t)) / (math.sqrt(s[k] / (1 - 0.99**t)) + 1e-8)
+    for i, _ in rows:
+        want = sigmoid(sum(w[k] * v for k, v in vectors[i].items())) if i in vectors else 0.0
+        assert abs(got[i][0] - want) < 0.02 and got[i][1] == (got[i][0] >= 0.5), (i, got[i], want)
+
+
+def test_a_score_at_the_threshold_is_kept(spark):
+    docs = spark.createDataFrame([(1, "some words"), (2, "")], "doc_id long, text string")
+    none = np.zeros(quality.SLOTS + quality.NUMBERS + 1, np.float32)
+    assert {x["doc_id"]: (x["quality"], x["kept"]) for x in quality.score(docs, none).collect()} == {1: (0.5, True), 2: (0.0, False)}
