@@ -1,6 +1,16 @@
 """From raw documents to packed sequences: five stages, each by one operator.
 
 Each stage reads all that the one before it kept; all but the last return the columns of documents.
+
+Defined results, of every stage:
+    null text, empty text   no word and no letter: the first stage rejects them
+    very long texts         judged, compared and packed whole
+    null identifier         judged like any other; of exact copies an identified row stays before one without, near
+                            copies without an identifier stay; packed with doc_id null
+    ties                    the smallest identifier stays; a score at the threshold stays
+    repeated rows           exact dedup leaves one; rows that share an identifier but no text stay or go together after it
+    empty table             empty result
+    further columns         kept as they are by all stages but packing, whatever their names
 """
 
 from __future__ import annotations
@@ -32,6 +42,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token of the documents in sequences of at most 1024, one row a piece."""
     return packing.pack(docs)
 
 
