@@ -970,3 +970,35 @@ def catalog_as_xml(spark, sf):
     p.select(F.to_json(document).alias("value")).write.text(docs)
     sinks.catalog_xml(threats.fan_out(config.read_threat_documents(spark, docs, lines=True)), path)
     return spark.read.format("xml").option("rowTag", "threat").schema("id string, name string, class string, aggressor string, victim string").load(path)
+
+
+# ---- whole analyses ----
+
+INTENDED = """
+SELECT r_name AS path_id, CAST(4000000000000 + s_suppkey AS BIGINT) AS src, CAST(2000000000000 + x.n_nationkey AS BIGINT) AS dst, x.n_name AS name, s_suppkey % 2 = 0 AS plain
+FROM {supplier} JOIN {nation} AS o ON s_nationkey = o.n_nationkey JOIN {region} ON o.n_regionkey = r_regionkey JOIN {nation} AS x ON x.n_regionkey = r_regionkey WHERE s_suppkey % 2 = 0 OR x.n_nationkey % 2 = 0
+"""
+
+
+@query(
+    f"""WITH {G1_SQL}, old AS (SELECT path_id, src, dst FROM edges WHERE src BETWEEN 4000000000000 AND 4999999999999), new AS ({there(INTENDED)})
+SELECT path_id, src, dst, NULL::VARCHAR AS method FROM old UNION ALL SELECT path_id, src, dst, CASE WHEN plain THEN 'implicit_exact_match' ELSE 'boundary_match' END FROM new WHERE (src, dst) NOT IN (SELECT (src, dst) FROM old)"""
+)
+def implicit_links(spark, sf):
+    """L-5, L-6, E-6: entry B. Suppliers name nations through variables, or within addresses made of them."""
+    n = nodes_of(spark, sf).where("node_id >= 2000000000000 AND node_id < 3000000000000 OR node_id >= 4000000000000 AND node_id < 5000000000000")
+    to = derived(spark, sf, INTENDED)
+    reference = F.concat(F.lit("${var."), "name", F.lit("}"))
+    value = F.when(F.col("plain"), reference).otherwise(F.concat(F.lit("https://"), reference, F.lit(".internal/x")))
+    props = to.select("path_id", F.col("src").alias("node_id"), F.concat(F.lit("to_"), F.col("dst").cast("string")).alias("key"), value.alias("value"))
+    bindings = to.select("path_id", F.lit("var").alias("scope"), "name", F.upper("name").alias("value")).distinct()
+    p = analysis.Project.of(n, edges_of(spark, sf).where("src >= 4000000000000 AND src < 5000000000000"), props)
+    return analysis.resolve_implicit(p, bindings).edges.select("path_id", "src", "dst", "method")
+
+
+@query()
+def analyse_projects(spark, sf):
+    """Entry A: from graphs to threats, over all projects. Some suppliers are security groups open to all."""
+    p = analysis.Project.of(nodes_of(spark, sf), edges_of(spark, sf), derived(spark, sf, GROUP_PROPS).selectExpr("'p' AS path_id", "node_id + 4000000000000 AS node_id", "key", "value"))
+    entities = spark.createDataFrame([("Internet", "RemoteUser")], "name string, annotation string")
+    return analysis.analyse(p, profile_of(spark), spark.createDataFrame(RULE_ROWS, OWN_RULES), entities, spark.createDataFrame(PATTERN_ROWS, PATTERNS))
