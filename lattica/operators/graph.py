@@ -233,12 +233,18 @@ def remap(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def contract(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """R-6, R-7, R-8: members (node_id) that reach one another become one node, the smallest.
+    """R-6, R-7, R-8: members (node_id) become one node, the smallest, where one reaches another.
 
+    A node lies on a way from member to member if it has one before and one behind it. Among such nodes and members every
+    edge joins what belongs together, so their components tell the groups, and no pair of members is made.
     Returns (nodes, edges, labels: node, comp)."""
-    ends = members.select(F.col("node_id").alias("dst")).distinct()
-    linked = reach_from(edges, members).join(ends, "dst", "left_semi").where("src <> dst")
-    labels = materialise(components(linked.select(F.col("src").alias("u"), F.col("dst").alias("v"))))
+    m = materialise(members.select("node_id").distinct())
+    e = materialise(edges.where("src <> dst").select("src", "dst").distinct())
+    within = _ahead(e, m).join(_ahead(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), m), "node_id", "left_semi")
+    inner = e.join(within.select(F.col("node_id").alias("src")), "src", "left_semi").join(within.select(F.col("node_id").alias("dst")), "dst", "left_semi")
+    found = components(inner.select(F.col("src").alias("u"), F.col("dst").alias("v"))).join(m.select(F.col("node_id").alias("node")), "node", "left_semi")
+    least = found.groupBy("comp").agg(F.min("node").alias("least"))
+    labels = materialise(found.join(least, "comp").select("node", F.col("least").alias("comp")))
     gone = labels.where("node <> comp").select(F.col("node").alias("node_id"))
     return nodes.join(gone, "node_id", "left_anti"), remap(edges, labels), labels
 

@@ -315,6 +315,22 @@ def contract_components(spark, sf):
     return graph.contract(n, e, n.where("node_id % 3 <> 0"))[1].select("src", "dst")
 
 
+TRADE = """
+SELECT DISTINCT n_name AS path_id, CAST(c_custkey * 2 AS BIGINT) AS src, CAST(s_suppkey * 2 + 1 AS BIGINT) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nation} ON c_nationkey = n_nationkey
+UNION SELECT n_name, CAST(s_suppkey * 2 + 1 AS BIGINT), CAST(c_custkey * 2 AS BIGINT) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_returnflag = 'R'
+"""
+
+
+@query()
+def contract_trade(spark, sf):
+    """R-6 on a graph that grows with the tables: customers and suppliers of one nation, linked both ways through orders."""
+    e = materialise(as_edges(derived(spark, sf, TRADE)))
+    n = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return graph.contract(n, e, n.where("node_id % 5 <> 0"))[1].select("path_id", "src", "dst")
+
+
 @query(
     f"""WITH {G1_SQL}, rep AS (SELECT node_id, min(node_id) OVER (PARTITION BY path_id, parent_id) AS r FROM nodes WHERE resource_type = 'aws_lambda_function')
 SELECT DISTINCT e.path_id, coalesce(a.r, e.src) AS src, coalesce(b.r, e.dst) AS dst FROM edges e LEFT JOIN rep a ON e.src = a.node_id LEFT JOIN rep b ON e.dst = b.node_id"""

@@ -66,3 +66,33 @@ def test_fuzzy_links_against_loops(spark):
                 if ratio >= 0.75:
                     want.add((a["p_brand"], a["p_partkey"], b["p_partkey"] + 1_000_000_000, round(ratio, 6)))
     assert got == want
+
+
+@needs_data
+def test_contraction_against_loops(spark):
+    from lattica import queries
+
+    rows = [tuple(x) for x in queries.derived(spark, SF, queries.TRADE).select("path_id", "src", "dst").collect()]
+    out, nodes = {}, {x for _, a, b in rows for x in (a, b)}
+    for _, a, b in rows:
+        out.setdefault(a, set()).add(b)
+    members, group = {x for x in nodes if x % 5}, {x: x for x in nodes}
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for m in members:
+        todo, seen = list(out.get(m, ())), set()
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += out.get(x, ())
+        for x in seen & members:
+            a, b = sorted((top(m), top(x)))
+            group[b] = a
+    want = {(p, top(a), top(b)) for p, a, b in rows if top(a) != top(b)}
+    got = entry.queries()["contract_trade"](spark, SF).collect()
+    assert {tuple(x) for x in got} == want and len(got) == len(want) and len({top(x) for x in nodes}) > 1
