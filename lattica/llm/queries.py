@@ -129,7 +129,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encoded, decoded, and compared: the ids' checksum and whether decoding gives the text back."""
+    """Encoded and decoded again: the ids' checksum, and length and digest of the text that decoding gives."""
     docs = table(spark, sf_dir, "documents")
     back = pieces.decode(pieces.encode(docs))
     return back.select("doc_id", "n_tokens", "ids_crc32", "n_byte_tokens", F.length("text").cast("long").alias("decoded_chars"), F.sha2("text", 256).alias("decoded_sha256"))

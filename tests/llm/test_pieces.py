@@ -1,9 +1,10 @@
+import hashlib
 import random
 import zlib
 
 import numpy as np
 
-from lattica.llm import pieces
+from lattica.llm import pieces, queries
 
 
 def brute(model, s):
@@ -75,3 +76,17 @@ def test_tables(spark):
     assert pieces.decode(pieces.encode(docs.where("false"))).count() == 0
     odd = spark.createDataFrame([(1, None), (2, [1, 2, 0, 99_999_999]), (3, [])], "doc_id long, ids array<int>")
     assert [x["text"] for x in pieces.decode(odd).orderBy("doc_id").collect()] == ["", "", ""]
+
+
+def test_query_against_brute_force(spark, tmp_path):
+    """Checksums of the query are those of best segmentations, and its texts come back whole."""
+    rows = [(1, None), (2, "")] + [(10 + i, t) for i, t in enumerate(TEXTS)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {x["doc_id"]: x for x in queries.QUERIES["op7_sentencepiece"](spark, str(tmp_path)).collect()}
+    model = pieces.Pieces()
+    for i, text in rows:
+        x, text = got[i], text or ""
+        ids = model.encode(text)
+        assert (x["n_tokens"], x["ids_crc32"], x["decoded_chars"], x["decoded_sha256"]) == (len(ids), zlib.crc32(ids.astype("<u4").tobytes()), len(text), hashlib.sha256(text.encode()).hexdigest())
+        if text and pieces.MARK not in text:
+            assert abs(score(model, ids.tolist()) - brute(model, (" " + text).replace(" ", pieces.MARK))) < 1e-6
