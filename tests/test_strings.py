@@ -60,17 +60,17 @@ def test_boundaries(spark):
     assert got == {(0, 0), (1, 1), (3, 2), (5, 2), (6, 2), (7, 3), (9, 2)}
 
 
-def test_spans_against_pattern(spark):
+def test_symbols_of_any_length_against_pattern(spark):
     import re
 
     r = random.Random(3)
-    texts = ["".join(r.choices("ab_-. ", k=r.randint(0, 14))) for _ in range(80)]
-    words = ["".join(r.choices("ab-.", k=r.randint(1, 4))) for _ in range(12)]
-    rows = match.spans(spark.createDataFrame(list(enumerate(texts)), "id long, value string"), 4).collect()
-    found = {(x["id"], x["key"]) for x in rows}
-    for i, t in enumerate(texts):
-        for w in set(words):
-            assert ((i, w) in found) == bool(re.search(rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])", t)), (t, w)
+    texts = ["".join(r.choices("ab_-. \\", k=r.randint(0, 14))) for _ in range(80)]
+    words = sorted({"".join(r.choices("ab-.\\", k=r.randint(1, 4))) for _ in range(12)} | {t[k : k + 9].strip() for t in texts for k in (0, 3) if len(t) > 8})
+    values = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "path_id string, node_id long, value string")
+    symbols = spark.createDataFrame([("p", w, 1000 + k, w) for k, w in enumerate(words)], "path_id string, key string, node_id long, keyword string")
+    found = {(x["src"], words[x["dst"] - 1000]) for x in match.boundary_pairs(values, symbols, only_complex=False).collect()}
+    assert found == {(i, w) for i, t in enumerate(texts) for w in words if w and re.search(rf"(?<![A-Za-z0-9_]){re.escape(w)}(?![A-Za-z0-9_])", t)}
+    assert any(len(w) > 6 for _, w in found)
 
 
 NODES = "path_id string, node_id long, node_type string, resource_type string, resource_name string, name string, parent_id string"
