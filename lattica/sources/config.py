@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators.schema import OWN_RULES, PATTERNS, PROFILE
 
 
@@ -77,3 +78,12 @@ def read_threat_documents(spark: SparkSession, path: str, lines: bool = False) -
     d = spark.read.option("multiLine", not lines).schema(shape).json(path)
     bare = lambda xs: F.transform(F.coalesce(xs, F.array().cast("array<string>")), lambda x: F.regexp_replace(x, r"^\w+:(comp_|STRIDE_)?", ""))
     return d.select("id", F.col("metadata.`ns:textName`").alias("name"), F.col("metadata.`ns:textReviewProblem`").alias("problem"), bare(F.col("security.`ns:hasAggressor`")).alias("aggressors"), bare(F.col("context.`ns:hasAffectedComponent`")).alias("victims"), bare(F.col("security.`ns:hasSTRIDE`")).alias("stride"))
+
+
+def read_findings(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
+    """SC-11: path_id (of the folder of the file that a finding is in), variable, value, once each: what a pattern scanner's
+    JSON results (results[].path, results[].extra.metavars) bind to the given variables, or to all."""
+    shape = "results array<struct<path: string, extra: struct<metavars: map<string, struct<abstract_content: string>>>>>"
+    each = spark.read.option("multiLine", True).schema(shape).json(path).select(F.explode("results").alias("r")).select("r.path", F.explode("r.extra.metavars").alias("variable", "m"))
+    own = each if variables is None else each.where(F.col("variable").isin(*variables))
+    return own.select(T.path_id(F.regexp_replace("path", "/[^/]*$", "")).alias("path_id"), "variable", F.col("m.abstract_content").alias("value")).where("value IS NOT NULL").distinct()

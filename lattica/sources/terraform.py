@@ -196,6 +196,13 @@ def local_values(blocks: DataFrame) -> DataFrame:
     return _first(of, ["key"], ["path"]).select("path_id", F.lit("local").alias("scope"), F.col("key").alias("name"), "value")
 
 
+def local_items(blocks: DataFrame) -> DataFrame:
+    """path_id, name, key, value: what map and list locals hold, key being the way to it (`Team`, `[0]`, `a.b[1]`)."""
+    of = blocks.where("kind = 'locals' AND key IS NOT NULL AND NOT in_module AND key RLIKE '[.\\\\[]'").withColumn("local", F.regexp_extract("key", r"^[^.\[]+", 0))
+    rest = F.regexp_replace(F.expr("substring(key, length(local) + 1)"), r"^\.", "")
+    return _first(of, ["local"], ["path"]).select("path_id", F.col("local").alias("name"), rest.alias("key"), "value")
+
+
 def resources(blocks: DataFrame) -> DataFrame:
     """path_id, resource_type, resource_name, key, value. A module's resource comes before the root's of that name."""
     of = blocks.where("kind = 'resource'")

@@ -76,6 +76,7 @@ def test_configuration_files(spark, tmp_path):
     v = {x["name"]: x["value"] for x in terraform.variables(b).collect()}
     assert v == {"name": "shop", "open": "true", "depth": "3"}
     assert {x["name"]: x["value"] for x in terraform.local_values(b).collect()} == {"bucket": "${var.name}-data"}
+    assert [tuple(x)[1:] for x in terraform.local_items(b).orderBy("name", "key").collect()] == [("tags", "Team", "x")]
     r = terraform.resources(b)
     of = lambda name: {x["key"]: x["value"] for x in r.where(f"resource_name = '{name}'").collect()}
     assert of("gw") == {None: None}
@@ -180,6 +181,14 @@ def test_threat_documents(spark, tmp_path):
     sinks.catalog_xml(threats.fan_out(d), f"{tmp_path}/c")
 
 
+def test_scanner_findings(spark, tmp_path):
+    found = [{"path": f"/srv/{p}/main.tf", "extra": {"metavars": {"$NET": {"abstract_content": n}, "$OTHER": {"abstract_content": "x"}}}} for p, n in (("one", "front"), ("one", "front"), ("two", "edge"))]
+    (tmp_path / "scan.json").write_text(json.dumps({"results": found, "errors": []}, indent=1))
+    got = config.read_findings(spark, f"{tmp_path}/scan.json", ["$NET"])
+    assert sorted(tuple(x) for x in got.collect()) == [("srv.one", "$NET", "front"), ("srv.two", "$NET", "edge")]
+    assert config.read_findings(spark, f"{tmp_path}/scan.json").count() == 4
+
+
 def test_empty_projects(spark):
     nodes, edges = spark.createDataFrame([], NODES), spark.createDataFrame([], EDGES)
     p = analysis.Project.of(nodes, edges, spark.createDataFrame([], "path_id string, node_id long, key string, value string"))
