@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import graph
 from .lineage import materialise
+from .schema import config_table
 from .tagging import display_name
 
 GLOBAL = "Cloud"
@@ -18,7 +19,7 @@ def elements(tagged: DataFrame, profile: DataFrame) -> DataFrame:
     rank = F.when(F.col("section") == "boundaries", 0).when(F.col("section") == "processes", 1).otherwise(2)
     kinds = profile.select("group_name", rank.alias("k")).groupBy("group_name").agg(F.min("k").alias("k"))
     kind = F.element_at(F.array(*map(F.lit, ("TrustBoundary", "Process", "DataStore"))), F.col("k") + 1)
-    of = tagged.where("tagged").join(F.broadcast(kinds), "group_name")
+    of = tagged.where("tagged").join(config_table(kinds), "group_name")
     name = F.when(F.col("k") == 0, display_name(False)).otherwise(display_name())
     return of.select("path_id", F.col("node_id").alias("id"), kind.alias("kind"), name.alias("name"), "group_name", "annotation")
 

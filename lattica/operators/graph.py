@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .lineage import materialise
-from .schema import as_edges
+from .schema import as_edges, config_table
 from .tagging import full_match
 
 METHODS = ("Backward", "Forward", "IntersectForward", "IntersectBackward")
@@ -309,12 +309,13 @@ def own_pairs(edges: DataFrame, groups: DataFrame, rules: DataFrame) -> DataFram
     if wrong:
         raise NotImplementedError(f"ownership method {wrong}")
     e = edges.select("path_id", "src", "dst").distinct()
+    rules = config_table(rules)
     used = {r[0] for r in rules.select("method").distinct().collect()}
     out = None
     for method in METHODS:
         if method not in used:
             continue
-        mine = F.broadcast(rules.where(F.col("method") == method))  # a config table
+        mine = F.broadcast(rules.where(F.col("method") == method))
         first = groups.select(F.col("node_id").alias("first"), F.col("group_name").alias("first_node")).join(mine, "first_node", "left_semi")
         second = groups.select(F.col("node_id").alias("second"), F.col("group_name").alias("second_node")).join(mine, "second_node", "left_semi")
         if method in ("Backward", "Forward"):

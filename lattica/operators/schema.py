@@ -18,9 +18,17 @@ EDGES = "path_id string, src long, dst long, method string, details string, conf
 PROFILE = "section string, group_name string, annotation string, member_name string, tf_name string, compress boolean, can_public boolean, ord int"
 OWN_RULES = "ord int, id string, first_node string, second_node string, method string"
 PATTERNS = "threat string, stride string, sender_type string, sender_anno string, recipient_type string, recipient_anno string, location_end string"
+CONFIG_ROWS = 20_000
 EDGE_COLUMNS = ["path_id", "src", "dst", "method", "details", "confidence"]
 
 
+def config_table(df: DataFrame, most: int = CONFIG_ROWS) -> DataFrame:
+    """df, a table of configuration, to be sent to every executor. One of more than `most` rows is refused: it is none."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"a config table has more than {most} rows")
+    return F.broadcast(df)
+
+
 def as_edges(pairs: DataFrame, method: str | None = None) -> DataFrame:
     """path_id, src, dst (and what it has of the rest) as a full edge table."""
     have = set(pairs.columns)

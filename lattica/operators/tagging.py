@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .schema import config_table
+
 
 def full_match(value, pattern):
     """F-2: whole-string regular expression match, as columns."""
@@ -14,7 +16,7 @@ def full_match(value, pattern):
 def match_types(nodes: DataFrame, profile: DataFrame) -> DataFrame:
     """P-1: resource_type with each profile row that matches it. Types are few: they are matched once each, not per node."""
     kinds = nodes.select("resource_type").where("resource_type IS NOT NULL").distinct()
-    return kinds.join(F.broadcast(profile), full_match(F.col("resource_type"), F.col("tf_name")))
+    return kinds.join(config_table(profile), full_match(F.col("resource_type"), F.col("tf_name")))
 
 
 def tag_nodes(nodes: DataFrame, profile: DataFrame) -> DataFrame:

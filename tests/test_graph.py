@@ -215,3 +215,11 @@ def test_link_tagged_on_random_graphs(spark):
     pairs = {(a, b) for a in tags for b in reach.get(a, ()) if b in tags and a != b}
     want = {(a, b) for a, b in pairs if not any((a, w) in pairs and (w, b) in pairs for w in tags if w not in (a, b))} - {(a, b) for _, a, b in rows}
     assert got == want and want
+
+
+def test_large_tables_are_not_sent_around(spark):
+    from lattica.operators.schema import config_table
+
+    assert config_table(spark.range(5), most=5).count() == 5
+    with pytest.raises(ValueError):
+        config_table(spark.range(6), most=5)
