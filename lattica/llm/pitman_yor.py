@@ -129,7 +129,21 @@ def _whole(b: bytes) -> np.ndarray:
 def pairs_of(tokens: np.ndarray, n_words: int):
     """Of a block's tokens (local numbers of words, 0 the end mark, whole documents): its distinct pairs, sorted, as
     word * n_words + context, and each token's pair."""
-    return np.unique(tokens * n_words + np.concatenate(([0], tokens[:-1])), return_inverse=True)
+    key = tokens * n_words
+    key[1:] += tokens[:-1]
+    bits = len(tokens).bit_length()
+    if (n_words * n_words).bit_length() + bits > 63:
+        return np.unique(key, return_inverse=True)
+    key <<= bits  # pair and place in one number: sorting numbers takes less time and memory than sorting places
+    key |= np.arange(len(tokens))
+    key.sort()
+    place = (key & ((1 << bits) - 1)).astype(np.int32)
+    key >>= bits
+    first = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=first[1:])
+    local = np.empty(len(key), np.int32)
+    local[place] = np.cumsum(first, dtype=np.int32) - 1
+    return key[first], local
 
 
 def blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -446,7 +460,7 @@ def _discount(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones and twos else 0.5
 
 
-def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_bytes: int = 14 << 20, outer: int = 2, sweeps: int = 6, burn_in: int = 2) -> DataFrame:
+def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_bytes: int = 10 << 20, outer: int = 2, sweeps: int = 6, burn_in: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     held = mod_crc(F.col(id_col), 5) == 1 if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held, F.lit(False)).alias("held_out"), F.coalesce(~held, F.lit(False)).alias("learned"))
@@ -519,8 +533,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         for a, b in zip(found["locals"], found["nums"], strict=True):
             if a.is_valid:
                 num[np.cumsum(_whole(a.as_py()))] = np.frombuffer(b.as_py(), np.float32)
-        word, ctx = grams // len(c), grams % len(c)
-        lp = np.log10((num + (theta + d1 * tables[ctx]) * p[word]) / (theta + customers[ctx]))
+        word, ctx = np.divmod(grams, len(c))
+        lp = np.log10((num + (theta + d1 * tables)[ctx] * p[word]) / (theta + customers)[ctx])
+        del num, learned, word, ctx, grams
         starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
         sums = lambda x: np.add.reduceat(x, starts)
         base = np.log10(c + 0.5) - base_total
@@ -528,5 +543,6 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         return pa.table({"doc_id": pa.array(row["doc_ids"][0], pa.int64()), "held_out": row["held"][0], **cols})
 
     texts = both.select(F.col("block").alias("of_block"), "doc_ids", "held", "learned", "tokens", "lengths")
-    scored = texts.groupBy("of_block").cogroup(answers.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    wide_enough = max(parts, 2 * both.count())  # few tasks get several blocks
+    scored = texts.repartition(wide_enough, "of_block").groupBy("of_block").cogroup(answers.repartition(wide_enough, "block").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
