@@ -7,15 +7,20 @@ least twice are sampled; the others are counted as they are.
 
 Tables are sampled by blocked Gibbs sweeps: all customers of a dish leave, and come back one after another by the
 Chinese restaurant rule (beyond the first 48 in growing blocks, by the normal approximation of the binomial). The pairs
-of one word are in one part, or, for words of a large share of all tokens, spread over the parts by their context; the
-sweeps of a part need the restaurants' totals and what spread words have elsewhere, which are renewed between outer
-rounds. Probabilities are averaged over the sweeps after burn-in. Random numbers come from a hash of (word, context,
-sweep, step), so a task that runs again draws the same. The root's base measure has one outcome for all unknown words,
-with nearly all weight, as new tables of the root are new words.
-
-Documents are read in blocks of bounded size. A block asks once for each of its distinct words and tells each part its
-distinct pairs; a part answers only for pairs that are not what the block takes them for (seen once where the block
-itself has learned from it, else not at all). So neither the vocabulary nor a count table is ever gathered in one place.
+of one word are in one part, or, for words of a large share of all tokens, spread over the parts by their context. A
+context's totals are kept at its home. Between outer rounds parts send homes the tables they have seated, and homes tell
+each part what its contexts have in all; words that are spread get the sum of their root customers elsewhere.
+Probabilities are averaged over the sweeps after burn-in. Random numbers come from a hash of (word, context, sweep,
+step), so a task that runs again draws the same. The root's base measure has one outcome for all unknown words, with
+nearly all weight, as new tables of the root are new words.
+
+Documents are read in blocks of bounded size, each stored as one row. A block asks once for each of its distinct words and
+tells each part its distinct pairs; a part answers only for pairs that are not what the block takes them for (seen once
+where the block itself has learned from it, else not at all). What parts, homes and blocks tell one another is packed:
+sorted hashes and counts in a few bytes each. So neither the vocabulary nor a count table is ever gathered in one place;
+the driver gets totals, and the counts of spread words (at most 8 x parts of them, in each part).
+
+Words are known by 64-bit hashes; V words have a chance of V^2 / 2^65 that two share one.
 
 Defined results:
     null text, empty text   the end mark alone
