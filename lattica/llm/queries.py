@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, langid, media, minhash, packing, pieces, pitman_yor, quality, tool_calls
+from . import exact_dedup, fim, html_text, langid, lexical, media, minhash, packing, pieces, pitman_yor, quality, secrets, tool_calls
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,89 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.lm_score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op11_ranked_search"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), t AS (
+  SELECT r, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d
+), p AS (
+  SELECT r, doc_id, n, term, count(*)::BIGINT AS tf FROM t GROUP BY ALL
+), s AS (
+  SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS terms FROM d WHERE len(w) > 0
+), f AS (
+  SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), scored AS (
+  SELECT item_id, doc_id, sum(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term), s GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+
+@query
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restored(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
+
+
+ORACLES["op12_fill_in_middle"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), c AS (
+  SELECT *, len(lines)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d
+), s AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS low, greatest(h1 % (n + 1), h2 % (n + 1)) AS high,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c
+), p AS (
+  SELECT *, array_to_string(lines[1:low], '') AS prefix, array_to_string(lines[low + 1:high], '') AS middle, array_to_string(lines[high + 1:n], '') AS suffix FROM s
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+@query
+def op13_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["rule"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["rule"] < len(secrets.BASE))
+    return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(secrets.labels(base), 256).alias("base_sha256"), secrets.labels(F.col("spans")).alias("spans"))
+
+
+def _by_rule(name: str) -> str:
+    """A list over all rules, each with its pattern and group as constants."""
+    plain = {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    one = {"gaps": "string_split_regex(t, {p})", "hits": "regexp_extract_all(t, {p})", "vals": "regexp_extract_all(t, {p}, {g})"}[name]
+    return "CASE ord " + " ".join(f"WHEN {k} THEN " + one.format(p=quoted(plain.get(r.kind, r.pattern)), g=r.group) for k, r in enumerate(secrets.RULES)) + " END"
+
+
+ORACLES["op13_secret_scans"] = f"""
+WITH rules(ord, kind, least) AS (VALUES {", ".join(f"({k}, '{r.kind}', {r.least})" for k, r in enumerate(secrets.RULES))}), d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT r, ord, kind, least, {_by_rule("gaps")} AS gaps, {_by_rule("hits")} AS hits, {_by_rule("vals")} AS vals FROM d, rules
+), u AS (
+  SELECT r, ord, kind, least, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS val, unnest(range(len(hits))) AS i FROM m
+), p AS (
+  SELECT r, ord, kind, least, length(hit) AS n, length(val) AS counted, sum(length(gap) + length(hit)) OVER (PARTITION BY r, ord ORDER BY i) AS e FROM u
+), s AS (
+  SELECT r, ord, (e - n)::BIGINT AS b, e::BIGINT AS e, kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT AS label FROM p WHERE counted >= least
+)
+SELECT doc_id, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+       sha256(coalesce(string_agg(label, ',' ORDER BY b, ord, e) FILTER (ord < {len(secrets.BASE)}), '')) AS base_sha256, coalesce(string_agg(label, ',' ORDER BY b, ord, e), '') AS spans
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id
+"""
