@@ -140,6 +140,12 @@ def may_be_near(a: Column, b: Column, threshold: float) -> Column:
     return F.call_function("levenshtein", a, b, most.cast("int")) >= 0
 
 
+def under_ignored(key: Column, ignored=IGNORED_KEYS) -> Column:
+    """F-15: whether any part of a flattened key is ignored, whatever its case and list positions."""
+    parts = F.split(F.regexp_replace(F.lower(key), r"\[\d+\]", ""), r"\.")
+    return F.coalesce(F.exists(parts, lambda x: x.isin(*ignored)), F.lit(False)) if ignored else F.lit(False)
+
+
 def candidate(value: Column) -> Column:
     """E-16, F-15: struct (value, kind) of the outside entity that a string names, or null."""
     v = F.trim(value, F.lit("\",' "))

@@ -338,25 +338,3 @@ def group_pairs(edges: DataFrame, groups: DataFrame, first: str, second: str) ->
     a = groups.where(F.col("group_name") == first).select(F.col("node_id").alias("src"))
     b = groups.where(F.col("group_name") == second).select(F.col("node_id").alias("dst"))
     return pairs_of(edges).join(a, "src", "left_semi").join(b, "dst", "left_semi").distinct()
-
-
-def chains(edges: DataFrame, starts: DataFrame, most: int | None = None, top: int | None = 10) -> DataFrame:
-    """R-15, T-3: simple paths from starts (node_id), longest first, then by path; with `most`, of as many steps at most.
-    Paths are as many as the graph has; `top` of them are returned.
-
-    Result: path_id, path (node ids), length."""
-    step = materialise(pairs_of(edges).distinct())
-    front = step.join(starts.select(F.col("node_id").alias("src")), "src", "left_semi").where("src <> dst").select("path_id", F.array("src", "dst").alias("path"))
-    out, n = None, 1
-    while most is None or n <= most:
-        front = materialise(front)
-        if front.isEmpty():
-            break
-        out = front if out is None else out.unionByName(front)
-        onward = step.select(F.col("src").alias("at"), F.col("dst").alias("to"))
-        front = front.withColumn("at", F.element_at("path", -1)).join(onward, "at").where(~F.array_contains("path", F.col("to"))).select("path_id", F.concat("path", F.array("to")).alias("path"))
-        n += 1
-    if out is None:
-        out = front
-    out = out.withColumn("length", F.size("path") - 1)
-    return out if top is None else out.orderBy(F.desc("length"), "path").limit(top)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import dfd, exposure, graph, match, resolve, tagging, threats
+from .operators import chains, dfd, exposure, graph, match, resolve, tagging, threats
 from .operators.lineage import materialise, shared_dir
 from .operators.schema import OWN_RULES, PATTERNS, PROFILE, as_edges
 from .plans import analysis
@@ -369,10 +369,38 @@ SELECT path_id, array_to_string(path, '>') AS chain, (len(path) - 1)::INT AS len
 def dependency_chains_topk(spark, sf):
     """R-15, T-2, T-3, P-9."""
     n = nodes_of(spark, sf)
-    c = graph.chains(edges_of(spark, sf), ids(n, "resource_type = 'aws_lambda_function'"))
+    c = chains.chains(edges_of(spark, sf), ids(n, "resource_type = 'aws_lambda_function'"))
     return c.select("path_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("chain"), "length")
 
 
+RING = """
+SELECT r_name AS path_id, CAST(c_custkey + 3000000 AS BIGINT) AS src, CAST(c_nationkey + 2000 AS BIGINT) AS dst FROM {customer} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey
+UNION ALL SELECT r_name, CAST(o_orderkey + 6000000000 AS BIGINT), CAST(c_custkey + 3000000 AS BIGINT) FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey
+UNION ALL SELECT r_name, CAST(a + 2000 AS BIGINT), CAST(b + 2000 AS BIGINT) FROM (SELECT n_regionkey AS k, n_nationkey AS a, coalesce(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), min(n_nationkey) OVER (PARTITION BY n_regionkey)) AS b FROM {nation}) AS ring JOIN {region} ON k = r_regionkey
+UNION ALL SELECT r_name, CAST(2000 + n_nationkey AS BIGINT), CAST(1000 + r_regionkey AS BIGINT) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, CAST(2000 + n_nationkey AS BIGINT), CAST(1000000 + s_suppkey AS BIGINT) FROM {supplier} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey
+UNION ALL SELECT r_name, CAST(1000000 + s_suppkey AS BIGINT), CAST(1000 + r_regionkey AS BIGINT) FROM {supplier} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey
+"""
+
+
+@query(
+    f"""WITH RECURSIVE edges AS ({there(RING)}), walks(path_id, path) AS (SELECT path_id, [src, dst] FROM edges WHERE src > 6000000000
+UNION ALL SELECT w.path_id, list_append(w.path, e.dst) FROM walks w JOIN edges e ON w.path[-1] = e.src WHERE NOT list_contains(w.path, e.dst))
+SELECT path_id, array_to_string(path, '>') AS chain, (len(path) - 1)::INT AS length FROM walks ORDER BY len(path) DESC, path LIMIT 10"""
+)
+def dependency_chains_cyclic(spark, sf):
+    """R-15, T-3 where nations of a region are a ring: orders lead to customers, these into the ring, it to suppliers and regions."""
+    e = derived(spark, sf, RING)
+    c = chains.chains(e, e.where("src > 6000000000").select(F.col("src").alias("node_id")))
+    return c.select("path_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("chain"), "length")
+
+
+@query(f"WITH RECURSIVE edges AS ({there(RING)}), {CLOSURE_SQL}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), both_ways AS (SELECT r.src, r.dst FROM reach r JOIN reach b ON r.src = b.dst AND r.dst = b.src) SELECT node, least(node, (SELECT min(dst) FROM both_ways WHERE src = node)) AS comp FROM n")
+def strong_components(spark, sf):
+    """What R-15 condenses: nodes that reach one another."""
+    return chains.strong_components(derived(spark, sf, RING))
+
+
 @query(f"WITH {G1_SQL}, x AS (SELECT src AS node_id, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) SELECT node_id, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, count(*) AS degree FROM x GROUP BY node_id")
 def degree_stats(spark, sf):
     """R-16, A-4, F-10."""
@@ -648,6 +676,26 @@ def ghost_graph(spark, sf):
     return edges.join(nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("entity"), "entity_type"), "dst").select("src", "entity", "entity_type", "details")
 
 
+NESTED = """
+SELECT s_suppkey AS id, concat('{{"settings":{{"Target":"t', CAST(s_suppkey AS STRING), '.example.io","deep":[{{"host":"h', CAST(s_nationkey AS STRING), '.example.io"}}]}},"Description":"see https://d', CAST(s_suppkey AS STRING),
+'.example.com/x","SOURCE":{{"endpoint":"s', CAST(s_suppkey AS STRING), '.example.net"}},"ingress":[{{"cidr_blocks":["10.9.8.7"]}}],"note":"Connect to $', '{{var.host}} now","usage":"$', '{{var.nobody}}"}}') AS s FROM {supplier}
+"""
+
+
+@query(
+    """SELECT s_suppkey AS src, unnest(['t' || s_suppkey || '.example.io', 'h' || s_nationkey || '.example.io', 'https://db' || s_nationkey || '.example.org']) AS entity, unnest(['DOMAIN', 'DOMAIN', 'URL']) AS entity_type,
+unnest(['settings.Target', 'settings.deep[0].host', 'note']) AS details FROM supplier"""
+)
+def ghost_keys(spark, sf):
+    """F-15, E-8, Q15, L-4: ignored keys in either case go with all below them; what substitution put in is read whatever its key."""
+    docs = derived(spark, sf, NESTED).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("r"), F.col("s_nationkey").cast("string")).alias("path_id")), "id")
+    raw = graph_json.flatten(docs.select("path_id", F.col("id").alias("node_id"), F.parse_json("s").alias("v")), ["path_id", "node_id"])
+    bindings = table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_nationkey").cast("string")).alias("path_id"), F.lit("var").alias("scope"), F.lit("host").alias("name"), F.concat(F.lit("https://db"), F.col("n_nationkey").cast("string"), F.lit(".example.org")).alias("value"))
+    props = resolve.resolve_props(raw, resolve.resolve_bindings(bindings)).select("path_id", "node_id", "key", F.col("resolved").alias("value"), (F.col("resolved") != F.col("value")).alias("changed"))
+    nodes, edges = match.ghost_graph(match.ghosts(props, spark.createDataFrame([], "path_id string, inside string")))
+    return edges.join(nodes.select(F.col("node_id").alias("dst"), F.col("name").alias("entity"), "entity_type"), "dst").select("src", "entity", "entity_type", "details")
+
+
 @query(f"WITH {G1_SQL} SELECT node_id, resource_type = 'aws_subnet' AND resource_name IN (SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) AS is_public FROM nodes")
 def tag_public(spark, sf):
     """P-2."""

@@ -40,9 +40,10 @@ def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     return nodes, whole, n.where("attributes IS NOT NULL").select("path_id", key("id").alias("node_id"), F.col("attributes").alias("v")), dangling
 
 
-def flatten(values: DataFrame, keys: list[str]) -> DataFrame:
+def flatten(values: DataFrame, keys: list[str], skip: tuple[str, ...] = ()) -> DataFrame:
     """E-8, SC-7: keys, v (variant) -> keys, key (path), value (string) for each leaf; objects add .name, lists [i].
 
+    A field named in skip (lower case; in any case there) goes with all below it, before it is taken apart.
     One round a level of nesting, until no container is left."""
     spark = values.sparkSession
     level = values.select(*keys, F.lit("").alias("key"), "v")
@@ -59,6 +60,8 @@ def flatten(values: DataFrame, keys: list[str]) -> DataFrame:
         if deep.isEmpty():
             break
         each = deep.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).toDF("pos", "k", "item"))
+        if skip:
+            each = each.where(F.col("k").isNull() | ~F.lower("k").isin(*skip))
         step = F.when(F.col("k").isNull(), F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).when(F.col("key") == "", F.col("k")).otherwise(F.concat(F.lit("."), F.col("k")))
         level = each.select(*keys, F.concat("key", step).alias("key"), F.col("item").alias("v"))
     return out

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from lattica.operators import graph
+from lattica.operators import chains, graph
 from lattica.operators.schema import OWN_RULES, as_edges
 
 EDGE = "path_id string, src long, dst long"
@@ -165,17 +165,66 @@ def test_nearest_chains_degrees(spark):
     e = frame(spark, [(1, 2), (2, 3), (1, 4), (3, 1), (5, 5)])
     v = spark.createDataFrame([(3, "three"), (4, "four"), (2, None)], "node_id long, value string")
     assert {(x["node_id"], x["value"], x["depth"]) for x in graph.nearest_valued(e, v).collect()} == {(3, "three", 0), (4, "four", 0), (2, "three", 1), (1, "four", 1)}
-    c = graph.chains(e, spark.createDataFrame([(1,)], "node_id long")).collect()
+    c = chains.chains(e, spark.createDataFrame([(1,)], "node_id long")).collect()
     assert [tuple(x["path"]) for x in c] == [(1, 2, 3), (1, 2), (1, 4)] and c[0]["length"] == 2
     assert {tuple(x) for x in graph.degree(e).where("node_id IN (1, 5)").collect()} == {(1, 1, 2, 3), (5, 1, 1, 2)}
     assert graph.without_self_loops(e).count() == 4
 
 
+def simple_paths(pairs, starts, most=None):
+    out, todo = [], [(a,) for a in starts]
+    step = {}
+    for a, b in set(pairs):
+        step.setdefault(a, set()).add(b)
+    while todo:
+        p = todo.pop()
+        for b in step.get(p[-1], ()):
+            if b not in p and (most is None or len(p) <= most):
+                out.append(p + (b,))
+                todo.append(p + (b,))
+    return sorted(out, key=lambda p: (-len(p), p))
+
+
+@pytest.mark.parametrize(("seed", "top", "most"), [(1, 10, None), (2, 3, None), (3, 5, 3), (4, None, None)])
+def test_longest_chains_against_all_paths(spark, seed, top, most):
+    r = random.Random(seed)
+    pairs = [(r.randrange(14), r.randrange(14)) for _ in range(26)] + [(20, 21), (21, 22), (22, 20), (22, 3), (5, 20)]
+    starts = [0, 1, 5, 20, 99]
+    got = chains.chains(frame(spark, pairs), spark.createDataFrame([(x,) for x in starts], "node_id long"), most=most, top=top).collect()
+    want = simple_paths(pairs, starts, most)
+    rows = [tuple(x["path"]) for x in got]
+    assert (sorted(rows, key=lambda p: (-len(p), p)) if top is None else rows) == want[:top]
+    assert all(x["length"] == len(x["path"]) - 1 and x["path_id"] == "p" for x in got)
+
+
+def test_chains_of_many_paths(spark):
+    """40 layers of 4 nodes have 4^40 paths."""
+    pairs = [(4 * k + a, 4 * k + 4 + b) for k in range(39) for a in range(4) for b in range(4)]
+    got = chains.chains(frame(spark, pairs), spark.createDataFrame([(0,), (1,)], "node_id long")).collect()
+    least = [4 * k for k in range(40)]
+    assert len(got) == 10 and list(got[0]["path"]) == least and {x["length"] for x in got} == {39}
+    assert [x["path"][-2:] for x in got] == [[4 * 38 + a, 4 * 39 + b] for a in range(3) for b in range(4)][:10]
+
+
+def test_chains_within_large_components_are_refused(spark):
+    pairs = [(a, b) for a in range(9) for b in range(9) if a != b]
+    with pytest.raises(ValueError, match="simple paths"):
+        chains.chains(frame(spark, pairs), spark.createDataFrame([(0,)], "node_id long"), tries=1000)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_strong_components(spark, seed):
+    pairs = random_graph(seed + 70, 16, 26) + [(30, 31), (31, 32), (40, 40)]
+    r = reach(pairs)
+    want = {x: min([x, *(b for a, b in r if a == x and (b, x) in r)]) for p in pairs for x in p}
+    assert {x["node"]: x["comp"] for x in chains.strong_components(frame(spark, pairs)).collect()} == want
+
+
 def test_empty_graphs(spark):
     e, n = as_edges(frame(spark, [])), tags(spark, [], set())
     assert graph.closure(e).count() == graph.link_tagged(e, n).count() == graph.degree(e).count() == 0
     assert graph.prune_untagged(n, e)[0].count() == graph.contract(n, e, n)[0].count() == graph.remove_boundaries(e, n).count() == 0
-    assert graph.chains(e, n).count() == graph.nearest_valued(e, spark.createDataFrame([], "node_id long, value string")).count() == 0
+    assert chains.chains(e, n).count() == graph.nearest_valued(e, spark.createDataFrame([], "node_id long, value string")).count() == 0
 
 
 def test_no_cap_on_depth(spark):
@@ -183,7 +232,7 @@ def test_no_cap_on_depth(spark):
     from lattica.operators import dfd, resolve
 
     path = spark.createDataFrame([("p", i, i + 1) for i in range(14)], "path_id string, src long, dst long")
-    found = graph.chains(path, spark.createDataFrame([(0,)], "node_id long"), top=3).collect()
+    found = chains.chains(path, spark.createDataFrame([(0,)], "node_id long"), top=3).collect()
     assert [x["length"] for x in found] == [14, 13, 12]
     rows = [("p", "local", f"l{i}", "${local.l%d}!" % (i - 1) if i else "x") for i in range(15)]
     solved = resolve.resolve_bindings(spark.createDataFrame(rows, "path_id string, scope string, name string, value string"))

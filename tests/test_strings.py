@@ -109,6 +109,33 @@ def test_ghosts(spark):
     assert nodes.count() == edges.count() == len(want)
 
 
+def test_ignored_keys_at_every_level(spark):
+    keys = ["ingress[0].cidr_blocks[0]", "source.endpoint", "Description", "TYPE", "a.Note.b", "endpoint", "notes", "a.sources"]
+    rows = [("p", i, k, f"h{i}.example.com", False) for i, k in enumerate(keys)] + [("p", 50, "Description", "to 10.1.2.3 now", True), ("p", 51, "description", None, None)]
+    found = match.ghosts(spark.createDataFrame(rows, PROPS + ", changed boolean"), spark.createDataFrame([], "path_id string, inside string"))
+    assert {(x["src"], x["key"]) for x in found.collect()} == {(5, "endpoint"), (6, "notes"), (7, "a.sources"), (50, "Description")}
+    plain = match.ghosts(spark.createDataFrame([r[:4] for r in rows], PROPS), spark.createDataFrame([], "path_id string, inside string"))
+    assert {x["src"] for x in plain.collect()} == {5, 6, 7}
+    every = match.ghosts(spark.createDataFrame([r[:4] for r in rows], PROPS), spark.createDataFrame([], "path_id string, inside string"), ignored_keys=())
+    assert {x["src"] for x in every.collect()} == {*range(8), 50}
+
+
+def test_flattening_skips_whole_branches(spark):
+    v = spark.createDataFrame([(1, '{"a": {"Ingress": [{"b": {"c": 1}}], "d": ["x", {"e": 2}]}, "INGRESS": "y", "f": null}')], "id long, s string").select("id", F.parse_json("s").alias("v"))
+    assert {(x["key"], x["value"]) for x in graph_json.flatten(v, ["id"], skip=("ingress",)).collect()} == {("a.d[0]", "x"), ("a.d[1].e", "2")}
+
+
+def test_names_of_one_convention_meet_once(spark):
+    """Symbols that share their opening: as many meetings as links, not each with each."""
+    for n in (100, 200):
+        names = [f"acme-prod-svc-{k}" for k in range(n)]
+        symbols = spark.createDataFrame([("p", w, 1000 + k, w) for k, w in enumerate(names)], "path_id string, key string, node_id long, keyword string")
+        values = spark.createDataFrame([("p", k, f"https://{w}.internal/{w}x") for k, w in enumerate(names)], "path_id string, node_id long, value string")
+        each = values.select("path_id", F.col("node_id").alias("src"), "value", F.xxhash64("value").alias("h"))
+        assert match.spans(each, symbols).count() <= 2 * n
+        assert {(x["src"], x["dst"]) for x in match.boundary_pairs(values, symbols).collect()} == {(k, 1000 + k) for k in range(n)}
+
+
 def test_flatten_and_collapse(spark):
     v = spark.createDataFrame([(1, '{"a": {"b": [1, {"c": "x"}], "c": true}, "n": null, "e": {}}'), (2, "[]"), (3, '"s"')], "id long, s string").select("id", F.parse_json("s").alias("v"))
     leaves = graph_json.flatten(v, ["id"])
