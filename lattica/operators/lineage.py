@@ -8,7 +8,8 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: With it Spark removes a query's shuffle files when the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -69,6 +70,13 @@ def materialise(df: DataFrame, codec: str = "snappy", file_rows: int = 0, by: st
     return out
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df as `materialise` writes it, and its number of rows, counted while they are written."""
+    seen = Observation()
+    table = materialise(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return table, seen.get["n"]
+
+
 def drop(*tables: DataFrame) -> None:
     """Remove tables that `materialise` wrote and that no later job reads."""
     for table in tables:

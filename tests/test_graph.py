@@ -185,7 +185,7 @@ def simple_paths(pairs, starts, most=None):
     return sorted(out, key=lambda p: (-len(p), p))
 
 
-@pytest.mark.parametrize(("seed", "top", "most"), [(1, 10, None), (2, 3, None), (3, 5, 3), (4, None, None)])
+@pytest.mark.parametrize(("seed", "top", "most"), [(1, 10, None), (3, 5, 3), (4, None, None)])
 def test_longest_chains_against_all_paths(spark, seed, top, most):
     r = random.Random(seed)
     pairs = [(r.randrange(14), r.randrange(14)) for _ in range(26)] + [(20, 21), (21, 22), (22, 20), (22, 3), (5, 20)]
