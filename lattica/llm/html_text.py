@@ -96,9 +96,13 @@ def _pieces(page: str):
 
 
 def title_of(page: str) -> str:
-    """The text of the title element, in lower case."""
-    m = re.search(r"<title\b[^>]*>([^<]*)", page, re.I)
-    return " ".join(entities.unescape(m[1]).lower().split()) if m else ""
+    """The text of the title element, in lower case. Its tag ends with the first > behind it, which is looked for once."""
+    m = re.search(r"<title\b", page, re.I)
+    end = page.find(">", m.end()) if m else -1
+    if end < 0:
+        return ""
+    last = page.find("<", end)
+    return " ".join(entities.unescape(page[end + 1 : last if last >= 0 else len(page)]).lower().split())
 
 
 def blocks(page: str | None) -> list[tuple[tuple, str, float]]:

@@ -2,15 +2,18 @@
 
 A document's set is its distinct word shingles as 64-bit hashes. One hash per shingle fills 256 bins with the smallest
 hash of each; empty bins borrow from a bin drawn uniformly among the filled ones (optimal densification). Bins are
-banded; documents with an equal band share a bucket, and in large buckets equal pairs of near bands make finer buckets
-within. Equal sets are one node from the start.
+banded; documents with an equal band share a bucket. Band height is the largest at which a pair just at the threshold is
+missed by all bands with a chance under 1e-5. Equal sets are one node from the start.
 
-Candidates are star-shaped and confirmed on full sets in three steps. First, one edge a node, to the smallest member of one
-of its buckets. Then, in buckets that hold several components, edges between components from up to eight hubs, picked by
-bucket-specific orders, to the other members: less than 8 m candidates for a bucket of m. Third, what hubs left: nodes
-of buckets that still hold several components meet by the rare shingles of their full sets (a prefix filter), which
-misses no pair at the threshold. Confirmed edges go through connected components. Band height is the largest at which a pair just at the threshold is missed by all bands with a
-chance under 1e-5.
+Candidates are star-shaped and confirmed on full sets. First, one edge a node, to the smallest member of one of its
+buckets. Then rounds of stars: buckets that hold several components each draw one member, and the others of other
+components are tested with it; what is confirmed is contracted before the next round, and buckets of one component
+drop out. A round makes one candidate at most for a member of a bucket; rounds end when one confirms nothing.
+
+What stars leave is found exactly: nodes of buckets that still hold several components meet by the rare shingles of
+their full sets (a prefix filter), which misses no pair at the threshold. Among many documents of one template that lie
+just under the threshold this last step tests most pairs; there are no caps. Confirmed edges go through connected
+components.
 
 Skew: exact copies collapse by (input partition, fingerprint) first, then by fingerprint; buckets are aggregated
 before any shuffle and joined (a join whose large partitions adaptive execution splits), never gathered.
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import components
-from .common import materialise, mix64
+from .common import counted, materialise, mix64
 
 BINS = 256
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -139,13 +142,9 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def shared_rows(nodes: DataFrame) -> DataFrame:
-    """nodes: node, n, keys. A row for each node and bucket of two or more: node, n, key, finer (keys with each of the next
-    two bands), k (the bucket's size)."""
-    n = F.size("keys")
-    with_next = lambda x, i, k: F.xxhash64(x, F.element_at("keys", (i + k) % n + 1), F.lit(k))
-    pairs = F.transform("keys", lambda x, i: F.struct(x.alias("key"), F.array(with_next(x, i, 1), with_next(x, i, 2)).alias("finer")))
-    rows = nodes.select("node", "n", F.explode(pairs).alias("p")).select("node", "n", "p.*")
-    shared = materialise(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1"))
+    """nodes: node, n, keys. A row for each node and bucket of two or more: node, n, key."""
+    rows = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = materialise(rows.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"))
     return rows.join(shared.hint("merge"), "key")
 
 
@@ -159,31 +158,26 @@ def first_edges(met: DataFrame, percent: int) -> DataFrame:
     return often.groupBy("u").agg(F.min(F.struct(-F.col("c"), "v")).alias("m")).select("u", "m.v")
 
 
-def _rays(rows: DataFrame, percent: int, hubs: int) -> DataFrame:
-    """rows: node, n, comp, key. Candidates u > v between components: members of a bucket with its hubs."""
-    salts = [F.xxhash64("key", F.lit(7 + i)) for i in range(hubs)]
-    least = [F.min(F.struct(F.col("node").bitwiseXOR(x).alias("m"), "n", "comp")).alias(f"m{i}") for i, x in enumerate(salts)]
-    found = F.array_distinct(F.array(*(F.struct(F.col(f"m{i}.m").bitwiseXOR(x).alias("node"), F.col(f"m{i}.n").alias("n"), F.col(f"m{i}.comp").alias("comp")) for i, x in enumerate(salts))))
-    mixed = rows.groupBy("key").agg(*least, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    rays = rows.join(materialise(mixed.select("key", found.alias("hubs"))).hint("merge"), "key")
-    fit = lambda h: (h["comp"] != F.col("comp")) & (100 * F.least("n", h["n"]) >= percent * F.greatest("n", h["n"]))
-    return rays.select("node", F.explode(F.filter("hubs", fit)).alias("h")).select(F.greatest("node", "h.node").alias("u"), F.least("node", "h.node").alias("v"))
+def with_parts(met: DataFrame, parts: DataFrame) -> DataFrame:
+    """met's rows of buckets that hold several components: node, n, key, comp. parts: node, comp (a node without is its own)."""
+    rows = met.select("node", "n", "key").join(parts.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    return rows.join(mixed.hint("merge"), "key", "left_semi").select("node", "n", "key", "comp")
 
 
-def stars(met: DataFrame, parts: DataFrame, percent: int, hubs: int = 8, large: int = 8) -> DataFrame:
-    """met: as shared_rows gives it; parts: node, comp. Candidates u > v between components: each bucket's members with its
-    hubs, so less than hubs x m for a bucket of m. Members of a bucket of over `large` are also dealt into finer buckets.
-    Pairs whose sizes rule out the threshold go."""
-    rows = materialise(met.join(parts.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node")))
-    finer = rows.where(F.col("k") > large).select("node", "n", "comp", F.explode("finer").alias("key"))
-    return _rays(rows.select("node", "n", "comp", "key"), percent, hubs).union(_rays(finer, percent, hubs)).distinct()
+def star(rows: DataFrame, percent: int, salt: int) -> DataFrame:
+    """rows: node, n, key, comp. Candidates u > v between components: each bucket's members with one of them, drawn by salt; one
+    row at most for a member of a bucket. Pairs whose sizes rule out the threshold go."""
+    mark = F.xxhash64("key", F.lit(salt))
+    hub = rows.groupBy("key").agg(F.min(F.struct(F.col("node").bitwiseXOR(mark).alias("m"), F.col("node").alias("v"), F.col("n").alias("hub_n"), F.col("comp").alias("hub_comp"))).alias("h"))
+    rays = rows.join(materialise(hub.select("key", "h.v", "h.hub_n", "h.hub_comp")).hint("merge"), "key")
+    fit = (F.col("comp") != F.col("hub_comp")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return rays.where(fit).select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct()
 
 
 def unsettled(met: DataFrame, parts: DataFrame) -> DataFrame:
     """node, comp: members of buckets that hold several components."""
-    rows = met.select("node", "key").join(parts.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    return rows.join(mixed.hint("merge"), "key", "left_semi").select("node", "comp").distinct()
+    return with_parts(met, parts).select("node", "comp").distinct()
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame, percent: int, step: float = 1.01) -> DataFrame:
@@ -225,8 +219,9 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 4) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept. stars: rounds of stars at most; what they leave is for
+    the prefix filter."""
     rows = height(percent)
     made = materialise(sketches(docs, id_col, text_col, width, rows).withColumn("origin", F.spark_partition_id()))
     full = made.where("n > 0 AND doc_id IS NOT NULL")
@@ -239,15 +234,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ends = materialise(met.select(F.col("node").alias("doc_id")).distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = materialise(full_sets(rows_of(texts, ends), width))
-    first = materialise(first_edges(met, percent))
-    found = materialise(confirm(first, sets, percent))
+    tested = materialise(first_edges(met, percent))
+    found = materialise(confirm(tested, sets, percent))
     parts = materialise(components(found))
-    rest = materialise(stars(met, parts, percent)).join(first.hint("merge"), ["u", "v"], "left_anti")
-    more = materialise(confirm(rest, sets, percent))
-    linked = parts if more.isEmpty() else materialise(components(found.union(more)))
-    last = materialise(confirm(prefix_pairs(materialise(unsettled(met, linked)), sets, percent), sets, percent))
-    if not last.isEmpty():
-        linked = materialise(components(found.union(more).union(last)))
+    for salt in range(stars):
+        asked = materialise(star(materialise(with_parts(met, parts)), percent, salt).join(tested.hint("merge"), ["u", "v"], "left_anti"))
+        more, n = counted(confirm(asked, sets, percent))
+        tested = tested.union(asked)
+        if not n:
+            break
+        found = found.union(more)
+        parts = materialise(components(found))
+    crowd, n = counted(unsettled(met, parts))
+    if n:
+        found = found.union(materialise(confirm(prefix_pairs(crowd, sets, percent), sets, percent)))
+    linked = materialise(components(found))
     whole = members.select("doc_id", "n", "rep").join(linked.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     alone = made.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = whole.select("doc_id", "n", F.coalesce("comp", "rep").alias("component_id")).union(alone)

@@ -146,9 +146,21 @@ def test_broken_pages_take_linear_time(page):
 
     began = time.process_time()
     H.blocks(page)
+    H.title_of(page)
     assert time.process_time() - began < 5
 
 
+def test_titles():
+    cases = {"<TITLE lang=en>A &amp; b\n c</title>": "a & b c", "<title>open": "open", "<title": "", "": "", "<p>none</p>": "", "<title <title>x<": "x", "<title>": ""}
+    assert {page: H.title_of(page) for page in cases} == cases
+
+
+def test_page_of_broken_titles_is_extracted(spark):
+    page = "<title " * 150_000 + "<p>text of the page, long enough to be read</p>"
+    (row,) = H.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).collect()
+    assert row["n_chars"] == len(row["text"])
+
+
 def test_equal_pages_do_not_fill_the_sample(spark):
     pages = spark.createDataFrame([(f"<p>page {i}</p>",) for i in range(20)], "html string")
     first = pages.selectExpr("html", "xxhash64(html) AS k").orderBy("k").first()["html"]

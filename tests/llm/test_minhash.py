@@ -2,7 +2,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from lattica.llm import minhash
 from lattica.operators.components import components
@@ -115,18 +114,33 @@ def test_components_of_chains_stars_and_cycles(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
-def test_links_that_no_hub_meets(spark, monkeypatch):
-    """A crowd with 180 of 200 shingles in common (0.818), planted pairs at 184 of 216 (0.852), and hubs that meet none."""
-    monkeypatch.setattr(minhash, "stars", lambda met, parts, percent: met.select(F.col("node").alias("u"), F.col("node").alias("v")).where("false"))
+@pytest.mark.parametrize("stars", [0, 4])
+def test_links_that_no_hub_meets(spark, stars):
+    """A crowd with 180 of 200 shingles in common (0.818), and planted pairs at 184 of 216 (0.852)."""
     common = [f"c{k}" for k in range(180)]
     own = {i: [f"o{i}x{k}" for k in range(20)] for i in range(120)}
     for i in range(0, 40, 2):
         own[i + 1][:4] = own[i][:4]
     docs = spark.createDataFrame([(i, " ".join(common + w)) for i, w in own.items()], "doc_id long, text string").repartition(3)
-    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, width=1, percent=85).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(docs, width=1, percent=85, stars=stars).collect()}
     assert got == {i: i - i % 2 if i < 40 else i for i in own}
 
 
+def test_pages_of_one_template(spark):
+    """100 slots of six words, 30 of them with two variants: nearly all pairs are alike, few are linked."""
+    r = random.Random(17)
+    slots = [[" ".join(f"s{k}v{v}w{w}" for w in range(6)) for v in range(2)] for k in range(100)]
+    rows = [(i, " ".join(slots[k][r.random() < 0.5 if k < 30 else 0] for k in range(100))) for i in range(150)]
+    got = {tuple(x) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=3, percent=85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_a_star_makes_one_row_a_member(spark):
+    rows = spark.createDataFrame([(n, 10, k, n % 3) for k in range(4) for n in range(10 * k, 10 * k + 5 * k + 2)], "node long, n long, key long, comp long")
+    got = [tuple(x) for x in minhash.star(rows, 85, 1).collect()]
+    assert 0 < len(got) <= rows.count() and all(u > v and u % 3 != v % 3 for u, v in got)
+
+
 def test_prefix_pairs_miss_nothing(spark):
     r = random.Random(3)
     made = {}
