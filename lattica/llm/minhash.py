@@ -219,7 +219,7 @@ def confirm(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("a") + F.size("b") - shared)).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, stars: int = 1) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept. stars: rounds of stars at most; what they leave is for
     the prefix filter."""
     rows = height(percent)
