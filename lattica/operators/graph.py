@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .labels import direct_pairs
 from .lineage import materialise
 from .schema import as_edges, config_table
 from .tagging import full_match
@@ -115,17 +116,8 @@ def link_tagged(edges: DataFrame, tagged: DataFrame, drop_mixed: bool = False) -
     drop_mixed also takes away found edges (no method) between tagged and untagged nodes.
     """
     t = materialise(tagged.select("node_id").distinct())
-    ends = t.select(F.col("node_id").alias("dst"))
-    near = materialise(reach_from(edges, t, stop=t).where("src <> dst").join(ends, "dst", "left_semi").select("path_id", "src", "dst"))
-    reach = closure(near).where("src <> dst").select("src", "dst")
-    # the first tagged node on a way with one between is near its start, and is the one between, or else it is the end
-    a = near.select("src", F.col("dst").alias("mid"))
-    b = reach.select(F.col("src").alias("mid"), "dst")
-    through = a.join(b, "mid").join(near.select("src", "dst"), ["src", "dst"], "left_semi").select("src", "dst")
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    rings = reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("n"), F.min("dst").alias("other"))
-    behind = near.join(rings, "dst").where("n > 1 OR other <> src").select("src", "dst")
-    direct = near.join(through.union(behind), ["src", "dst"], "left_anti")
+    path = edges.groupBy("src").agg(F.min("path_id").alias("path_id"))
+    direct = direct_pairs(edges, t).join(path, "src").select("path_id", "src", "dst")
     kept = as_edges(edges)
     if drop_mixed:
         is_tagged = t.withColumn("t", F.lit(True))

@@ -11,7 +11,7 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
@@ -74,12 +74,6 @@ PATTERN_ROWS = [
     ("Spoofing: caller", "Spoofing", "Process", "CloudApplication", "ExternalEntity", "RemoteUser", "sender"),
     ("Elevation: machine", "Elevation", "Process", "VirtualMachine", "Process", "CloudApplication", "recipient"),
 ]
-CATALOG_ROWS = [
-    ("t1", "broken access", ["App", "Service", "User"], ["App"], ["Elevation"]),
-    ("t2", "flooding", ["User"], ["App", "Machine"], ["Denial", "Other"]),
-    ("t3", "no class", ["User", "Service"], ["Store", "Machine"], []),
-    ("t4", "nobody", [], ["Store"], ["Tampering"]),
-]
 
 
 def literal(x) -> str:
@@ -535,12 +529,12 @@ def symbol_table_first_wins(spark, sf):
 
 
 @query(
-    f"""WITH sym AS ({SYMBOLS}), v AS (SELECT o_orderkey AS src, upper(p_name) AS value FROM orders JOIN part ON p_partkey = o_orderkey % 200 UNION ALL SELECT e.event_id, e.props FROM events e)
+    f"""WITH sym AS ({SYMBOLS}), v AS (SELECT o_orderkey AS src, upper(p_name) AS value FROM orders JOIN part ON p_partkey = o_orderkey UNION ALL SELECT e.event_id, e.props FROM events e)
 SELECT DISTINCT v.src, s.node_id AS dst FROM v JOIN sym s ON lower(v.value) = s.key WHERE v.src <> s.node_id"""
 )
 def exact_string_links(spark, sf):
     """J-17, E-13, F-11, F-16, L-1."""
-    o = table(spark, sf, "orders").withColumn("p_partkey", F.col("o_orderkey") % 200).join(table(spark, sf, "part"), "p_partkey")
+    o = table(spark, sf, "orders").withColumn("p_partkey", F.col("o_orderkey")).join(table(spark, sf, "part"), "p_partkey")
     v = o.select(F.col("o_orderkey").alias("node_id"), F.upper("p_name").alias("value")).unionByName(table(spark, sf, "events").select(F.col("event_id").alias("node_id"), F.col("props").alias("value")))
     return match.exact_pairs(v.withColumn("path_id", F.lit("p")), _symbols(spark, sf)).select("src", "dst")
 
@@ -896,32 +890,40 @@ def project_stats(spark, sf):
     return analysis.statistics(every, found)
 
 
-CATALOG = "id string, name string, aggressors array<string>, victims array<string>, stride array<string>"
-CATALOG_SQL = values("catalog", "id string, name string, aggressors x, victims x, stride x", CATALOG_ROWS)
+CATALOG_SQL = """catalog AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, CASE WHEN p_partkey % 5 = 0 THEN [] ELSE string_split(p_name, ' ') END::VARCHAR[] AS aggressors, string_split(lower(p_type) || ' ' || p_brand, ' ') AS victims,
+CASE WHEN p_partkey % 3 = 0 THEN [] WHEN p_partkey % 3 = 1 THEN ['Tampering'] ELSE ['Denial', 'Other'] END::VARCHAR[] AS stride FROM part)"""
+
+
+def _catalog(spark, sf) -> DataFrame:
+    """A threat for each part: words of its name against words of its type and brand."""
+    none, key = F.array().cast("array<string>"), F.col("p_partkey")
+    stride = F.when(key % 3 == 0, none).when(key % 3 == 1, F.array(F.lit("Tampering"))).otherwise(F.array(F.lit("Denial"), F.lit("Other")))
+    victims = F.split(F.concat_ws(" ", F.lower("p_type"), "p_brand"), " ")
+    return table(spark, sf, "part").select(key.cast("string").alias("id"), F.col("p_name").alias("name"), F.when(key % 5 == 0, none).otherwise(F.split("p_name", " ")).alias("aggressors"), victims.alias("victims"), stride.alias("stride"))
 
 
 @query(f"WITH {CATALOG_SQL}, c AS (SELECT id, name, unnest(CASE WHEN len(stride) = 0 THEN ['Other'] ELSE stride END) AS class, aggressors, victims FROM catalog), n AS (SELECT *, least(len(aggressors), len(victims)) AS n FROM c) SELECT id, name, class, unnest(aggressors[1:n]) AS aggressor, unnest(victims[1:n]) AS victim FROM n WHERE n > 0")
 def catalog_explode(spark, sf):
     """SK-10, H-3, Q23."""
-    return threats.fan_out(spark.createDataFrame(CATALOG_ROWS, CATALOG))
+    return threats.fan_out(_catalog(spark, sf))
 
 
 @query(f"WITH {CATALOG_SQL}, c AS (SELECT id, name, unnest(CASE WHEN len(stride) = 0 THEN ['Other'] ELSE stride END) AS class, aggressors, victims FROM catalog), d AS (SELECT id, name, class, unnest(aggressors) AS aggressor, victims FROM c) SELECT id, name, class, aggressor, unnest(victims) AS victim FROM d")
 def catalog_full_product(spark, sf):
     """SK-10 with full_product, Q23."""
-    return threats.fan_out(spark.createDataFrame(CATALOG_ROWS, CATALOG), full_product=True)
+    return threats.fan_out(_catalog(spark, sf), full_product=True)
 
 
 @query(f"WITH {CATALOG_SQL}, a AS (SELECT id, unnest(aggressors) AS x, generate_subscripts(aggressors, 1) AS i, victims FROM catalog), v AS (SELECT id, x, i, unnest(victims) AS y, generate_subscripts(victims, 1) AS j FROM a), k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i, j) AS k FROM v) SELECT c.id, c.name, coalesce(string_agg(k || '. ' || x || ' -> ' || y, '; ' ORDER BY k), '') AS pairs, count(k) AS n_pairs FROM catalog c LEFT JOIN k USING (id) GROUP BY c.id, c.name")
 def catalog_table(spark, sf):
     """SK-11."""
-    return threats.table_rows(spark.createDataFrame(CATALOG_ROWS, CATALOG))
+    return threats.table_rows(_catalog(spark, sf))
 
 
 @query(f"WITH {CATALOG_SQL} SELECT len(stride) AS n_classes, count(*) AS n_threats FROM catalog GROUP BY 1")
 def stride_histogram(spark, sf):
     """A-8."""
-    return threats.stride_histogram(spark.createDataFrame(CATALOG_ROWS, CATALOG))
+    return threats.stride_histogram(_catalog(spark, sf))
 
 
 @query(
@@ -1016,6 +1018,46 @@ def diagram_as_dot(spark, sf):
     return sinks.dot_lines(found, placed, dfd.flows(dfd.connections(_used(spark, sf), found)))
 
 
+#: Paths from the project down, by (boundary before others, name, id), and the same path with a last step behind all others.
+NESTED_SQL = f"""{FLOWS_SQL}, up AS (SELECT f.path_id, f.id, f.kind, f.name, f.annotation, p.parent, [CASE WHEN kind = 'TrustBoundary' THEN '0 ' ELSE '1 ' END || name, printf('%020d', f.id)] AS step FROM found f LEFT JOIN placed p ON p.child = f.id),
+way(path_id, id, kind, name, annotation, path) AS (SELECT path_id, id, kind, name, annotation, step FROM up WHERE parent IS NULL UNION ALL SELECT u.path_id, u.id, u.kind, u.name, u.annotation, list_concat(w.path, u.step) FROM way w JOIN up u ON u.parent = w.id)"""
+
+
+@query(
+    f"""WITH RECURSIVE {NESTED_SQL}, l AS (
+SELECT path_id, []::VARCHAR[] AS path, 0 AS part, 'digraph {{' AS line FROM (SELECT DISTINCT path_id FROM found) UNION ALL SELECT path_id, ['~~~'], 2, '}}' FROM (SELECT DISTINCT path_id FROM found)
+UNION ALL SELECT path_id, path, 0, repeat('  ', len(path) // 2) || CASE kind WHEN 'TrustBoundary' THEN 'subgraph "cluster_' || to_hex(id) || '" {{ label="' || name || '";' ELSE 'n' || to_hex(id) || ' [label="' || name || '", shape=' || CASE kind WHEN 'Process' THEN 'ellipse' ELSE 'cylinder' END || '];' END FROM way
+UNION ALL SELECT path_id, list_append(path, '~~~'), 0, repeat('  ', len(path) // 2) || '}}' FROM way WHERE kind = 'TrustBoundary' UNION ALL SELECT path_id, ['~~~'], 1, '  n' || to_hex(sender) || ' -> n' || to_hex(recipient) || ';' FROM flow)
+SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY path, part, line) AS n, line FROM l"""
+)
+def diagram_nested_dot(spark, sf):
+    """SK-9, O-10: DOT documents with nested clusters, written as text and read again line by line."""
+    _, found, placed = _diagram(spark, sf)
+    return _numbered(spark, sinks.nested_dot(found, placed, dfd.flows(dfd.connections(_used(spark, sf), found))))
+
+
+@query(
+    f"""WITH RECURSIVE {NESTED_SQL}, l AS (
+SELECT path_id, []::VARCHAR[] AS path, 0 AS part, '<model>' AS line FROM (SELECT DISTINCT path_id FROM found) UNION ALL SELECT path_id, ['~~~'], 2, '</model>' FROM (SELECT DISTINCT path_id FROM found)
+UNION ALL SELECT path_id, path, 0, repeat('  ', len(path) // 2) || CASE kind WHEN 'TrustBoundary' THEN '<boundary' ELSE '<element kind="' || kind || '"' END || ' id="' || to_hex(id) || '" name="' || name || '"' || coalesce(' annotation="' || annotation || '"', '') || CASE kind WHEN 'TrustBoundary' THEN '>' ELSE '/>' END FROM way
+UNION ALL SELECT path_id, list_append(path, '~~~'), 0, repeat('  ', len(path) // 2) || '</boundary>' FROM way WHERE kind = 'TrustBoundary' UNION ALL SELECT path_id, ['~~~'], 1, '  <flow sender="' || to_hex(sender) || '" recipient="' || to_hex(recipient) || '"/>' FROM flow)
+SELECT path_id, row_number() OVER (PARTITION BY path_id ORDER BY path, part, line) AS n, line FROM l"""
+)
+def diagram_nested_xml(spark, sf):
+    """SK-7, O-10: model documents with elements inside their boundaries, written as text and read again line by line."""
+    _, found, placed = _diagram(spark, sf)
+    return _numbered(spark, sinks.nested_xml(found, placed, dfd.flows(dfd.connections(_used(spark, sf), found))))
+
+
+def _numbered(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """The lines of each project's files, in the order of the files' names and places within them."""
+    path = _place(spark)
+    sinks.write_nested(lines, path)
+    read = spark.read.text(path).select(F.regexp_extract("_metadata.file_path", "path_id=([^/]*)/", 1).alias("path_id"), F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("k"))
+    order = Window.partitionBy("path_id").orderBy("file", "k")
+    return read.select(F.url_decode("path_id").alias("path_id"), F.row_number().over(order).cast("long").alias("n"), "line")
+
+
 @query(
     """WITH c AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS name, string_split(p_name, ' ') AS aggressors, string_split(lower(p_type) || ' ' || p_brand, ' ') AS victims, CASE WHEN p_partkey % 3 = 0 THEN [] WHEN p_partkey % 3 = 1 THEN ['Tampering'] ELSE ['Denial', 'Other'] END::VARCHAR[] AS stride FROM part),
 d AS (SELECT id, name, unnest(CASE WHEN len(stride) = 0 THEN ['Other'] ELSE stride END) AS class, aggressors, victims FROM c), n AS (SELECT *, least(len(aggressors), len(victims)) AS n FROM d) SELECT id, name, class, unnest(aggressors[1:n]) AS aggressor, unnest(victims[1:n]) AS victim FROM n WHERE n > 0"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tour import euler_tour
+
 SHAPES = {"Process": "ellipse", "DataStore": "cylinder", "ExternalEntity": "box"}
 
 
@@ -40,6 +42,62 @@ def write_dot(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("path_id", "part", F.xxhash64("line")).sortWithinPartitions("path_id", "part").drop("part").write.mode("overwrite").partitionBy("path_id").text(path)
 
 
+def _nested(elements: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """elements' columns with opens, closes and depth in the tour of their project (boundaries by name, then what is in no
+    boundary or directly within one), and path_id, last: where each project's tour ends."""
+    top = lambda path: F.xxhash64(F.lit("project"), path)
+    parent = placed.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
+    inner = elements.join(parent, "id", "left").select(F.col("id").alias("node"), F.coalesce("parent", top(F.col("path_id"))).alias("parent"), F.concat_ws(" ", F.when(F.col("kind") == "TrustBoundary", "0").otherwise("1"), "name").alias("ord"))
+    roots = elements.select("path_id").distinct()
+    forest = inner.unionByName(roots.select(top(F.col("path_id")).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("").alias("ord")))
+    tour = euler_tour(forest)
+    whole = roots.select("path_id", top(F.col("path_id")).alias("node")).join(tour, "node").select("path_id", F.col("closes").alias("last"))
+    return elements.join(tour.select(F.col("node").alias("id"), "opens", "closes", "depth"), "id"), whole
+
+
+def _lines(elements: DataFrame, placed: DataFrame, flows: DataFrame, frame: tuple[str, str], opening, leaf, closing, flow) -> DataFrame:
+    laid, whole = _nested(elements, placed)
+    wall = F.col("kind") == "TrustBoundary"
+    deep = lambda line: F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), line)
+    row = lambda at, line: F.struct(at.cast("long").alias("at"), F.lit(0).alias("part"), line.alias("line"))
+    own = F.when(wall, F.array(row(F.col("opens"), deep(opening)), row(F.col("closes"), deep(F.lit(closing))))).otherwise(F.array(row(F.col("opens"), deep(leaf))))
+    body = laid.select("path_id", F.inline(own))
+    ends = F.array(row(F.lit(0), F.lit(frame[0])), F.struct(F.col("last").cast("long").alias("at"), F.lit(2).alias("part"), F.lit(frame[1]).alias("line")))
+    between = flows.join(whole, "path_id").select("path_id", F.col("last").cast("long").alias("at"), F.lit(1).alias("part"), F.concat(F.lit("  "), flow).alias("line"))
+    return body.unionByName(whole.select("path_id", F.inline(ends))).unionByName(between)
+
+
+def nested_dot(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
+    """SK-9: path_id, at, part, line: a Graphviz document for each project, boundaries as nested clusters. In the order of at, part
+    and line it is the document; flows (part 1) come last."""
+    shape = F.coalesce(F.create_map(*(F.lit(x) for kv in SHAPES.items() for x in kv))[F.col("kind")], F.lit("folder"))
+    opening = F.concat(F.lit('subgraph "cluster_'), F.hex("id"), F.lit('" { label='), quoted(F.col("name")), F.lit(";"))
+    leaf = F.concat(F.lit("n"), F.hex("id"), F.lit(" [label="), quoted(F.col("name")), F.lit(", shape="), shape, F.lit("];"))
+    return _lines(elements, placed, flows, ("digraph {", "}"), opening, leaf, "}", F.concat(F.lit("n"), F.hex("sender"), F.lit(" -> n"), F.hex("recipient"), F.lit(";")))
+
+
+def escaped(x):
+    """Text for an XML attribute."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\n", "&#10;")):
+        x = F.replace(x, F.lit(sign), F.lit(name))
+    return x
+
+
+def nested_xml(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
+    """SK-7: path_id, at, part, line: a model document for each project, elements within their boundaries."""
+    attr = lambda name, value: F.concat(F.lit(f' {name}="'), value, F.lit('"'))
+    own = F.concat(attr("id", F.hex("id")), attr("name", escaped(F.col("name"))), F.coalesce(attr("annotation", escaped(F.col("annotation"))), F.lit("")))
+    leaf = F.concat(F.lit("<element"), attr("kind", F.col("kind")), own, F.lit("/>"))
+    flow = F.concat(F.lit("<flow"), attr("sender", F.hex("sender")), attr("recipient", F.hex("recipient")), F.lit("/>"))
+    return _lines(elements, placed, flows, ("<model>", "</model>"), F.concat(F.lit("<boundary"), own, F.lit(">")), leaf, "</boundary>", flow)
+
+
+def write_nested(lines: DataFrame, path: str) -> None:
+    """One folder for each project; its files, read in the order of their names, are one document. Lines are dealt by ranges of
+    (path_id, at, part, line), so a large project may take several files and none is gathered."""
+    lines.repartitionByRange("path_id", "at", "part", "line").sortWithinPartitions("path_id", "at", "part", "line").select("path_id", "line").write.mode("overwrite").partitionBy("path_id").text(path)
+
+
 def model_rows(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
     """SK-7: path_id, kind, id, name, annotation, parent, sender, recipient: a diagram's elements and flows as one table."""
     parent = placed.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))

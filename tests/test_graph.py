@@ -266,6 +266,41 @@ def test_link_tagged_on_random_graphs(spark):
     assert got == want and want
 
 
+def test_euler_tour(spark):
+    from lattica.operators.tour import euler_tour
+
+    r = random.Random(6)
+    parent = {k: None if k < 3 else r.randrange(k) for k in range(60)} | {100 + k: 99 + k if k else None for k in range(40)}
+    order = {k: r.choice("ab") for k in parent}
+    want = {}
+
+    def walk(k, root, depth, at):
+        opens, at = at, at + 1
+        for c in sorted((c for c in parent if parent[c] == k), key=lambda c: (order[c], c)):
+            at = walk(c, root, depth + 1, at)
+        want[k] = (root, opens, at, depth)
+        return at + 1
+
+    for k in parent:
+        if parent[k] is None:
+            walk(k, k, 0, 0)
+    forest = spark.createDataFrame([(k, p, order[k]) for k, p in parent.items()], "node long, parent long, ord string")
+    assert {x["node"]: (x["root"], x["opens"], x["closes"], x["depth"]) for x in euler_tour(forest).collect()} == want
+    assert euler_tour(forest.where("false")).count() == 0
+    for bad in ([(1, 2, "a"), (2, 1, "a")], [(1, 7, "a")]):
+        with pytest.raises(ValueError, match="cycle"):
+            euler_tour(spark.createDataFrame(bad, "node long, parent long, ord string"))
+
+
+def test_direct_pairs_along_a_path(spark):
+    """Labels of a path of tagged nodes: one chain, each node one number."""
+    from lattica.operators.labels import direct_pairs
+
+    pairs = [(k, k + 1) for k in range(20)] + [(0, 7), (3, 20), (5, 9)]
+    got = direct_pairs(frame(spark, pairs), spark.range(0, 21, 2).withColumnRenamed("id", "node_id"))
+    assert {tuple(x) for x in got.collect()} == {(k, k + 2) for k in range(0, 20, 2)}
+
+
 def test_large_tables_are_not_sent_around(spark):
     from lattica.operators.schema import config_table
 

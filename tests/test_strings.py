@@ -28,6 +28,29 @@ def test_constants_are_put_in(spark):
     assert got == {**cases, None: None}
 
 
+def test_constants_against_loops(spark):
+    """Chains, several references, cycles, unknown names, nulls: against putting in clean values until nothing changes."""
+    import re
+
+    r = random.Random(4)
+    rows = {}
+    for k in range(60):
+        others = [f"${{local.n{r.randrange(70)}}}" for _ in range(r.choice([0, 1, 1, 1, 2, 3]))]
+        rows[f"n{k}"] = "-".join([f"v{k}", *others]) if r.random() < 0.95 else None
+    rows |= {f"c{k}": f"${{local.c{k - 1}}}." if k else "x" for k in range(200)}
+    rows |= {"twice": "${local.c3}${ local.c3 }", "behind": "${local.twice}!", "loop": "${local.loop}", "to_loop": "${local.loop}${local.c1}"}
+    want = dict(rows)
+    while True:
+        clean = {k: v for k, v in want.items() if v is not None and "${" not in v}
+        new = {k: v and re.sub(r"\$\{\s*local\.(\w+)\s*\}", lambda m: clean.get(m[1], m[0]), v) for k, v in want.items()}
+        if new == want:
+            break
+        want = new
+    bindings = spark.createDataFrame([("p", "local", k, v) for k, v in rows.items()], "path_id string, scope string, name string, value string")
+    got = resolve.resolve_bindings(bindings).collect()
+    assert {x["name"]: x["value"] for x in got} == want and len(got) == len(rows)
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
