@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chains import settled_upwards
 from .components import components
 from .labels import direct_pairs
-from .lineage import materialise
+from .lineage import counted, materialise
 from .schema import as_edges, config_table
 from .tagging import full_match
 
@@ -187,27 +188,68 @@ def _one_way(edges: DataFrame, starts: DataFrame, tagged: DataFrame, ahead: Data
     return lone.unionByName(cut.select("node_id").distinct())
 
 
+def _cuts(edges: DataFrame, tagged: DataFrame, ahead: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """node, cut: for each node with paths to tagged ones the last edge (eid) that all of them share, null if there is none,
+    which by Menger's theorem means two edge-disjoint paths. edges: eid, src, dst; tagged, ahead: node_id.
+
+    Found once for all nodes, from tagged ones upwards: a node's edges lead on to the cuts of their ends, or are cuts
+    themselves where the end has none; the node has a cut if all agree on one. So each edge is one row of one round. Nodes
+    that lead to a cycle are left: the second result (unit), with their number."""
+    near = ahead.select(F.col("node_id").alias("dst"))
+    step = edges.join(near, "dst", "left_semi").join(tagged.select(F.col("node_id").alias("src")), "src", "left_anti").select("eid", "src", "dst")
+    step = materialise(step)
+    none = F.lit(None).cast("long")
+    known = materialise(tagged.select(F.col("node_id").alias("node"), none.alias("cut")))
+    pairs = materialise(step.join(known.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst").distinct())
+    units = materialise(step.select(F.col("src").alias("unit")).distinct())
+    rounds = 0
+
+    def settle(ready: DataFrame) -> tuple[DataFrame, int]:
+        nonlocal known, rounds
+        on = step.join(ready.select(F.col("unit").alias("src")), "src", "left_semi").join(known.select(F.col("node").alias("dst"), "cut"), "dst")
+        cut = F.coalesce("cut", "eid")
+        new, n = counted(on.groupBy(F.col("src").alias("unit")).agg(F.when(F.min(cut) == F.max(cut), F.min(cut)).alias("cut")))
+        known, rounds = known.unionByName(new.select(F.col("unit").alias("node"), "cut")), rounds + 1
+        if rounds % 8 == 0:
+            known = materialise(known)
+        return new, n
+
+    left, n = settled_upwards(units, pairs, settle)
+    return materialise(known), left, n
+
+
 def prune_untagged(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """R-4: without untagged sources that lack two edge-disjoint paths to tagged nodes, and untagged sinks that lack two
     from them, again and again. nodes: node_id, tagged and others. Returns (nodes, edges).
 
-    What goes never lies on a path between others, so what is ahead of tagged nodes is found once, and a node that stays
-    is judged once."""
+    What goes never lies on a path between others, so what is ahead of tagged nodes, and the edges that all paths of a node
+    share, are found once for both directions; a source or sink is then judged by its own row. Only those that lead to
+    cycles are judged by walks of their own."""
     all_edges, left = edges, materialise(nodes.select("node_id", "tagged"))
     tagged = materialise(left.where("tagged").select("node_id"))
     live = edges.select(F.monotonically_increasing_id().alias("eid"), "src", "dst")
     live = materialise(live.join(left.select(F.col("node_id").alias("src")), "src", "left_semi").join(left.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("eid", "src", "dst"))
     turn = lambda e: e.select("eid", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    ahead, behind = _ahead(live, tagged), _ahead(turn(live), tagged)
+    ways = {"source": (live, _ahead(live, tagged)), "sink": (turn(live), _ahead(turn(live), tagged))}
+    cuts = {side: _cuts(e, tagged, near) for side, (e, near) in ways.items()}
     plain = left.where("NOT tagged").select("node_id")
-    judged = {"source": plain.where("false"), "sink": plain.where("false")}
+    judged = {side: plain.where("false") for side in ways}
     while True:
-        sources = materialise(plain.join(live.select(F.col("dst").alias("node_id")), "node_id", "left_anti").join(judged["source"], "node_id", "left_anti"))
-        sinks = materialise(plain.join(live.select(F.col("src").alias("node_id")), "node_id", "left_anti").join(judged["sink"], "node_id", "left_anti"))
-        gone = materialise(_one_way(live, sources, tagged, ahead).union(_one_way(turn(live), sinks, tagged, behind)).distinct())
-        if gone.isEmpty():
+        gone = plain.where("false")
+        for side, (_, near) in ways.items():
+            known, hard, n_hard = cuts[side]
+            e = live if side == "source" else turn(live)
+            ends = materialise(plain.join(e.select(F.col("dst").alias("node_id")), "node_id", "left_anti").join(judged[side], "node_id", "left_anti"))
+            seen = ends.join(known.select(F.col("node").alias("node_id"), "cut", F.lit(True).alias("there")), "node_id", "left")
+            if n_hard:
+                asked = ends.join(hard.select(F.col("unit").alias("node_id")), "node_id", "left_semi")
+                seen = seen.join(asked, "node_id", "left_anti")
+                gone = gone.union(_one_way(e, asked, tagged, near))
+            gone = gone.union(seen.where("there IS NULL OR cut IS NOT NULL").select("node_id"))
+            judged[side] = judged[side].union(ends)
+        gone, n = counted(gone.distinct())
+        if not n:
             break
-        judged = {"source": materialise(judged["source"].union(sources)), "sink": materialise(judged["sink"].union(sinks))}
         plain = materialise(plain.join(gone, "node_id", "left_anti"))
         live = materialise(live.join(gone.select(F.col("node_id").alias("src")), "src", "left_anti").join(gone.select(F.col("node_id").alias("dst")), "dst", "left_anti").select("eid", "src", "dst"))
     ids = plain.union(tagged)
