@@ -19,7 +19,7 @@ from .operators import chains, dfd, exposure, graph, match, resolve, tagging, th
 from .operators.lineage import materialise, shared_dir
 from .operators.schema import OWN_RULES, PATTERNS, PROFILE, as_edges
 from .plans import analysis
-from .sources import config, graph_json, sinks
+from .sources import config, graph_json, sinks, terraform
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -1078,6 +1078,50 @@ def catalog_as_xml(spark, sf):
     return spark.read.format("xml").option("rowTag", "threat").schema("id string, name string, class string, aggressor string, victim string").load(path)
 
 
+CONFIG = """
+SELECT concat('n', CAST(n_nationkey AS STRING)) AS project, concat('variable "env" {{\n  default = "e', CAST(n_nationkey AS STRING), '"\n}}\nlocals {{\n  zone = "$', '{{var.env}}-z" # used below\n}}\nresource "aws_subnet" "net" {{\n  cidr = "10.', CAST(n_nationkey AS STRING), '.0.0/16"\n}}') AS value FROM {nation}
+UNION ALL SELECT concat('n', CAST(s_nationkey AS STRING)), concat('resource "aws_lambda_function" "s', CAST(s_suppkey AS STRING), '" {{\n  name = "$', '{{local.zone}}-', CAST(s_suppkey AS STRING), '"\n  subnet = aws_subnet.net.id\n  depends_on = [aws_subnet.net]\n  tags = {{\n    Owner = "', s_name, '"\n  }}\n}}') FROM {supplier}
+"""
+
+
+@query(
+    """SELECT 'n' || n_nationkey AS project, 'net' AS resource_name, 'cidr' AS key, '10.' || n_nationkey || '.0.0/16' AS value FROM nation UNION ALL SELECT 'n' || s_nationkey, 's' || s_suppkey, unnest(['name', 'subnet', 'tags.Owner', 'edge']),
+unnest(['e' || s_nationkey || '-z-' || s_suppkey, '${aws_subnet.net.id}', s_name, 'net']) FROM supplier"""
+)
+def configuration_files(spark, sf):
+    """SC-1, SC-4, SC-12, E-5: a folder of configuration files for each nation, written, read as blocks, turned into nodes, edges
+    and properties, with variables and locals put in; edges are rows with the key 'edge'."""
+    path = _place(spark)
+    rows = derived(spark, sf, CONFIG.replace("{{", "\x01").replace("}}", "\x02")).withColumn("value", F.translate("value", "\x01\x02", "{}"))
+    rows.write.partitionBy("project").text(path)
+    read = terraform.read_blocks(spark, [path], "part-*")
+    blocks = materialise(terraform.with_project(read, read.select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()))
+    nodes, edges, props = terraform.as_graph(terraform.resources(blocks))
+    bindings = terraform.variables(blocks).select("path_id", "scope", "name", "value").unionByName(terraform.local_values(blocks))
+    solved = resolve.resolve_props(props, resolve.resolve_bindings(bindings)).select("node_id", "key", F.col("resolved").alias("value"))
+    ends = nodes.select(F.col("node_id").alias("dst"), F.col("resource_name").alias("value"))
+    every = solved.unionByName(edges.join(ends, "dst").select(F.col("src").alias("node_id"), F.lit("edge").alias("key"), "value"))
+    return nodes.join(every, "node_id").select(F.regexp_extract("path_id", "project=(n[0-9]+)", 1).alias("project"), "resource_name", "key", "value")
+
+
+LABELLED = """
+SELECT r_name AS path_id, CAST(r_regionkey AS STRING) AS id, 'var' AS type, concat('var.', r_name) AS label FROM {region} UNION ALL SELECT r_name, CAST(100 + n_nationkey AS STRING), 'local', concat('local.', n_name) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
+UNION ALL SELECT r_name, CAST(1000 + s_suppkey AS STRING), 'resource', concat('aws_instance.', s_name) FROM {supplier} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey
+"""
+
+
+@query(
+    f"""WITH d AS ({other(LABELLED)}) SELECT path_id, label AS name, path_id || ',' || type || CASE type WHEN 'var' THEN ',Variable' WHEN 'local' THEN ',Local' ELSE '' END AS labels FROM d WHERE type IN ('var', 'local') OR path_id = 'ASIA'"""
+)
+def document_labels(spark, sf):
+    """SC-8, F-8: labels of loaded nodes, and those that have one of several."""
+    data = F.struct(F.struct("id", F.lit("").alias("parent"), "label", "type").alias("data"))
+    docs = derived(spark, sf, LABELLED).select("path_id", F.to_json(F.struct(F.array(data).alias("nodes"))).alias("document"))
+    nodes = graph_json.load(docs)[0]
+    asked = F.arrays_overlap("labels", F.array(F.lit("Variable"), F.lit("Local"), F.lit("ASIA")))
+    return nodes.where(asked).select("path_id", "name", F.array_join("labels", ",").alias("labels"))
+
+
 # ---- whole analyses ----
 
 INTENDED = """

@@ -143,10 +143,10 @@ def blocks_of(text: str) -> list[tuple[str, list[str], list[tuple[str, str | Non
 COLUMNS = "path string, kind string, type string, name string, key string, value string, error string"
 
 
-def read_blocks(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """SC-1: one row per argument of each block in the files under paths (a block without arguments has one row with a
-    null key). A file that can't be read gives one row with its error (Q20)."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.tf").text(paths, wholetext=True)
+def read_blocks(spark: SparkSession, paths: list[str], pattern: str = "*.tf") -> DataFrame:
+    """SC-1: one row per argument of each block in the files under paths whose names fit pattern (a block without arguments
+    has one row with a null key). A file that can't be read gives one row with its error (Q20)."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
     files = files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/*", "/").alias("path"), "value")
 
     def run(batches):
