@@ -1148,7 +1148,47 @@ def implicit_links(spark, sf):
 
 @query()
 def analyse_projects(spark, sf):
-    """Entry A: from graphs to threats, over all projects. Some suppliers are security groups open to all."""
+    """Entry A: from graphs to threats, over all projects of G1. It has no security groups; analyse_exposed has."""
     p = analysis.Project.of(nodes_of(spark, sf), edges_of(spark, sf), derived(spark, sf, GROUP_PROPS).selectExpr("'p' AS path_id", "node_id + 4000000000000 AS node_id", "key", "value"))
     entities = spark.createDataFrame([("Internet", "RemoteUser")], "name string, annotation string")
     return analysis.analyse(p, profile_of(spark), spark.createDataFrame(RULE_ROWS, OWN_RULES), entities, spark.createDataFrame(PATTERN_ROWS, PATTERNS))
+
+
+OPEN_PROFILE = [
+    ("processes", "VirtualMachine", "VirtualMachine", "EC2", "aws_instance", False, False, 0),
+    ("processes", "Firewall", "Firewall", "Group", "aws_security_group", False, False, 1),
+    ("boundaries", "VirtualNetwork", None, "VPC", "aws_vpc", False, False, 2),
+    ("boundaries", "Subnet", None, "Subnet", "aws_subnet", False, False, 3),
+]
+OPEN_PATTERNS = [
+    ("from outside", "Tampering", "ExternalEntity", "RemoteUser", "Process", None, "recipient"),
+    ("to a firewall", "Spoofing", "Process", None, "Process", "Firewall", "recipient"),
+    ("to the outside", "Information Disclosure", "Process", "VirtualMachine", "ExternalEntity", None, "sender"),
+]
+OPEN_NODES = """
+SELECT n_name AS path_id, CAST(1000000000000 + n_nationkey AS BIGINT) AS node_id, 'aws_vpc' AS resource_type, 'net' AS resource_name FROM {nation} UNION ALL SELECT n_name, CAST(2000000000000 + n_nationkey AS BIGINT), 'aws_subnet', 'sub' FROM {nation}
+UNION ALL SELECT n_name, CAST(3000000000000 + c_custkey AS BIGINT), 'aws_instance', concat('c', CAST(c_custkey AS STRING)) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name, CAST(4000000000000 + s_suppkey AS BIGINT), 'aws_security_group', concat('s', CAST(s_suppkey AS STRING)) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+"""
+OPEN_EDGES = """
+SELECT n_name AS path_id, CAST(2000000000000 + n_nationkey AS BIGINT) AS src, CAST(1000000000000 + n_nationkey AS BIGINT) AS dst FROM {nation}
+UNION ALL SELECT n_name, CAST(3000000000000 + c_custkey AS BIGINT), CAST(2000000000000 + n_nationkey AS BIGINT) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name, CAST(3000000000000 + c_custkey AS BIGINT), CAST(4000000000000 + least_key AS BIGINT) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN (SELECT s_nationkey, min(s_suppkey) AS least_key FROM {supplier} GROUP BY s_nationkey) AS g ON c_nationkey = s_nationkey WHERE c_custkey % 2 = 0
+"""
+
+
+@query(
+    """WITH g AS (SELECT s_nationkey AS k, min(s_suppkey) AS g FROM supplier GROUP BY 1), e AS (SELECT n_name AS path_id, 'VirtualMachine (EC2) - aws_instance.c' || c_custkey AS vm, 'Firewall (Group) - aws_security_group.s' || g AS wall, g % 4 = 0 OR g % 10 = 1 AS is_open
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN g ON g.k = c_nationkey WHERE c_custkey % 2 = 0)
+SELECT path_id, 'to a firewall' AS threat, 'Spoofing' AS stride, wall AS element, vm || '->' || wall AS flow FROM e UNION ALL SELECT path_id, 'from outside', 'Tampering', vm, 'Internet->' || vm FROM e WHERE is_open
+UNION ALL SELECT path_id, 'to the outside', 'Information Disclosure', vm, vm || '->Internet' FROM e WHERE is_open"""
+)
+def analyse_exposed(spark, sf):
+    """Entry A with V-1 to V-3, O-8, O-9: customers are machines behind the first supplier of their nation, a security group; those
+    behind an open one meet the outside."""
+    props = derived(spark, sf, GROUP_PROPS).join(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("node_id"), F.col("s_nationkey").alias("n_nationkey")), "node_id").join(table(spark, sf, "nation"), "n_nationkey")
+    n = derived(spark, sf, OPEN_NODES).select("*", F.lit("resource").alias("node_type"), F.concat_ws(".", "resource_type", "resource_name").alias("name"), F.lit("").alias("parent_id"))
+    p = analysis.Project.of(n, derived(spark, sf, OPEN_EDGES), props.select(F.col("n_name").alias("path_id"), (F.col("node_id") + 4_000_000_000_000).alias("node_id"), "key", "value"))
+    rules = spark.createDataFrame([(0, "subnet2vpc", "VirtualNetwork", "Subnet", "Backward"), (1, "vm2subnet", "Subnet", "VirtualMachine", "Backward")], OWN_RULES)
+    found = analysis.analyse(p, spark.createDataFrame(OPEN_PROFILE, PROFILE), rules, spark.createDataFrame([("Internet", "RemoteUser")], "name string, annotation string"), spark.createDataFrame(OPEN_PATTERNS, PATTERNS))
+    return found.select("path_id", "threat", "stride", "element", "flow")
