@@ -14,7 +14,7 @@ from .components import components
 from .labels import direct_pairs
 from .lineage import counted, materialise
 from .schema import as_edges, config_table
-from .tagging import full_match
+from .tagging import full_match, match_types
 
 METHODS = ("Backward", "Forward", "IntersectForward", "IntersectBackward")
 
@@ -286,13 +286,18 @@ def contract(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> tuple[Da
 def contract_patterns(nodes: DataFrame, edges: DataFrame, patterns: list[str]) -> tuple[DataFrame, DataFrame]:
     """R-6 for one pattern of resource types after another (earlier ones add reachability for later ones).
 
-    Patterns of which no project has two nodes are left out up front."""
-    for pattern in dict.fromkeys(patterns):
-        members = nodes.where(full_match(F.col("resource_type"), F.lit(pattern)))
-        if members.groupBy("path_id").count().where("count > 1").isEmpty():
-            continue
-        nodes, edges, _ = contract(nodes, edges, members)
-        nodes, edges = materialise(nodes), materialise(edges)
+    Patterns of which no project has two nodes are left out up front: one count for all patterns tells which. A null or
+    empty list leaves all as it is."""
+    patterns = list(dict.fromkeys(patterns or []))
+    if not patterns:
+        return nodes, edges
+    fits = match_types(nodes, nodes.sparkSession.createDataFrame([(p,) for p in patterns], "tf_name string"))
+    each = nodes.groupBy("path_id", "resource_type").agg(F.count("*").alias("n")).join(fits, "resource_type")
+    several = {r[0] for r in each.groupBy("path_id", "tf_name").agg(F.sum("n").alias("n")).where("n > 1").select("tf_name").distinct().collect()}
+    for pattern in patterns:
+        if pattern in several:
+            nodes, edges, _ = contract(nodes, edges, nodes.where(full_match(F.col("resource_type"), F.lit(pattern))))
+            nodes, edges = materialise(nodes), materialise(edges)
     return nodes, edges
 
 

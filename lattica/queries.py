@@ -317,7 +317,15 @@ JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nat
 """
 
 
-@query()
+def contracted(edges: str, members: str, n: str) -> str:
+    """CTEs that make of edges, with the members joined where one reaches another, the table {n}_edges."""
+    return f"""{n}_m AS ({members}), {n}_reach(src, dst) AS (SELECT src, dst FROM {edges} UNION SELECT r.src, e.dst FROM {n}_reach r JOIN {edges} e ON r.dst = e.src),
+{n}_l AS (SELECT src, dst FROM {n}_reach WHERE src IN (FROM {n}_m) AND dst IN (FROM {n}_m)), {n}_both AS (SELECT src, dst FROM {n}_l UNION SELECT dst, src FROM {n}_l),
+{n}_cc(a, b) AS (SELECT id, id FROM {n}_m UNION SELECT c.a, l.dst FROM {n}_cc c JOIN {n}_both l ON c.b = l.src), {n}_rep AS (SELECT a, min(b) AS r FROM {n}_cc GROUP BY a),
+{n}_edges AS (SELECT DISTINCT e.path_id, coalesce(x.r, e.src) AS src, coalesce(y.r, e.dst) AS dst FROM {edges} e LEFT JOIN {n}_rep x ON e.src = x.a LEFT JOIN {n}_rep y ON e.dst = y.a WHERE coalesce(x.r, e.src) <> coalesce(y.r, e.dst))"""
+
+
+@query(f"WITH RECURSIVE edges AS ({there(TRADE)}), {contracted('edges', 'SELECT src AS id FROM edges WHERE src % 5 <> 0 UNION SELECT dst FROM edges WHERE dst % 5 <> 0', 'a')} SELECT * FROM a_edges")
 def contract_trade(spark, sf):
     """R-6 on a graph that grows with the tables: customers and suppliers of one nation, linked both ways through orders."""
     e = materialise(as_edges(derived(spark, sf, TRADE)))
@@ -325,6 +333,31 @@ def contract_trade(spark, sf):
     return graph.contract(n, e, n.where("node_id % 5 <> 0"))[1].select("path_id", "src", "dst")
 
 
+CHAINED = """
+SELECT DISTINCT n_name AS path_id, CAST(o_custkey * 2 AS BIGINT) AS src, CAST(l_suppkey * 2 + 1 AS BIGINT) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_returnflag = 'R'
+UNION SELECT n_name, CAST(l_suppkey * 2 + 1 AS BIGINT), CAST(o_custkey * 2 AS BIGINT) FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey
+JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nation} ON c_nationkey = n_nationkey WHERE l_returnflag = 'A' AND l_linestatus = 'F' AND l_quantity > 25
+"""
+CHAIN_TYPES = "CASE WHEN node_id % 2 = 1 THEN 'aws_lambda_function' WHEN node_id % 3 = 0 THEN 'aws_instance_web' ELSE 'aws_instance_batch' END"
+CHAIN_PATTERNS = ["aws_instance_web", r"aws_dynamodb_\w+", r"aws_lambda_\w+", r"aws_instance_\w+"]
+
+
+def _ends(edges: str, where: str) -> str:
+    return f"SELECT src AS id FROM {edges} WHERE {where.replace('id', 'src')} UNION SELECT dst FROM {edges} WHERE {where.replace('id', 'dst')}"
+
+
+@query(
+    f"""WITH RECURSIVE edges AS ({there(CHAINED)}), {contracted('edges', _ends('edges', 'id % 2 = 0 AND id % 3 = 0'), 'a')}, {contracted('a_edges', _ends('a_edges', 'id % 2 = 1'), 'b')}, {contracted('b_edges', _ends('b_edges', 'id % 2 = 0'), 'c')}
+SELECT * FROM c_edges"""
+)
+def contract_by_patterns(spark, sf):
+    """R-6 to R-8 as a profile asks for them: pattern after pattern, each on what the ones before have left."""
+    e = materialise(as_edges(derived(spark, sf, CHAINED)))
+    n = e.select("path_id", F.explode(F.array("src", "dst")).alias("node_id")).distinct().withColumn("resource_type", F.expr(CHAIN_TYPES))
+    return graph.contract_patterns(n, e, CHAIN_PATTERNS)[1].select("path_id", "src", "dst")
+
+
 @query(
     f"""WITH {G1_SQL}, rep AS (SELECT node_id, min(node_id) OVER (PARTITION BY path_id, parent_id) AS r FROM nodes WHERE resource_type = 'aws_lambda_function')
 SELECT DISTINCT e.path_id, coalesce(a.r, e.src) AS src, coalesce(b.r, e.dst) AS dst FROM edges e LEFT JOIN rep a ON e.src = a.node_id LEFT JOIN rep b ON e.dst = b.node_id"""
