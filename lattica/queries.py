@@ -1111,6 +1111,75 @@ def catalog_as_xml(spark, sf):
     return spark.read.format("xml").option("rowTag", "threat").schema("id string, name string, class string, aggressor string, victim string").load(path)
 
 
+#: Ends of flows that a catalog tells apart: the type and annotation of the sender and of the recipient.
+SIGNATURES = [
+    ("Process", None, "DataStore", None),
+    ("ExternalEntity", None, "DataStore", None),
+    ("ExternalEntity", "RemoteUser", "Process", "CloudApplication"),
+    ("ExternalEntity", "RemoteUser", "Process", "VirtualMachine"),
+    ("ExternalEntity", "RemoteUser", "Process", "Container"),
+    ("ExternalEntity", "ComplianceManager", "Process", "CloudApplication"),
+    ("ExternalEntity", "ComplianceManager", "Process", "VirtualMachine"),
+    ("ExternalEntity", "ExternalService", "Process", "CloudApplication"),
+    ("Process", "CloudApplication", "ExternalEntity", "RemoteUser"),
+    ("Process", "CloudApplication", "Process", "CloudApplication"),
+    ("Process", "Container", "Process", "Container"),
+    ("Process", "Container", "Process", "ContainerSocket"),
+    ("Process", "Container", "DataStore", "ContainerVolume"),
+    ("Process", "Container", "DataStore", "HostStorage"),
+]
+CATALOG_PATTERNS = 80
+#: Customers are processes, suppliers data stores, regions external entities; those of one nation, or their region, meet.
+CAST_ELEMENTS = """
+SELECT n_name AS path_id, CAST(1000000000 + c_custkey AS BIGINT) AS id, 'Process' AS kind, c_name AS name, CASE c_custkey % 5 WHEN 0 THEN 'CloudApplication' WHEN 1 THEN 'VirtualMachine' WHEN 2 THEN 'Container' WHEN 3 THEN 'ContainerSocket' END AS annotation FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION ALL SELECT n_name, CAST(2000000000 + s_suppkey AS BIGINT), 'DataStore', s_name, CASE s_suppkey % 3 WHEN 0 THEN 'ContainerVolume' WHEN 1 THEN 'HostStorage' END FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT n_name, CAST(3000000000 + n_nationkey AS BIGINT), 'ExternalEntity', concat('out of ', n_name), CASE n_nationkey % 3 WHEN 0 THEN 'RemoteUser' WHEN 1 THEN 'ComplianceManager' WHEN 2 THEN 'ExternalService' END FROM {nation}
+"""
+CAST_PAIRS = """
+SELECT DISTINCT n_name AS path_id, CAST(1000000000 + o_custkey AS BIGINT) AS src, CAST(2000000000 + l_suppkey AS BIGINT) AS dst FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {supplier} ON l_suppkey = s_suppkey AND s_nationkey = c_nationkey JOIN {nation} ON c_nationkey = n_nationkey
+UNION SELECT n_name, CAST(1000000000 + c_custkey AS BIGINT), CAST(3000000000 + n_nationkey AS BIGINT) FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+UNION SELECT n_name, CAST(2000000000 + s_suppkey AS BIGINT), CAST(3000000000 + n_nationkey AS BIGINT) FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION SELECT n_name, CAST(1000000000 + a_key AS BIGINT), CAST(1000000000 + b_key AS BIGINT) FROM (SELECT c_custkey AS a_key, c_nationkey AS a_nation, lead(c_custkey, 5) OVER (PARTITION BY c_nationkey, c_custkey % 5 < 2 ORDER BY c_custkey) AS b_key FROM {customer}) AS c JOIN {nation} ON a_nation = n_nationkey WHERE b_key IS NOT NULL
+UNION SELECT n_name, CAST(1000000000 + a_key AS BIGINT), CAST(1000000000 + b_key AS BIGINT) FROM (SELECT c_custkey AS a_key, c_nationkey AS a_nation, lead(c_custkey) OVER (PARTITION BY c_nationkey, c_custkey % 5 ORDER BY c_custkey) AS b_key FROM {customer}) AS c JOIN {nation} ON a_nation = n_nationkey WHERE b_key IS NOT NULL
+"""
+
+
+def catalog_text(k: int) -> tuple[str, str]:
+    """Pattern k of a catalog: the place that it names, and its text, in one of several ways to write it."""
+    of, to, s, r, flow = *[("p", "ee"), ("from_1", "to_1"), ("x", "y")][k % 3], *[("a1", "a2"), ("note", "other")][k % 2], ("df", "f")[k % 2]
+    (s_type, s_anno, r_type, r_anno), indent = SIGNATURES[k % len(SIGNATURES)], " " * (1 + k % 4)
+    ends = [f"DataFlow.sender({flow}, {of});", f"DataFlow.recipient( {flow},{to} );"]
+    notes = [f'ModelElementAnnotation({n});{indent}ModelElementAnnotation.value({n}, "{v}");\n{kind}.annotations({who}, {n});' for n, v, kind, who in ((s, s_anno, s_type, of), (r, r_anno, r_type, to)) if v]
+    args = [f"{of}: {s_type}", f"{to}:{r_type}", f"{flow} : DataFlow"]
+    lines = notes + ends if k % 3 else ["// ends before notes"] + ends[::-1] + notes
+    return (of, to)[k % 2], f"pattern P_{k}({', '.join(args if k % 2 else args[::-1])}) {{\n{indent}" + f"\n{indent}".join(lines) + "\n}"
+
+
+STRIDES = ("Tampering", "Information Disclosure", "Denial of Service", "Repudiation", "Other")
+
+
+@query(
+    f"""WITH el AS ({there(CAST_ELEMENTS)}), pair AS ({there(CAST_PAIRS)}), flow AS (SELECT path_id, src AS s, dst AS r FROM pair UNION SELECT path_id, dst, src FROM pair),
+{values('sig', 'st string, sa string, rt string, ra string, k int', [(*x, i) for i, x in enumerate(SIGNATURES)])}, pat AS (SELECT sig.*, p.range AS n, ({literal(list(STRIDES))})[1 + p.range % 5] AS stride FROM range({CATALOG_PATTERNS}) p JOIN sig ON p.range % {len(SIGNATURES)} = sig.k)
+SELECT flow.path_id, stride || ': case ' || n AS threat, stride, CASE WHEN n % 2 = 0 THEN a.id ELSE b.id END AS location, CASE WHEN n % 2 = 0 THEN a.name ELSE b.name END AS element, a.name || '->' || b.name AS flow
+FROM flow JOIN el a ON a.id = s JOIN el b ON b.id = r JOIN pat ON st = a.kind AND rt = b.kind AND (sa IS NULL OR sa = a.annotation) AND (ra IS NULL OR ra = b.annotation)"""
+)
+def catalog_elicited(spark, sf):
+    """SC-13, D12, H-1, J-22: a catalog of 80 patterns with 14 signatures, written as XML, read, and held against the flows of all
+    nations."""
+    path = _place(spark)
+    rows = []
+    for k in range(CATALOG_PATTERNS):
+        at, text = catalog_text(k)
+        rows.append((f"{STRIDES[k % 5]}: case {k}", text, at))
+    maps = F.array(F.struct(F.lit("flow").alias("_key"), F.lit("df").alias("_value")), F.struct(F.lit("location").alias("_key"), F.col("at").alias("_value")))
+    shaped = spark.createDataFrame(rows, "name string, text string, at string").select(F.col("name").alias("_name"), F.lit("").alias("_description"), F.array(F.struct(F.lit("").alias("_name"), F.col("text").alias("patterns"), maps.alias("mapping"))).alias("threatpattern"))
+    shaped.write.format("xml").option("rootTag", "catalog").option("rowTag", "threat").save(path)
+    found = derived(spark, sf, CAST_ELEMENTS)
+    named = dfd.named(dfd.flows(derived(spark, sf, CAST_PAIRS)), found)
+    return threats.elicit(named, config.read_catalog(spark, path))
+
+
 CONFIG = """
 SELECT concat('n', CAST(n_nationkey AS STRING)) AS project, concat('variable "env" {{\n  default = "e', CAST(n_nationkey AS STRING), '"\n}}\nlocals {{\n  zone = "$', '{{var.env}}-z" # used below\n}}\nresource "aws_subnet" "net" {{\n  cidr = "10.', CAST(n_nationkey AS STRING), '.0.0/16"\n}}') AS value FROM {nation}
 UNION ALL SELECT concat('n', CAST(s_nationkey AS STRING)), concat('resource "aws_lambda_function" "s', CAST(s_suppkey AS STRING), '" {{\n  name = "$', '{{local.zone}}-', CAST(s_suppkey AS STRING), '"\n  subnet = aws_subnet.net.id\n  depends_on = [aws_subnet.net]\n  tags = {{\n    Owner = "', s_name, '"\n  }}\n}}') FROM {supplier}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators.schema import OWN_RULES, PATTERNS, PROFILE
+from ..operators.schema import OWN_RULES, PROFILE, config_table
 
 
 def _yaml(spark: SparkSession, path: str):
@@ -46,30 +46,73 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
     return rules(spark, _yaml(spark, path))
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """D12, SC-13: one row per pattern of an XML threat catalog, see PATTERNS. What a pattern says of the two ends of a flow
-    is taken from its text; a missing annotation is null and fits any."""
-    shape = "_name string, _description string, threatpattern array<struct<patterns: string, mapping: array<struct<_key: string, _value: string>>>>"
-    p = spark.read.format("xml").option("rowTag", "threat").schema(shape).load(path).select("_name", F.explode("threatpattern").alias("p")).select("_name", F.col("p.patterns").alias("text"), F.get(F.filter("p.mapping", lambda m: m["_key"] == "location"), F.lit(0))["_value"].alias("at"))
-
-    def end(role: str):
-        return F.regexp_extract("text", rf"DataFlow\.{role}\(\s*\w+\s*,\s*(\w+)\s*\)", 1)
+#: What a threat pattern may say; `w` stands for a name. Statements come in any order and may repeat.
+STATEMENTS = {
+    "sender": r"DataFlow\.sender\(\s*(\w+)\s*,\s*(\w+)\s*\)",
+    "recipient": r"DataFlow\.recipient\(\s*(\w+)\s*,\s*(\w+)\s*\)",
+    "annotation": r"ModelElementAnnotation\(\s*(\w+)\s*\)()",
+    "value": r"ModelElementAnnotation\.value\(\s*(\w+)\s*,\s*\x22([^\x22]*)\x22\s*\)",
+    "annotated": r"(?:Process|DataStore|ExternalEntity)\.annotations\(\s*(\w+)\s*,\s*(\w+)\s*\)",
+}
+HEAD = r"^\s*pattern\s+\w+\s*\(([^)]*)\)\s*\{(.*)\}\s*$"
+
+
+def pattern_facts(texts: DataFrame) -> DataFrame:
+    """texts: id, text of patterns. One row per fact: id, fact, a, b: 'type' (a name and its type), the keys of STATEMENTS with
+    the names or the value that they hold, and 'rest' with what a text says beyond that, if anything; comments are left out."""
+    bare = F.regexp_replace("text", r"(?s)(\x22[^\x22]*\x22)|/\*.*?\*/|//[^\n]*", "$1 ")
+    body, names = F.regexp_extract(bare, "(?s)" + HEAD, 2), F.regexp_extract(bare, "(?s)" + HEAD, 1)
+    t = texts.select("id", body.alias("body"), names.alias("names"), F.rlike(bare, F.lit("(?s)" + HEAD)).alias("whole"), bare.alias("bare"))
+    kinds = t.select("id", F.explode(F.split("names", ",")).alias("n")).select("id", F.lit("type").alias("fact"), F.trim(F.substring_index("n", ":", 1)).alias("a"), F.trim(F.substring_index("n", ":", -1)).alias("b"))
+    rest = F.col("body")
+    for how in STATEMENTS.values():
+        rest = F.regexp_replace(rest, how, "")
+    rest = F.when(F.col("whole"), F.regexp_replace(rest, r"[\s;]+", "")).otherwise(F.col("bare"))
+    out = kinds.unionByName(t.select("id", F.lit("rest").alias("fact"), rest.alias("a"), F.lit(None).cast("string").alias("b")).where("a <> '' OR a IS NULL"))
+    for fact, how in STATEMENTS.items():
+        both = F.arrays_zip(F.regexp_extract_all("body", F.lit(how), F.lit(1)).alias("a"), F.regexp_extract_all("body", F.lit(how), F.lit(2)).alias("b"))
+        out = out.unionByName(t.select("id", F.inline(both)).select("id", F.lit(fact).alias("fact"), "a", "b"))
+    return out
 
-    def taken(pattern):
-        return F.call_function("regexp_extract", F.col("text"), pattern, F.lit(1))
 
-    def kind(who: str):
-        return taken(F.concat(F.lit(r"[(,]\s*"), F.col(who), F.lit(r"\s*:\s*(\w+)")))
-
-    def note(who: str):
-        name = taken(F.concat(F.lit(r"annotations\(\s*"), F.col(who), F.lit(r"\s*,\s*(\w+)")))
-        value = taken(F.concat(F.lit(r"\.value\(\s*"), name, F.lit(r"\s*,\s*\x22([^\x22]*)\x22")))
-        return F.when(F.length(name) > 0, F.nullif(value, F.lit("")))
+def read_catalog(spark: SparkSession, path: str) -> DataFrame:
+    """D12, SC-13: one row per pattern of an XML threat catalog, see PATTERNS.
 
-    p = p.withColumn("s", end("sender")).withColumn("r", end("recipient"))
-    stride = F.trim(F.substring_index("_name", ":", 1))
-    out = p.select(F.col("_name").alias("threat"), stride.alias("stride"), kind("s").alias("sender_type"), note("s").alias("sender_anno"), kind("r").alias("recipient_type"), note("r").alias("recipient_anno"), F.when(F.col("at") == F.col("s"), "sender").otherwise("recipient").alias("location_end"))
-    return out.select(*(x.split()[0] for x in PATTERNS.split(", ")))
+    A pattern's text is taken apart into facts (`pattern_facts`), which are joined again: which names are the two ends of the
+    flow, their types, and the value of the annotation that each must have; without one it is null and fits any. A pattern
+    that can't be put this way raises, as it would fit other flows than it says: other statements, not one sender and one
+    recipient of one flow, an end without a type or with several annotations, an annotation without one value, a place that
+    is neither end. A catalog without patterns gives no rows."""
+    shape = "_name string, _description string, threatpattern array<struct<patterns: string, mapping: array<struct<_key: string, _value: string>>>>"
+    read = spark.read.format("xml").option("rowTag", "threat").schema(shape).load(path).select("_name", F.posexplode("threatpattern").alias("k", "p"))
+    at = F.get(F.filter("p.mapping", lambda m: m["_key"] == "location"), F.lit(0))["_value"]
+    p = read.select(F.xxhash64("_name", "k", "p.patterns").alias("id"), "_name", F.col("p.patterns").alias("text"), at.alias("at"))
+    facts = pattern_facts(p.select("id", "text").distinct())
+    of = lambda *names: F.filter("facts", lambda x: x["fact"].isin(*names))
+    one = p.join(facts.groupBy("id").agg(F.collect_set(F.struct("fact", "a", "b")).alias("facts")), "id", "left")
+
+    def pick(fact: str, key: Column, field: str) -> Column:
+        """The field of the only fact of this kind about key; null if there is none or there are several."""
+        found = F.filter(of(fact), lambda x: x["a"] == key)
+        return F.when(F.size(found) == 1, F.get(found, F.lit(0))[field])
+
+    only = lambda fact, field: F.when(F.size(of(fact)) == 1, F.get(of(fact), F.lit(0))[field])
+    one = one.withColumns({"s": only("sender", "b"), "r": only("recipient", "b"), "flow": only("sender", "a"), "same": only("sender", "a") == only("recipient", "a")})
+    notes = lambda who: F.filter(of("annotated"), lambda x: x["a"] == who)
+    for end in ("s", "r"):
+        own = notes(F.col(end))
+        one = one.withColumns({f"{end}_type": pick("type", F.col(end), "b"), f"{end}_n": F.size(own), f"{end}_note": F.get(own, F.lit(0))["b"]})
+        one = one.withColumn(f"{end}_anno", pick("value", F.col(f"{end}_note"), "b"))
+    loose = F.size(F.filter(of("annotated"), lambda x: ~x["a"].isin(F.col("s"), F.col("r")))) > 0
+    fine = F.col("same") & (pick("type", F.col("flow"), "b") == "DataFlow") & (F.size(of("rest")) == 0) & ~loose & (F.col("s") != F.col("r")) & F.col("at").isin(F.col("s"), F.col("r"))
+    for end in ("s", "r"):
+        fine = fine & F.col(f"{end}_type").isNotNull() & (F.col(f"{end}_n") <= 1) & ((F.col(f"{end}_n") == 0) | F.col(f"{end}_anno").isNotNull())
+    one = config_table(one.withColumn("fine", F.coalesce(fine, F.lit(False))))
+    wrong = [r[0] for r in one.where("NOT fine").select("_name").distinct().sort("_name").limit(5).collect()]
+    if wrong:
+        raise ValueError(f"patterns that say more than ends, annotations and a place, in {wrong}")
+    place = F.when(F.col("at") == F.col("s"), "sender").otherwise("recipient")
+    return one.select(F.col("_name").alias("threat"), F.trim(F.substring_index("_name", ":", 1)).alias("stride"), F.col("s_type").alias("sender_type"), F.col("s_anno").alias("sender_anno"), F.col("r_type").alias("recipient_type"), F.col("r_anno").alias("recipient_anno"), place.alias("location_end"))
 
 
 def read_threat_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from lattica.operators import threats
 from lattica.operators.schema import EDGES, NODES
 from lattica.plans import analysis
@@ -181,6 +183,39 @@ def test_threat_documents(spark, tmp_path):
     sinks.catalog_xml(threats.fan_out(d), f"{tmp_path}/c")
 
 
+def catalog_of(tmp_path, name, text, at="p"):
+    (tmp_path / f"{name}.xml").write_text(f'<catalog><threat name="T: {name}"><threatpattern name=""><patterns>{text.replace(chr(34), "&quot;")}</patterns><mapping key="flow" value="df"/><mapping key="location" value="{at}"/></threatpattern></threat></catalog>')
+    return f"{tmp_path}/{name}.xml"
+
+
+def test_catalog_patterns(spark, tmp_path):
+    head, ends = "pattern P(p: Process, df: DataFlow, ee: DataStore) {", "DataFlow.recipient(df, ee); DataFlow.sender(df,p);"
+    note = 'ModelElementAnnotation(a); ModelElementAnnotation.value(a, "http://x, y"); Process.annotations(p, a);'
+    read = lambda name, text, at="p": [tuple(x) for x in config.read_catalog(spark, catalog_of(tmp_path, name, text, at)).collect()]
+    assert read("plain", f"{head} {ends} }}") == [("T: plain", "T", "Process", None, "DataStore", None, "sender")]
+    assert read("note", f"{head}\n/* first */ {note} // then\n {ends} {ends} }}", "ee") == [("T: note", "T", "Process", "http://x, y", "DataStore", None, "recipient")]
+    bad = {
+        "negated": f"{head} neg find other(p); {ends} }}",
+        "unequal": f"{head} p != ee; {ends} }}",
+        "cut": f"{head} {ends}",
+        "no_sender": f"{head} DataFlow.recipient(df, ee); }}",
+        "two_flows": f"{head} DataFlow.recipient(df, ee); DataFlow.sender(dg, p); }}",
+        "two_notes": f"{head} {note} {note.replace('(a', '(b').replace(', a)', ', b)')} {ends} }}",
+        "note_without_value": f"{head} ModelElementAnnotation(a); Process.annotations(p, a); {ends} }}",
+        "note_of_another": f"{head} {note.replace('(p,', '(q,')} {ends} }}",
+        "untyped": f"pattern P(ee: DataStore, df: DataFlow) {{ {ends} }}",
+        "no_flow": f"{head.replace('DataFlow', 'Process')} {ends} }}",
+        "empty": "",
+    }
+    for name, text in bad.items():
+        with pytest.raises(ValueError, match=name):
+            read(name, text)
+    with pytest.raises(ValueError, match="place"):
+        read("elsewhere", f"{head} {ends} }}", "df")
+    (tmp_path / "none.xml").write_text("<catalog></catalog>")
+    assert config.read_catalog(spark, f"{tmp_path}/none.xml").count() == 0
+
+
 def test_scanner_findings(spark, tmp_path):
     found = [{"path": f"/srv/{p}/main.tf", "extra": {"metavars": {"$NET": {"abstract_content": n}, "$OTHER": {"abstract_content": "x"}}}} for p, n in (("one", "front"), ("one", "front"), ("two", "edge"))]
     (tmp_path / "scan.json").write_text(json.dumps({"results": found, "errors": []}, indent=1))
