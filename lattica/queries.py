@@ -1206,6 +1206,32 @@ def configuration_files(spark, sf):
     return nodes.join(every, "node_id").select(F.regexp_extract("path_id", "project=(n[0-9]+)", 1).alias("project"), "resource_name", "key", "value")
 
 
+NESTED_CONFIG = """
+SELECT concat('r', CAST(r_regionkey AS STRING)) AS project, concat('resource "aws_vpc" "', r_name, '" {{\n}}') AS value FROM {region}
+UNION ALL SELECT concat('r', CAST(n_regionkey AS STRING)), concat('module "n', CAST(n_nationkey AS STRING), '" {{\n  source = "./../project=n', CAST(n_nationkey AS STRING), '"\n}}') FROM {nation}
+UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('module "b" {{\n  source = "../project=', n_name, '/../project=b', CAST(n_nationkey % 3 AS STRING), '/"\n}}') FROM {nation}
+UNION ALL SELECT concat('n', CAST(s_nationkey AS STRING)), concat('resource "aws_lambda_function" "s', CAST(s_suppkey AS STRING), '" {{\n  name = "', s_name, '"\n}}') FROM {supplier}
+UNION ALL SELECT DISTINCT concat('b', CAST(n_nationkey % 3 AS STRING)), concat('resource "aws_s3_bucket" "b', CAST(n_nationkey % 3 AS STRING), '" {{\n}}\nmodule "next" {{\n  source = "../project=b', CAST((n_nationkey + 1) % 3 AS STRING), '"\n}}\nmodule "far" {{\n  source = "git::https://example.com/x"\n}}') FROM {nation}
+"""
+
+
+@query(
+    """WITH b AS (SELECT 'aws_s3_bucket' AS resource_type, 'b' || k.range AS resource_name FROM range(3) k WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey % 3 = k.range))
+SELECT 'r' || r_regionkey AS project, 'aws_vpc' AS resource_type, r_name AS resource_name, false AS in_module FROM region UNION ALL SELECT 'r' || n_regionkey, 'aws_lambda_function', 's' || s_suppkey, true FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT DISTINCT 'r' || n_regionkey, resource_type, resource_name, true FROM nation, b"""
+)
+def module_sources(spark, sf):
+    """SC-1, SC-2: regions are projects whose modules lie in the folders of their nations; those lead on to three folders that
+    all share, which lead to each other in a circle."""
+    path = _place(spark)
+    rows = derived(spark, sf, NESTED_CONFIG.replace("{{", "\x01").replace("}}", "\x02")).withColumn("value", F.translate("value", "\x01\x02", "{}"))
+    rows.write.partitionBy("project").text(path)
+    read = materialise(terraform.read_blocks(spark, [path], "part-*"))
+    roots = read.select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).where("root RLIKE '/project=r[0-9]+$'").distinct()
+    found = terraform.with_sources(read, roots).where("kind = 'resource'")
+    return found.select(F.regexp_extract("path_id", "project=(r[0-9]+)", 1).alias("project"), F.col("type").alias("resource_type"), F.col("name").alias("resource_name"), "in_module").distinct()
+
+
 LABELLED = """
 SELECT r_name AS path_id, CAST(r_regionkey AS STRING) AS id, 'var' AS type, concat('var.', r_name) AS label FROM {region} UNION ALL SELECT r_name, CAST(100 + n_nationkey AS STRING), 'local', concat('local.', n_name) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name, CAST(1000 + s_suppkey AS STRING), 'resource', concat('aws_instance.', s_name) FROM {supplier} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.lineage import materialise
 
 SYMBOL = re.compile(
     r"(?P<skip>[ \t\r]+|\#[^\n]*|//[^\n]*|/\*.*?(?:\*/|\Z))"
@@ -176,6 +177,43 @@ def with_project(blocks: DataFrame, roots: DataFrame) -> DataFrame:
     return out.where(F.col("in_module") | ~F.col("rest").contains("/")).withColumn("path_id", T.path_id(F.col("root"))).drop("rest", "root")
 
 
+def _folder(path):
+    return F.regexp_replace(path, r"/[^/]*$", "")
+
+
+def _plain(path):
+    """path without `.` and `..` steps; those that lead above the top stay at the top."""
+    up = lambda done: F.when(F.size(done) > 0, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+    step = lambda done, x: F.when(x.isin("", "."), done).when(x == "..", up(done)).otherwise(F.concat(done, F.array(x)))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"))
+
+
+def with_sources(blocks: DataFrame, roots: DataFrame) -> DataFrame:
+    """SC-2: blocks of each project's root folder (roots: root) and of all folders that its module blocks lead to by their
+    `source`, from there on, however deep, with path_id and in_module (false in the root itself).
+
+    A source is a way from the folder of the file that names it; where no file was read (a registry, an address, an
+    expression, a folder that is not there) it leads nowhere. A folder that a project reaches by several ways, or by a
+    cycle, counts once for it; one that several projects reach counts for each. Null and empty sources lead nowhere.
+    Only pairs of project and folder go through the rounds, as many as modules lie within each other."""
+    at = blocks.where("path IS NOT NULL").withColumn("folder", _folder(F.col("path")))
+    folders = materialise(at.select("folder").distinct())
+    asked = at.where("kind = 'module' AND key = 'source' AND value <> ''").select("folder", _plain(F.concat_ws("/", "folder", "value")).alias("to")).distinct()
+    step = materialise(asked.join(folders.select(F.col("folder").alias("to")), "to").select("folder", "to"))
+    start = roots.select(_plain("root").alias("root")).distinct()
+    new = seen = materialise(start.join(folders, F.col("root") == F.col("folder")).select("root", "folder"))
+    rounds = 0
+    while not new.isEmpty():
+        rounds += 1
+        further = new.join(step, "folder").select("root", F.col("to").alias("folder")).distinct()
+        new = materialise(further.join(seen, ["root", "folder"], "left_anti"))
+        seen = seen.unionByName(new)
+        if rounds % 8 == 0:
+            seen = materialise(seen)
+    own = seen.select("root", "folder", T.path_id(F.col("root")).alias("path_id"), (F.col("root") != F.col("folder")).alias("in_module"))
+    return at.join(own, "folder").drop("folder", "root")
+
+
 def _first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """All rows of the file that comes first for each key."""
     best = Window.partitionBy("path_id", *keys).orderBy(*order)

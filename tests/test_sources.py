@@ -92,6 +92,27 @@ def test_configuration_files(spark, tmp_path):
     assert {(name[x["src"]], name[x["dst"]]) for x in edges.collect()} == {("rt", "gw"), ("a", "rt"), ("a", "front"), ("vm", "front"), ("vm", "web")}
 
 
+def test_module_sources(spark, tmp_path):
+    files = {
+        "one/main.tf": 'module "a" { source = "./parts/a" }\nmodule "b" { source = "../shared" }\nmodule "c" { source = "hashicorp/x/aws" }\nmodule "d" { source = "" }\nvariable "v" { default = "root" }',
+        "one/unread/x.tf": 'resource "aws_x" "unread" {}',
+        "one/parts/a/m.tf": 'module "deep" { source = "deep" }\nvariable "v" { default = "part" }\nresource "aws_x" "a" {}',
+        "one/parts/a/deep/m.tf": 'module "back" { source = "../../../" }\nmodule "again" { source = "../../../../shared/." }\nresource "aws_x" "deep" {}',
+        "shared/m.tf": 'resource "aws_x" "shared" {\n n = 1\n}',
+        "two/main.tf": 'module "s" { source = "../shared" }\nresource "aws_x" "two" {}',
+    }
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    read = terraform.read_blocks(spark, [str(tmp_path)])
+    got = terraform.with_sources(read, spark.createDataFrame([(f"{tmp_path}/one/",), (f"{tmp_path}/two",), (f"{tmp_path}/three",)], "root string"))
+    names = sorted((x["path_id"].rsplit(".")[-1], x["name"], x["in_module"]) for x in got.where("kind = 'resource'").collect())
+    assert names == [("one", "a", True), ("one", "deep", True), ("one", "shared", True), ("two", "shared", True), ("two", "two", False)]
+    assert [x["value"] for x in terraform.variables(got).collect()] == ["root"]
+    nothing = read.where("false")
+    assert terraform.with_sources(nothing, spark.createDataFrame([], "root string")).count() == 0
+
+
 PROFILE = {
     "processes": [{"group_name": "VirtualMachine", "annotation": "VirtualMachine", "members": [{"name": "EC2", "tf_name": "aws_instance", "compress": True}]}, {"group_name": "Firewall", "annotation": "CloudApplication", "members": [{"name": "SG", "tf_name": r"aws_security_group\w*"}]}],
     "boundaries": [{"group_name": "Subnet", "members": [{"name": "Subnet", "tf_name": "aws_subnet"}]}],
