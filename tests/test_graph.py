@@ -141,6 +141,20 @@ def test_contraction_against_brute_force(spark, seed):
     assert {(x["src"], x["dst"]) for x in e.collect()} == {(label[a], label[b]) for a, b in pairs if label[a] != label[b]}
 
 
+def test_contraction_by_patterns(spark):
+    kinds = {1: "a_x", 2: "a_y", 3: "c", 5: "b", 6: "b"}
+    nodes = spark.createDataFrame([("p", k, v) for k, v in kinds.items()] + [("q", 9, "c")], "path_id string, node_id long, resource_type string")
+    e = as_edges(frame(spark, [(1, 2), (5, 2), (1, 6), (3, 5)]))
+
+    def left(*patterns):
+        n, rest = graph.contract_patterns(nodes, e, list(patterns))
+        return {x["node_id"] for x in n.collect()}, {(x["src"], x["dst"]) for x in rest.collect()}
+
+    assert left(r"a_\w", "b", r"a_\w") == ({1, 3, 5, 9}, {(5, 1), (1, 5), (3, 5)})
+    assert left("b", r"a_\w") == ({1, 3, 5, 6, 9}, {(5, 1), (1, 6), (3, 5)})
+    assert left("c", "none", "a_") == left() == (set(kinds) | {9}, {(1, 2), (5, 2), (1, 6), (3, 5)})
+
+
 def test_boundaries(spark):
     e = as_edges(frame(spark, [(1, 2), (2, 3), (4, 5), (5, 6), (7, 8)]))
     b = spark.createDataFrame([(2,), (5,), (8,)], "node_id long")
