@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .operators import chains, dfd, exposure, graph, match, resolve, tagging, threats
 from .operators.lineage import materialise, shared_dir
-from .operators.schema import OWN_RULES, PATTERNS, PROFILE, as_edges
+from .operators.schema import OWN_RULES, PATTERNS, PROFILE, as_edges, config_table
 from .plans import analysis
 from .sources import config, graph_json, sinks, terraform
 
@@ -1232,6 +1232,64 @@ def module_sources(spark, sf):
     return found.select(F.regexp_extract("path_id", "project=(r[0-9]+)", 1).alias("project"), F.col("type").alias("resource_type"), F.col("name").alias("resource_name"), "in_module").distinct()
 
 
+def _written(spark: SparkSession, text: str) -> str:
+    """A configuration file of that text in the shared folder."""
+    path = _place(spark)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    return path
+
+
+@query(
+    f"WITH {TAGGED_SQL}, {values('rules', OWN_RULES, RULE_ROWS)}, own AS (" + OWN_SQL.format("e.path_id", "edges e", "e.dst", "e.src", "Backward") + """)
+SELECT own.path_id, own.rule, own.first, own.second, a.general_name AS first_general, b.general_name AS second_general, e.name AS outside, e.annotation AS outside_annotation
+FROM own JOIN tagged a ON a.node_id = own.first JOIN tagged b ON b.node_id = own.second, (VALUES ('Internet', 'RemoteUser'), ('Auditor', 'ComplianceManager')) e(name, annotation) WHERE e.name = 'Internet' OR b.can_public"""
+)
+def own_by_files(spark, sf):
+    """SC-9, SC-10, F-2: profile, ownership rules and external entities written as YAML files, read, and put to all projects; the
+    auditor meets what the profile lets be public."""
+    import yaml
+
+    sections: dict = {"external_entities": [{"name": "Internet", "annotation": "RemoteUser"}, {"name": "Auditor", "annotation": "ComplianceManager"}]}
+    for section, group, annotation, member, pattern, compress, public, _ in PROFILE_ROWS:
+        groups = sections.setdefault(section, [])
+        if not groups or groups[-1]["group_name"] != group:
+            groups.append({"group_name": group, "annotation": annotation, "members": []})
+        groups[-1]["members"].append({"name": member, "tf_name": pattern, "compress": compress, "can_public": public})
+    own = [{"id": i, "first_node": a, "second_node": b, "method": m} for _, i, a, b, m in RULE_ROWS]
+    at = _written(spark, yaml.safe_dump(sections, sort_keys=False))
+    profile, rules = config.read_profile(spark, at), config.read_rules(spark, _written(spark, yaml.safe_dump({"relations": {"own": own}})))
+    n = materialise(tagging.tag_nodes(nodes_of(spark, sf), profile).where("tagged").select("node_id", "group_name", "general_name", "can_public"))
+    found = graph.own_pairs(edges_of(spark, sf), n.select("node_id", "group_name"), rules)
+    named = lambda end: n.select(F.col("node_id").alias(end), F.col("general_name").alias(f"{end}_general"), F.col("can_public").alias(f"{end}_public"))
+    outside = config_table(config.external_entities(spark, config.read_yaml(spark, at)).select(F.col("name").alias("outside"), F.col("annotation").alias("outside_annotation")))
+    met = found.join(named("first"), "first").join(named("second"), "second").join(outside, (F.col("outside") == "Internet") | F.col("second_public"))
+    return met.select("path_id", "rule", "first", "second", "first_general", "second_general", "outside", "outside_annotation")
+
+
+FINDINGS = """
+SELECT concat('/srv/', n_name, '/net/main.tf') AS path, '$NAME' AS variable, concat('s', CAST(s_suppkey AS STRING), '.public') AS value FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey
+UNION ALL SELECT concat('/srv/', n_name, '/net/other.tf'), '$NAME', concat('s', CAST(s_suppkey AS STRING), '.public') FROM {supplier} JOIN {nation} ON s_nationkey = n_nationkey WHERE s_acctbal > 0
+UNION ALL SELECT concat('/srv/', n_name, '/main.tf'), '$ZONE', CASE WHEN c_acctbal > 0 THEN concat(c_mktsegment, '.private') END FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
+"""
+
+
+@query(
+    f"""WITH f AS ({other(FINDINGS)}) SELECT DISTINCT replace(regexp_replace(regexp_replace(path, '/[^/]*$', ''), '^/', ''), '/', '.') AS path_id, variable, split_part(value, '.', 1) AS name, contains(value, '.public') AS is_public
+FROM f WHERE value IS NOT NULL"""
+)
+def scanner_findings(spark, sf):
+    """SC-11, F-6: results of a pattern scanner, a JSON document for each file that it looked at, written and read; what its
+    variables hold is taken apart."""
+    held = F.struct(F.struct(F.col("value").alias("abstract_content")).alias("m"))["m"]
+    each = F.struct("path", F.struct(F.create_map("variable", held).alias("metavars")).alias("extra"))
+    path = _place(spark)
+    documents = derived(spark, sf, FINDINGS).select("path", each.alias("r")).groupBy("path").agg(F.collect_list("r").alias("results"))
+    documents.select(F.to_json(F.struct("results")).alias("value")).write.text(path)
+    found = config.read_findings(spark, path, lines=True)
+    value = F.col("value")
+    return found.select("path_id", "variable", F.get(F.split(value, r"\."), F.lit(0)).alias("name"), value.contains(".public").alias("is_public")).distinct()
+
+
 LABELLED = """
 SELECT r_name AS path_id, CAST(r_regionkey AS STRING) AS id, 'var' AS type, concat('var.', r_name) AS label FROM {region} UNION ALL SELECT r_name, CAST(100 + n_nationkey AS STRING), 'local', concat('local.', n_name) FROM {nation} JOIN {region} ON n_regionkey = r_regionkey
 UNION ALL SELECT r_name, CAST(1000 + s_suppkey AS STRING), 'resource', concat('aws_instance.', s_name) FROM {supplier} JOIN ({nation} JOIN {region} ON n_regionkey = r_regionkey) ON s_nationkey = n_nationkey

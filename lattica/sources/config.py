@@ -9,7 +9,8 @@ from ..functions import text as T
 from ..operators.schema import OWN_RULES, PROFILE, config_table
 
 
-def _yaml(spark: SparkSession, path: str):
+def read_yaml(spark: SparkSession, path: str) -> dict:
+    """SC-9: what a YAML file holds; of a folder, its only file."""
     import yaml
 
     return yaml.safe_load(spark.read.text(path, wholetext=True).first()[0]) or {}
@@ -27,7 +28,7 @@ def profile(spark: SparkSession, config: dict) -> DataFrame:
 
 def read_profile(spark: SparkSession, path: str) -> DataFrame:
     """SC-9."""
-    return profile(spark, _yaml(spark, path))
+    return profile(spark, read_yaml(spark, path))
 
 
 def external_entities(spark: SparkSession, config: dict) -> DataFrame:
@@ -43,7 +44,7 @@ def rules(spark: SparkSession, config: dict) -> DataFrame:
 
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    return rules(spark, _yaml(spark, path))
+    return rules(spark, read_yaml(spark, path))
 
 
 #: What a threat pattern may say; `w` stands for a name. Statements come in any order and may repeat.
@@ -123,10 +124,10 @@ def read_threat_documents(spark: SparkSession, path: str, lines: bool = False) -
     return d.select("id", F.col("metadata.`ns:textName`").alias("name"), F.col("metadata.`ns:textReviewProblem`").alias("problem"), bare(F.col("security.`ns:hasAggressor`")).alias("aggressors"), bare(F.col("context.`ns:hasAffectedComponent`")).alias("victims"), bare(F.col("security.`ns:hasSTRIDE`")).alias("stride"))
 
 
-def read_findings(spark: SparkSession, path: str, variables: list[str] | None = None) -> DataFrame:
+def read_findings(spark: SparkSession, path: str, variables: list[str] | None = None, lines: bool = False) -> DataFrame:
     """SC-11: path_id (of the folder of the file that a finding is in), variable, value, once each: what a pattern scanner's
-    JSON results (results[].path, results[].extra.metavars) bind to the given variables, or to all."""
+    JSON results (results[].path, results[].extra.metavars) bind to the given variables, or to all. lines: a result a line."""
     shape = "results array<struct<path: string, extra: struct<metavars: map<string, struct<abstract_content: string>>>>>"
-    each = spark.read.option("multiLine", True).schema(shape).json(path).select(F.explode("results").alias("r")).select("r.path", F.explode("r.extra.metavars").alias("variable", "m"))
+    each = spark.read.option("multiLine", not lines).schema(shape).json(path).select(F.explode("results").alias("r")).select("r.path", F.explode("r.extra.metavars").alias("variable", "m"))
     own = each if variables is None else each.where(F.col("variable").isin(*variables))
     return own.select(T.path_id(F.regexp_replace("path", "/[^/]*$", "")).alias("path_id"), "variable", F.col("m.abstract_content").alias("value")).where("value IS NOT NULL").distinct()
