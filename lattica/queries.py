@@ -1308,6 +1308,38 @@ def document_labels(spark, sf):
     return nodes.where(asked).select("path_id", "name", F.array_join("labels", ",").alias("labels"))
 
 
+@query(
+    """SELECT c_custkey AS node_id, '${local.none} d' || n_regionkey || '-' || CASE WHEN n_nationkey % 2 = 0 THEN 'L' ELSE 'A' END || n_nationkey || '-' || 'V' || (n_nationkey % 7) AS resolved
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+)
+def values_of_named_nodes(spark, sf):
+    """F-6, F-8, E-2, SC-5: variables and locals are nodes of graph documents, under their name or behind a scope and a dot; the
+    references of customers get what those hold."""
+    text = lambda start, key: F.concat(F.lit(start), F.col(key).cast("string"))
+    none = F.lit(None).cast("string")
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def node(rows, kind, label, default, value):
+        data = F.struct(label.alias("id"), F.lit("").alias("parent"), label.alias("label"), F.lit(kind).alias("type"), default.alias("default"), value.alias("value"))
+        return rows.select(F.col("r_name").alias("path_id"), F.to_json(F.struct(F.array(F.struct(data.alias("data"))).alias("nodes"))).alias("document"))
+
+    seven = places.select("r_name", (F.col("n_nationkey") % 7).alias("k")).distinct()
+    docs = [
+        node(places, "var", text("var.r", "r_regionkey"), text("d", "r_regionkey"), F.lit("not this")),
+        node(places.where("n_nationkey % 2 = 0"), "local", text("n", "n_nationkey"), none, text("L", "n_nationkey")),
+        node(places, "local", text("local.n", "n_nationkey"), none, text("A", "n_nationkey")),
+        node(places, "resource", text("aws_instance.n", "n_nationkey"), F.lit("0"), none),
+        node(places, "local", F.lit("none"), none, none),
+        node(seven, "var", F.concat(text("module.v", "k"), F.lit(".more")), none, text("V", "k")),
+    ]
+    every = docs[0]
+    for more in docs[1:]:
+        every = every.unionByName(more)
+    asked = F.concat(F.lit("${local.none} ${var.r"), "n_regionkey", F.lit("}-${local.n"), "n_nationkey", F.lit("}-${var.v"), F.col("n_nationkey") % 7, F.lit("}"))
+    props = table(spark, sf, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("r_name").alias("path_id"), F.col("c_custkey").alias("node_id"), F.lit("name").alias("key"), asked.alias("value"))
+    return resolve.resolve_props(props, resolve.bindings_of(graph_json.load(every)[0])).select("node_id", "resolved")
+
+
 # ---- whole analyses ----
 
 INTENDED = """

@@ -177,3 +177,21 @@ def test_upserts_and_overlays(spark):
     assert {tuple(x) for x in resolve.overwrite(a, b.where("id < 3"), ["id"], ["v", "w"]).collect()} == {(1, "new", None), (2, None, None), (3, "own", "x")}
     parsed = spark.createDataFrame([("p", "t", "n", "k", "v")], "path_id string, resource_type string, resource_name string, key string, value string")
     assert [tuple(x) for x in resolve.attach_props(n, parsed).collect()] == [("p", 1, "k", "v")]
+
+
+def test_bindings_of_nodes(spark):
+    rows = [
+        ("p", "resource", "a.x", ["p", "Variable"], "1", "2"),
+        ("p", "var", "x", None, None, "3"),
+        ("p", "local", "local.x.y", [], None, "4"),
+        ("p", "local", "other.x", ["local"], "0", None),
+        ("p", "var", "nothing", ["var"], None, None),
+        ("p", "resource", "res.x", ["p", "resource"], "5", None),
+        ("q", "both", ".", ["var", "Local"], "6", None),
+        (None, "var", None, ["var"], "7", None),
+        ("p", None, "none", None, "8", None),
+    ]
+    nodes = spark.createDataFrame(rows, "path_id string, node_type string, name string, labels array<string>, `default` string, value string")
+    got = {(x["path_id"], x["scope"], x["name"]): x["value"] for x in resolve.bindings_of(nodes).collect()}
+    assert got == {("p", "var", "a.x"): "1", ("p", "var", "x"): "3", ("p", "local", "x"): "0", ("p", "local", "local.x.y"): "4", ("p", "local", "other.x"): "0", ("q", "var", "."): "6", ("q", "local", "."): "6", ("q", "var", ""): "6", ("q", "local", ""): "6"}
+    assert resolve.bindings_of(nodes.where("false")).count() == 0
