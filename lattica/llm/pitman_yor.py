@@ -11,7 +11,8 @@ of one word are in one part, or, for words of a large share of all tokens, sprea
 context's totals are kept at its home. Between outer rounds parts send homes the tables they have seated, and homes tell
 each part what its contexts have in all; words that are spread get the sum of their root customers elsewhere.
 Probabilities are averaged over the sweeps after burn-in. Random numbers come from a hash of (word, context, sweep,
-step), so a task that runs again draws the same. The root's base measure has one outcome for all unknown words, with
+step), so a task that runs again draws the same. Parts are as many as the session's shuffle partitions, and the draw depends
+on their number (4 against 7 parts moved scores by up to 0.17 % on 200 documents). The root's base measure has one outcome for all unknown words, with
 nearly all weight, as new tables of the root are new words.
 
 Documents are read in blocks of bounded size, each stored as one row. A block asks once for each of its distinct words and
