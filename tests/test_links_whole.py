@@ -14,3 +14,23 @@ def test_every_order_has_a_string(spark):
     linked = asked.join(got.withColumnRenamed("src", "o_orderkey"), "o_orderkey", "left_semi").count()
     own = asked.where("o_orderkey < 200").count()
     assert own < linked and linked >= asked.count() - own
+
+
+def test_shared_nodes_with_many_pairs(spark, monkeypatch):
+    """own_pairs: at a node that brings many together the pairs are dealt over tasks; pairs that several nodes bring together come
+    once, and those of nodes with one shared node are not made distinct."""
+    from lattica.operators import graph
+    from lattica.operators.schema import OWN_RULES
+
+    monkeypatch.setattr(graph, "MEET", 20)
+    links = [("p", a, 1000) for a in range(12)] + [("p", b, 1000) for b in range(100, 109)] + [("p", x, y) for y in (1001, 1002) for x in (0, 1, 100, 101, 300)]
+    e = spark.createDataFrame(links, "path_id string, src long, dst long")
+    g = spark.createDataFrame([(a, "A") for a in range(12)] + [(b, "B") for b in range(100, 109)] + [(300, "A"), (300, "B")], "node_id long, group_name string")
+    rules = spark.createDataFrame([(0, "ab", "A", "B", "IntersectForward")], OWN_RULES)
+    got = [(r["first"], r["second"]) for r in graph.own_pairs(e, g, rules).collect()]
+    into = {}
+    for _, a, x in links:
+        into.setdefault(x, []).append(a)
+    side = lambda n, kind: n == 300 or (n < 12) == (kind == "A")
+    want = {(a, b) for ends in into.values() for a in ends if side(a, "A") for b in ends if side(b, "B") and a != b}
+    assert sorted(got) == sorted(want)
