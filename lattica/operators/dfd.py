@@ -65,10 +65,14 @@ def connections(edges: DataFrame, found: DataFrame) -> DataFrame:
     return graph.pairs_of(edges).where("src <> dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
 
 
+def once(pairs: DataFrame) -> DataFrame:
+    """path_id, a, b: each unordered pair of different ends once, a the smaller."""
+    return pairs.select("path_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+
+
 def flows(pairs: DataFrame) -> DataFrame:
     """O-7: path_id, sender, recipient: each unordered pair once, then in both directions."""
-    once = pairs.select("path_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
-    return once.select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b").alias("sender"), F.col("a").alias("recipient")))).alias("f")).select("path_id", "f.*")
+    return once(pairs).select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b").alias("sender"), F.col("a").alias("recipient")))).alias("f")).select("path_id", "f.*")
 
 
 def external_flows(entities: DataFrame, public: DataFrame) -> DataFrame:
@@ -88,3 +92,18 @@ def named(pairs: DataFrame, found: DataFrame) -> DataFrame:
     s = found.select(F.col("id").alias("sender"), F.col("kind").alias("sender_type"), F.col("annotation").alias("sender_anno"), F.col("name").alias("sender_name"))
     r = found.select(F.col("id").alias("recipient"), F.col("kind").alias("recipient_type"), F.col("annotation").alias("recipient_anno"), F.col("name").alias("recipient_name"))
     return pairs.join(s, "sender").join(r, "recipient").withColumn("flow", F.concat("sender_name", F.lit("->"), "recipient_name"))
+
+
+def named_flows(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """`named` for the flows of pairs: both directions follow from one row with the elements of its ends, found once for both."""
+    met = once(pairs)
+    for end in ("a", "b"):
+        met = met.join(found.select(F.col("id").alias(end), F.struct("kind", "annotation", "name").alias(f"{end}_is")), end)
+
+    def way(s: str, r: str):
+        of, to = F.col(f"{s}_is"), F.col(f"{r}_is")
+        ends = [F.col(s).alias("sender"), F.col(r).alias("recipient"), of["kind"].alias("sender_type"), of["annotation"].alias("sender_anno"), of["name"].alias("sender_name")]
+        return F.struct(*ends, to["kind"].alias("recipient_type"), to["annotation"].alias("recipient_anno"), to["name"].alias("recipient_name"))
+
+    both = met.select("path_id", F.inline(F.array(way("a", "b"), way("b", "a"))))
+    return both.withColumn("flow", F.concat("sender_name", F.lit("->"), "recipient_name"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.lineage import while_writing
 from ..operators.tour import euler_tour
 
 SHAPES = {"Process": "ellipse", "DataStore": "cylinder", "ExternalEntity": "box"}
@@ -16,8 +17,9 @@ def replace_projects(df: DataFrame, path: str) -> None:
 
 
 def write_threats(threats: DataFrame, path: str) -> None:
-    """SK-8, H-2."""
-    threats.select("path_id", "threat", "stride", "element", "flow").write.mode("overwrite").option("header", True).csv(path)
+    """SK-8, H-2. Names repeat in thousands of rows, so the files are packed."""
+    with while_writing(threats.sparkSession):
+        threats.select("path_id", "threat", "stride", "element", "flow").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
 def quoted(x):
@@ -42,29 +44,32 @@ def write_dot(lines: DataFrame, path: str) -> None:
     lines.repartitionByRange("path_id", "part", F.xxhash64("line")).sortWithinPartitions("path_id", "part").drop("part").write.mode("overwrite").partitionBy("path_id").text(path)
 
 
-def _nested(elements: DataFrame, placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _nested(elements: DataFrame, placed: DataFrame) -> DataFrame:
     """elements' columns with opens, closes and depth in the tour of their project (boundaries by name, then what is in no
-    boundary or directly within one), and path_id, last: where each project's tour ends."""
+    boundary or directly within one)."""
     top = lambda path: F.xxhash64(F.lit("project"), path)
     parent = placed.groupBy(F.col("child").alias("id")).agg(F.min("parent").alias("parent"))
     inner = elements.join(parent, "id", "left").select(F.col("id").alias("node"), F.coalesce("parent", top(F.col("path_id"))).alias("parent"), F.concat_ws(" ", F.when(F.col("kind") == "TrustBoundary", "0").otherwise("1"), "name").alias("ord"))
     roots = elements.select("path_id").distinct()
     forest = inner.unionByName(roots.select(top(F.col("path_id")).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit("").alias("ord")))
     tour = euler_tour(forest)
-    whole = roots.select("path_id", top(F.col("path_id")).alias("node")).join(tour, "node").select("path_id", F.col("closes").alias("last"))
-    return elements.join(tour.select(F.col("node").alias("id"), "opens", "closes", "depth"), "id"), whole
+    return elements.join(tour.select(F.col("node").alias("id"), "opens", "closes", "depth"), "id")
+
+
+#: The place of what stands behind all elements: flows, and the end of the document.
+LAST = (1 << 63) - 1
 
 
 def _lines(elements: DataFrame, placed: DataFrame, flows: DataFrame, frame: tuple[str, str], opening, leaf, closing, flow) -> DataFrame:
-    laid, whole = _nested(elements, placed)
+    laid = _nested(elements, placed)
     wall = F.col("kind") == "TrustBoundary"
     deep = lambda line: F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), line)
-    row = lambda at, line: F.struct(at.cast("long").alias("at"), F.lit(0).alias("part"), line.alias("line"))
+    row = lambda at, line, part=0: F.struct(at.cast("long").alias("at"), F.lit(part).alias("part"), line.alias("line"))
     own = F.when(wall, F.array(row(F.col("opens"), deep(opening)), row(F.col("closes"), deep(F.lit(closing))))).otherwise(F.array(row(F.col("opens"), deep(leaf))))
     body = laid.select("path_id", F.inline(own))
-    ends = F.array(row(F.lit(0), F.lit(frame[0])), F.struct(F.col("last").cast("long").alias("at"), F.lit(2).alias("part"), F.lit(frame[1]).alias("line")))
-    between = flows.join(whole, "path_id").select("path_id", F.col("last").cast("long").alias("at"), F.lit(1).alias("part"), F.concat(F.lit("  "), flow).alias("line"))
-    return body.unionByName(whole.select("path_id", F.inline(ends))).unionByName(between)
+    ends = F.array(row(F.lit(0), F.lit(frame[0])), row(F.lit(LAST), F.lit(frame[1]), 2))
+    between = flows.select("path_id", F.lit(LAST).alias("at"), F.lit(1).alias("part"), F.concat(F.lit("  "), flow).alias("line"))
+    return body.unionByName(elements.select("path_id").distinct().select("path_id", F.inline(ends))).unionByName(between)
 
 
 def nested_dot(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
@@ -95,7 +100,8 @@ def nested_xml(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> Data
 def write_nested(lines: DataFrame, path: str) -> None:
     """One folder for each project; its files, read in the order of their names, are one document. Lines are dealt by ranges of
     (path_id, at, part, line), so a large project may take several files and none is gathered."""
-    lines.repartitionByRange("path_id", "at", "part", "line").sortWithinPartitions("path_id", "at", "part", "line").select("path_id", "line").write.mode("overwrite").partitionBy("path_id").text(path)
+    with while_writing(lines.sparkSession):
+        lines.repartitionByRange("path_id", "at", "part", "line").sortWithinPartitions("path_id", "at", "part", "line").select("path_id", "line").write.mode("overwrite").partitionBy("path_id").text(path)
 
 
 def model_rows(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> DataFrame:
@@ -107,8 +113,9 @@ def model_rows(elements: DataFrame, placed: DataFrame, flows: DataFrame) -> Data
 
 
 def write_model(rows: DataFrame, path: str) -> None:
-    """SK-7: as XML, one element a row."""
-    rows.write.mode("overwrite").format("xml").option("rootTag", "model").option("rowTag", "element").save(path)
+    """SK-7: as XML, one element a row, packed: marks and names make most of it."""
+    with while_writing(rows.sparkSession):
+        rows.write.mode("overwrite").format("xml").option("rootTag", "model").option("rowTag", "element").option("compression", "gzip").save(path)
 
 
 def catalog_xml(fanned: DataFrame, path: str) -> None:
