@@ -59,20 +59,38 @@ def tree(placed: DataFrame, roots: DataFrame) -> DataFrame:
     return out
 
 
+def _met(pairs: DataFrame, one: str, two: str, found: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of different components, each once, with columns of their elements as {one}_* and {two}_*. Pairs are dealt by their first
+    end, where the same ones lie together and meet its element, and then by the second; they are shuffled no more than that."""
+    met = pairs.where(F.col(one) != F.col(two)).repartition(one).distinct()
+    for end in (one, two):
+        own = found.where("kind <> 'TrustBoundary'").select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in columns))
+        met = met.join(own, end, "inner" if columns else "left_semi")
+    return met
+
+
 def connections(edges: DataFrame, found: DataFrame) -> DataFrame:
     """O-6: edges between processes and data stores."""
-    ids = found.where("kind <> 'TrustBoundary'").select("id")
-    return graph.pairs_of(edges).where("src <> dst").join(ids.select(F.col("id").alias("src")), "src", "left_semi").join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").distinct()
+    return _met(graph.pairs_of(edges), "src", "dst", found, []).select("path_id", "src", "dst")
+
 
+def unordered(pairs: DataFrame) -> DataFrame:
+    """path_id, a, b: pairs with the smaller end as a, as often as they come."""
+    return pairs.select("path_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
 
-def once(pairs: DataFrame) -> DataFrame:
-    """path_id, a, b: each unordered pair of different ends once, a the smaller."""
-    return pairs.select("path_id", F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+
+def _both_ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b").alias("sender"), F.col("a").alias("recipient")))).alias("f")).select("path_id", "f.*")
 
 
 def flows(pairs: DataFrame) -> DataFrame:
-    """O-7: path_id, sender, recipient: each unordered pair once, then in both directions."""
-    return once(pairs).select("path_id", F.explode(F.array(F.struct(F.col("a").alias("sender"), F.col("b").alias("recipient")), F.struct(F.col("b").alias("sender"), F.col("a").alias("recipient")))).alias("f")).select("path_id", "f.*")
+    """O-7: path_id, sender, recipient: each unordered pair of different ends once, then in both directions."""
+    return _both_ways(unordered(pairs).where("a <> b").distinct())
+
+
+def component_flows(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """O-6, O-7: `flows` of `connections`, without shuffling pairs a third time."""
+    return _both_ways(_met(unordered(edges), "a", "b", found, []))
 
 
 def external_flows(entities: DataFrame, public: DataFrame) -> DataFrame:
@@ -94,16 +112,29 @@ def named(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.join(s, "sender").join(r, "recipient").withColumn("flow", F.concat("sender_name", F.lit("->"), "recipient_name"))
 
 
-def named_flows(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """`named` for the flows of pairs: both directions follow from one row with the elements of its ends, found once for both."""
-    met = once(pairs)
-    for end in ("a", "b"):
-        met = met.join(found.select(F.col("id").alias(end), F.struct("kind", "annotation", "name").alias(f"{end}_is")), end)
+#: What `named` gives of an element.
+OF_ELEMENT = ["kind", "annotation", "name"]
+
+
+def _named_ways(met: DataFrame) -> DataFrame:
+    """Both directions of pairs a, b with their elements, as `named` gives them. Each column is chosen by itself, so that a job that
+    asks for no names carries none."""
+    both = met.withColumn("back", F.explode(F.array(F.lit(False), F.lit(True))))
+    pick = lambda x, y, name: F.when(F.col("back"), F.col(y)).otherwise(F.col(x)).alias(name)
+    short = {"kind": "type", "annotation": "anno", "name": "name"}
+    ends = [pick("a", "b", "sender"), pick("b", "a", "recipient")]
+    own = [pick(f"{x}_{c}", f"{y}_{c}", f"{end}_{short[c]}") for end, x, y in (("sender", "a", "b"), ("recipient", "b", "a")) for c in OF_ELEMENT]
+    return both.select("path_id", *ends, *own).withColumn("flow", F.concat("sender_name", F.lit("->"), "recipient_name"))
+
+
+def named_component_flows(edges: DataFrame, found: DataFrame) -> DataFrame:
+    """`named` for `component_flows`: elements come with the joins that tell components."""
+    return _named_ways(_met(unordered(edges), "a", "b", found, OF_ELEMENT))
 
-    def way(s: str, r: str):
-        of, to = F.col(f"{s}_is"), F.col(f"{r}_is")
-        ends = [F.col(s).alias("sender"), F.col(r).alias("recipient"), of["kind"].alias("sender_type"), of["annotation"].alias("sender_anno"), of["name"].alias("sender_name")]
-        return F.struct(*ends, to["kind"].alias("recipient_type"), to["annotation"].alias("recipient_anno"), to["name"].alias("recipient_name"))
 
-    both = met.select("path_id", F.inline(F.array(way("a", "b"), way("b", "a"))))
-    return both.withColumn("flow", F.concat("sender_name", F.lit("->"), "recipient_name"))
+def named_external_flows(entities: DataFrame, public: DataFrame) -> DataFrame:
+    """`named` for `external_flows` of elements, each given once: they meet by project with their own columns, so no pair is looked up
+    again."""
+    a = public.select("path_id", F.col("id").alias("a"), *(F.col(c).alias(f"a_{c}") for c in OF_ELEMENT))
+    b = entities.select("path_id", F.col("id").alias("b"), *(F.col(c).alias(f"b_{c}") for c in OF_ELEMENT))
+    return _named_ways(a.join(b, "path_id"))
