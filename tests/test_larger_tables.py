@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lattica.operators import resolve
+from lattica.operators import lineage, match, resolve
 
 PROPS = "path_id string, node_id long, key string, value string"
 
@@ -23,3 +23,23 @@ def test_overlay_deals_over_more_parts(spark, monkeypatch):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
         sizes = [x["count"] for x in got.groupBy(F.spark_partition_id()).count().collect()]
         assert max(sizes) < 400
+
+
+def test_values_without_a_symbol_are_not_taken_apart(spark, monkeypatch):
+    """Only values that hold a symbol's start go on to be written and cut into tokens; more starts than are looked for change nothing."""
+    symbols = spark.createDataFrame([("p", w, 1000 + k, w) for k, w in enumerate(["ab.c (d", "-é x", "long " * 30 + "end"])], "path_id string, key string, node_id long, keyword string")
+    texts = ["x ab.c (d y", "xab.c (d", "ab.c (dd", "a -é x", "a-é x", "𝒳-é x😀", "long " * 31 + "end", "long " * 30, "nothing", None] + [f"other {i}" for i in range(50)]
+    values = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts + texts[:1])], "path_id string, node_id long, value string").withColumn("node_id", F.when(F.col("value") == texts[0], 0).otherwise(F.col("node_id")))
+    written = []
+
+    def watch(df, *more):
+        table = lineage.materialise(df, *more)
+        written.append(table.count() if "value" in df.columns else 0)
+        return table
+
+    monkeypatch.setattr(match, "materialise", watch)
+    for heads, most in ((500, 7), (2, 60)):
+        monkeypatch.setattr(match, "HEADS", heads, raising=False)
+        written.clear()
+        got = sorted((x["src"], x["dst"]) for x in match.boundary_pairs(values, symbols, only_complex=False).collect())
+        assert got == [(0, 1000), (3, 1001), (5, 1001), (6, 1002)] and max(written) <= most
