@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators.lineage import materialise
 
-DOCUMENT = "nodes array<struct<data: struct<id: string, parent: string, label: string, type: string, attributes: variant, `default`: string, value: string>>>, edges array<struct<data: struct<id: string, source: string, target: string>>>"
+DOCUMENT = "nodes array<struct<data: struct<id: string, parent: string, label: string, type: string, attributes: variant, `default`: string, value: string>>>, edges array<struct<data: struct<source: string, target: string>>>"
 
 
 def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -20,8 +20,9 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """SC-5 to SC-8: (nodes, edges, attributes, dangling) of documents (path_id, document).
 
-    A node's id is a hash of project and document id; of several nodes with one id the least stays; edges whose ends are missing are counted in dangling (Q17)."""
-    d = documents.select("path_id", F.from_json("document", DOCUMENT).alias("d"))
+    A node's id is a hash of project and document id; of several nodes with one id the least stays; edges whose ends are missing are counted in dangling (Q17).
+    Edges keep the document ids of their ends (source, target) as well. Documents are made and parsed once, for all four."""
+    d = materialise(documents.select("path_id", F.from_json("document", DOCUMENT).alias("d")))
     key = lambda x: F.xxhash64("path_id", x)
     n = d.select("path_id", F.explode("d.nodes.data").alias("n")).select("path_id", "n.*")
     label = F.col("label")
@@ -33,9 +34,9 @@ def load(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFra
     )
     rest = [c for c in nodes.columns if c != "node_id"]
     nodes = nodes.groupBy("node_id").agg(F.min(F.struct(*rest)).alias("m")).select("node_id", "m.*").select(*nodes.columns)
-    e = d.select("path_id", F.explode("d.edges.data").alias("e")).select("path_id", key("e.source").alias("src"), key("e.target").alias("dst"))
+    e = d.select("path_id", F.explode("d.edges.data").alias("e")).select("path_id", key("e.source").alias("src"), key("e.target").alias("dst"), "e.source", "e.target")
     ids = nodes.select("node_id")
-    whole = e.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi").join(ids.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("path_id", "src", "dst")
+    whole = e.join(ids.select(F.col("node_id").alias("src")), "src", "left_semi").join(ids.select(F.col("node_id").alias("dst")), "dst", "left_semi").select("path_id", "src", "dst", "source", "target")
     dangling = e.groupBy("path_id").agg(F.count("*").alias("n_edges")).join(whole.groupBy("path_id").agg(F.count("*").alias("n_whole")), "path_id", "left").select("path_id", (F.col("n_edges") - F.coalesce("n_whole", F.lit(0))).alias("n_dangling"))
     return nodes, whole, n.where("attributes IS NOT NULL").select("path_id", key("id").alias("node_id"), F.col("attributes").alias("v")), dangling
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
+from lattica import queries
 from lattica.operators import lineage, match, resolve
+from lattica.sources import graph_json
+
+SF = "/root/testdata/sf0.001"
 
 PROPS = "path_id string, node_id long, key string, value string"
 
@@ -43,3 +50,24 @@ def test_values_without_a_symbol_are_not_taken_apart(spark, monkeypatch):
         written.clear()
         got = sorted((x["src"], x["dst"]) for x in match.boundary_pairs(values, symbols, only_complex=False).collect())
         assert got == [(0, 1000), (3, 1001), (5, 1001), (6, 1002)] and max(written) <= most
+
+
+def test_documents_are_parsed_once(spark):
+    """Nodes, edges and attributes read what was parsed; edges know the documents' own ids, so that nothing is joined to have them."""
+    doc = '{"nodes": [{"data": {"id": "1", "label": "a.b"}}, {"data": {"id": "2", "label": "a.c"}}], "edges": [{"data": {"source": "1", "target": "2"}}, {"data": {"source": "1", "target": "3"}}]}'
+    tables = graph_json.load(spark.createDataFrame([("p", doc), ("q", doc)], "path_id string, document string"))
+    assert not any("from_json" in t._jdf.queryExecution().optimizedPlan().toString().lower() or "jsontostructs" in t._jdf.queryExecution().optimizedPlan().toString().lower() for t in tables)
+    assert {(x["path_id"], x["source"], x["target"]) for x in tables[1].collect()} == {("p", "1", "2"), ("q", "1", "2")}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_graph_documents_of_repeated_orders_and_of_those_without_lines(spark, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "region nation customer supplier part orders lineitem".split():
+        more = f" UNION ALL SELECT * FROM '{SF}/orders.parquet' WHERE o_orderkey % 50 = 0" if t == "orders" else " WHERE l_orderkey % 3 > 0" if t == "lineitem" else ""
+        con.execute(f"COPY (SELECT * FROM '{SF}/{t}.parquet'{more}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = sorted((x["src"], x["dst"]) for x in queries.QUERIES["graph_documents"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(f"SELECT src, dst FROM ({queries.ORACLES['graph_documents']})").fetchall())
